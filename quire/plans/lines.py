@@ -1,0 +1,3 @@
+"""Placeholder module list entry; filled by the reference operators."""
+
+QUERIES: dict = {}
