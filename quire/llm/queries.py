@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, chat, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_byte_bpe": bpe.op4_byte_bpe}
+    return {
+        "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_top_k": topk.op5_top_k,
+        "op6_quality": quality.op6_quality,
+        "op8_chat_format": chat.op8_chat_format,
+        "op10_warc": warc.op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_top_k": topk.SQL}
