@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, quality, topk, warc
+from . import bpe, chat, ppm, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_lm_score": ppm.op3_lm_score,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_top_k": topk.op5_top_k,
         "op6_quality": quality.op6_quality,
