@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, ppm, quality, topk, warc
+from . import bpe, chat, mixing, ppm, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op3_lm_score": ppm.op3_lm_score,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_top_k": topk.op5_top_k,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_k": topk.SQL}
+    return {"op1_mixing": mixing.SQL, "op5_top_k": topk.SQL}
