@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, ppm, quality, topk, warc
+from . import bpe, chat, fingerprint, mixing, neardup, ppm, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +16,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_top_k": topk.op5_top_k,
         "op6_quality": quality.op6_quality,
+        "op7_near_dedup": neardup.op7_near_dedup,
         "op8_chat_format": chat.op8_chat_format,
+        "op9_fingerprints": fingerprint.op9_fingerprints,
         "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op5_top_k": topk.SQL}
+    return {"op1_mixing": mixing.SQL, "op5_top_k": topk.SQL, "op7_near_dedup": neardup.SQL}
