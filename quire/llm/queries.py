@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, mixing, neardup, ppm, quality, topk, warc
+from . import bpe, chat, fingerprint, licenses, mixing, neardup, ppm, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_lm_score": ppm.op3_lm_score,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_top_k": topk.op5_top_k,
