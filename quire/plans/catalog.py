@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that offer QUERIES: name -> (function of (spark, sf_dir), SQL or None).
-MODULES = ("quire.plans.lines", "quire.plans.geometry", "quire.plans.joins", "quire.plans.text")
+MODULES = ("quire.plans.geometry", "quire.plans.joins", "quire.plans.text", "quire.plans.stats")
 
 
 def _all() -> dict:
