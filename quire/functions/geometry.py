@@ -24,6 +24,11 @@ class Box:
     def of(cls, prefix: str = "") -> Box:
         return cls(*(F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1")))
 
+    @classmethod
+    def named(cls, prefix: str = "") -> Box:
+        """As `of`, its columns made when they are used: needs no session before that."""
+        return _Named(prefix)
+
     @property
     def width(self) -> Column:
         return self.x1 - self.x0
@@ -37,12 +42,19 @@ class Box:
         return self.width * self.height
 
 
-ZERO = F.lit(0.0)
+class _Named(Box):
+    def __init__(self, prefix: str):
+        object.__setattr__(self, "prefix", prefix)
+
+    def __getattribute__(self, name: str):
+        if name in ("x0", "y0", "x1", "y1"):
+            return F.col(object.__getattribute__(self, "prefix") + name)
+        return object.__getattribute__(self, name)
 
 
 def _ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
-    return F.when(whole == 0, ZERO).otherwise(part / F.when(whole != 0, whole))
+    return F.when(whole == 0, F.lit(0.0)).otherwise(part / F.when(whole != 0, whole))
 
 
 def _meet(a: Box, b: Box) -> tuple[Column, Column]:
@@ -67,8 +79,8 @@ def relative_position(a: Box, b: Box) -> dict[str, Column]:
 
 def distance(a: Box, b: Box) -> Column:
     """Length of the gap: between corners if the boxes lie askew, 0 if they touch."""
-    dx = F.greatest(ZERO, a.x0 - b.x1, b.x0 - a.x1)
-    dy = F.greatest(ZERO, a.y0 - b.y1, b.y0 - a.y1)
+    dx = F.greatest(F.lit(0.0), a.x0 - b.x1, b.x0 - a.x1)
+    dy = F.greatest(F.lit(0.0), a.y0 - b.y1, b.y0 - a.y1)
     return F.sqrt(dx * dx + dy * dy)
 
 
@@ -81,19 +93,19 @@ def iou(a: Box, b: Box) -> Column:
     w, h = _meet(a, b)
     common = w * h
     whole = a.area + b.area - common
-    return F.when(_apart(a, b) | (a.area == 0) | (b.area == 0), ZERO).otherwise(_ratio(common, whole))
+    return F.when(_apart(a, b) | (a.area == 0) | (b.area == 0), F.lit(0.0)).otherwise(_ratio(common, whole))
 
 
 def overlap_of_smaller(a: Box, b: Box) -> Column:
     """Intersection over the smaller area."""
     w, h = _meet(a, b)
-    return F.when(_apart(a, b), ZERO).otherwise(_ratio(w * h, F.least(a.area, b.area)))
+    return F.when(_apart(a, b), F.lit(0.0)).otherwise(_ratio(w * h, F.least(a.area, b.area)))
 
 
 def overlap_of_first(a: Box, b: Box) -> Column:
     """Intersection over the area of a."""
     w, h = _meet(a, b)
-    return F.when(_apart(a, b), ZERO).otherwise(_ratio(w * h, a.area))
+    return F.when(_apart(a, b), F.lit(0.0)).otherwise(_ratio(w * h, a.area))
 
 
 def smaller_if_overlapping(a: Box, b: Box, ratio: float) -> Column:
@@ -103,17 +115,17 @@ def smaller_if_overlapping(a: Box, b: Box, ratio: float) -> Column:
 
 def x_overlap_of_first(a: Box, b: Box) -> Column:
     w = F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)
-    return F.when(w < 0, ZERO).otherwise(_ratio(w, a.width))
+    return F.when(w < 0, F.lit(0.0)).otherwise(_ratio(w, a.width))
 
 
 def overlaps_y(a: Box, b: Box, ratio: float = 0.8) -> Column:
     """Shared height over the lesser height exceeds ratio."""
-    shared, least = F.greatest(ZERO, F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0)), F.least(a.height, b.height)
+    shared, least = F.greatest(F.lit(0.0), F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0)), F.least(a.height, b.height)
     return F.when(least > 0, shared / F.when(least > 0, least) > ratio).otherwise(F.lit(False))
 
 
 def overlaps_x(a: Box, b: Box, ratio: float = 0.8) -> Column:
-    shared, least = F.greatest(ZERO, F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)), F.least(a.width, b.width)
+    shared, least = F.greatest(F.lit(0.0), F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)), F.least(a.width, b.width)
     return F.when(least > 0, shared / F.when(least > 0, least) > ratio).otherwise(F.lit(False))
 
 
@@ -131,12 +143,12 @@ def projection_overlap(a: Box, b: Box, direction: str = "horizontal", mode: str
         "small": F.least(hi_a - lo_a, hi_b - lo_b),
         "large": F.greatest(hi_a - lo_a, hi_b - lo_b),
     }[mode]
-    return F.when((shared <= 0) | (whole <= 0), ZERO).otherwise(shared / F.when(whole > 0, whole))
+    return F.when((shared <= 0) | (whole <= 0), F.lit(0.0)).otherwise(shared / F.when(whole > 0, whole))
 
 
 def area_overlap(a: Box, b: Box, mode: str = "union") -> Column:
     w, h = _meet(a, b)
-    common = F.greatest(ZERO, w) * F.greatest(ZERO, h)
+    common = F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
     one, two = F.abs(a.area), F.abs(b.area)
     whole = {"union": one + two - common, "small": F.least(one, two), "large": F.greatest(one, two)}[mode]
     return _ratio(common, whole)
@@ -147,7 +159,7 @@ def edge_distance(a: Box, b: Box, weights: tuple[float, float, float, float] = (
     across, along = projection_overlap(a, b, "horizontal"), projection_overlap(a, b, "vertical")
     dx = F.least(F.abs(a.x0 - b.x1), F.abs(a.x1 - b.x0)) * F.when(a.x1 < b.x0, F.lit(weights[0])).otherwise(F.lit(weights[1]))
     dy = F.least(F.abs(a.y0 - b.y1), F.abs(a.y1 - b.y0)) * F.when(a.y1 < b.y0, F.lit(weights[2])).otherwise(F.lit(weights[3]))
-    return F.when((across > 0) & (along > 0), ZERO).otherwise(F.when(across == 0, dx).otherwise(ZERO) + F.when(along == 0, dy).otherwise(ZERO))
+    return F.when((across > 0) & (along > 0), F.lit(0.0)).otherwise(F.when(across == 0, dx).otherwise(F.lit(0.0)) + F.when(along == 0, dy).otherwise(F.lit(0.0)))
 
 
 def direction(a: Box, ratio: float = 1.0) -> Column:
@@ -156,7 +168,7 @@ def direction(a: Box, ratio: float = 1.0) -> Column:
 
 def pixel_iou(a: Box, b: Box) -> Column:
     w, h = _meet(a, b)
-    common = F.greatest(ZERO, w + 1) * F.greatest(ZERO, h + 1)
+    common = F.greatest(F.lit(0.0), w + 1) * F.greatest(F.lit(0.0), h + 1)
     size = lambda x: (x.width + 1) * (x.height + 1)
     return common / (size(a) + size(b) - common)
 
@@ -164,7 +176,7 @@ def pixel_iou(a: Box, b: Box) -> Column:
 def contained(a: Box, b: Box, ratio: float = 0.9) -> Column:
     """At least ratio of a's area lies in b; an empty box lies in none."""
     w, h = _meet(a, b)
-    common = F.greatest(ZERO, w) * F.greatest(ZERO, h)
+    common = F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
     return F.when(a.area > 0, common / F.when(a.area > 0, a.area) >= ratio).otherwise(F.lit(False))
 
 
@@ -176,9 +188,9 @@ def metric_iou(a: Box, b: Box) -> Column:
     missing = a.x0.isNull() | a.y0.isNull() | a.x1.isNull() | a.y1.isNull() | b.x0.isNull() | b.y0.isNull() | b.x1.isNull() | b.y1.isNull()
     a, b = ordered(a), ordered(b)
     w, h = _meet(a, b)
-    common = F.greatest(ZERO, w) * F.greatest(ZERO, h)
+    common = F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
     whole = a.area + b.area - common
-    return F.when(missing, F.lit(None)).when(whole <= 0, ZERO).otherwise(common / F.when(whole > 0, whole))
+    return F.when(missing, F.lit(None)).when(whole <= 0, F.lit(0.0)).otherwise(common / F.when(whole > 0, whole))
 
 
 def unclip(a: Box, across: Column, along: Column) -> Box:
