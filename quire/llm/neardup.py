@@ -257,7 +257,11 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     links = spill(verify(pairs, d, percent), "nd-links")
     found = components(links)
     if not star.isEmpty():
-        clusters = components(star).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+        # A class joins the smallest of its bands' first classes, and that joins the others: as
+        # many edges as classes, not one for each band, and the same clusters.
+        firsts = star.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("all"))  # at most one for each band
+        among = firsts.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
+        clusters = components(firsts.select("a", "b").unionByName(among)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
         members = clusters.join(found, F.col("id") == F.col("node"), "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
         more = spill(_blocks(spill(members, "nd-clusters"), d, percent), "nd-more")
         if not more.isEmpty():
