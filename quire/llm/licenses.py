@@ -88,15 +88,24 @@ def words(text: Column) -> Column:
 
 
 def grams(found: Column) -> Column:
-    """Distinct words and pairs of neighbours; found must be a plain column."""
-    pairs = F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), found[i + 1]))
-    return F.array_distinct(F.concat(found, pairs))
+    """Words and pairs of neighbours (repeated ones too: features are binary); found must be a plain column."""
+    n = F.greatest(F.size(found) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(found, 1, n), F.slice(found, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(found, pairs)
 
 
 def with_grams(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__words", words(F.col(text))).withColumn("grams", grams(F.col("__words"))).drop("__words")
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which the condition holds. Unlike a filter this is not pushed below the columns it
+    looks at, where they would all be worked out again within the condition."""
+    columns = df.columns
+    row = F.filter(F.array(F.struct(*columns, condition.alias("__only"))), lambda r: r["__only"])
+    return df.select(F.inline(row)).select(*columns)
+
+
 def _template_rows(spark: SparkSession) -> DataFrame:
     rows = [(FAMILIES.index(f), t) for f, texts in TEMPLATES.items() for t in texts]
     return with_grams(spark.createDataFrame(rows, "family int, template string"), "template")
@@ -105,7 +114,7 @@ def _template_rows(spark: SparkSession) -> DataFrame:
 def _template_literals(spark: SparkSession) -> dict[int, list[list[str]]]:
     out: dict[int, list[list[str]]] = {}
     for r in _template_rows(spark).collect():  # fixed values
-        out.setdefault(r.family, []).append(r.grams)
+        out.setdefault(r.family, []).append(sorted(set(r.grams)))
     return out
 
 
@@ -162,7 +171,7 @@ def train(docs: DataFrame, max_paragraphs: int = 2000, max_docs: int = 300, seed
     some = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     sampled = paragraphs(docs.join(F.broadcast(some.distinct()), "doc_id", "left_semi"))
     sampled = with_grams(sampled, "text")
-    plain = sampled.where(likeness(F.col("grams"), [t for ts in templates.values() for t in ts]) < 0.5)
+    plain = only(sampled, likeness(F.col("grams"), [t for ts in templates.values() for t in ts]) < 0.5)
     plain = plain.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(max_paragraphs).select("grams", F.lit(float(UNKNOWN)).alias("label"), (F.pmod(F.xxhash64("doc_id", "paragraph", F.lit(1)), F.lit(4)) == 0).alias("calibrate"))
 
     def made(seed_: int, calibrate: bool) -> DataFrame:
@@ -195,9 +204,9 @@ def scan(docs: DataFrame, scanner: Scanner, threshold: float = 0.5, confirm: flo
     shuffle, however rows or sources are spread.
     """
     scored = scanner.model.transform(features(with_grams(paragraphs(docs), "text")))
-    scored = scored.select("doc_id", "paragraph", "grams", "prediction", vector_to_array("rawPrediction").alias("raw")).where(F.col("prediction") != UNKNOWN)
+    scored = only(scored.select("doc_id", "paragraph", "grams", "prediction", vector_to_array("rawPrediction").alias("raw")), F.col("prediction") != UNKNOWN)
     k = F.col("prediction").cast("int")
-    scored = scored.withColumn("probability", _softmax(F.col("raw"), scanner.temperature)[k]).where(F.col("probability") >= threshold)
+    scored = only(scored.withColumn("probability", _softmax(F.col("raw"), scanner.temperature)[k]), F.col("probability") >= threshold)
     near = F.lit(0.0)
     for family, templates in scanner.templates.items():
         near = F.when(k == family, likeness(F.col("grams"), templates)).otherwise(near)
