@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op5_top_k": topk.SQL, "op7_near_dedup": neardup.SQL}
+    return {"op1_mixing": mixing.SQL, "op5_top_k": topk.SQL, "op7_near_dedup": neardup.SQL, "op8_chat_format": chat.SQL, "op10_warc": warc.SQL}

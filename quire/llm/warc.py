@@ -383,3 +383,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.when(number(F.col("refers_to")) != "", number(F.col("refers_to"))).cast("long").alias("refers_to"),
     )
+
+
+SQL = """
+WITH h AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, n, min(page_id) AS first_id FROM h GROUP BY ALL)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM h JOIN f USING (x, n)
+"""
