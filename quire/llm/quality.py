@@ -128,8 +128,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return kept, (sums[kept] / sums.sum()).astype(np.float32)
 
 
-def train(rows: list[tuple[str, int]], dims: int = 8, epochs: int = 6, rate: float = 1.0, batch: int = 16, seed: int = 7) -> Model:
-    """Fit on (text, label 0 or 1). Without rows of both labels every document gets the share of
+def train(rows: list[tuple[str, int]], dims: int = 8, steps: int = 600, rate: float = 1.0, batch: int = 16, seed: int = 7) -> Model:
+    """Fit on (text, label 0 or 1): whole epochs of at least `steps` batches in all, so a small
+    sample is learned as well as a large one. Without rows of both labels every document gets the share of
     label 1 (one half if there are no rows)."""
     labels = np.array([y for _, y in rows], np.int64)
     size = 1 << BITS
@@ -140,7 +141,9 @@ def train(rows: list[tuple[str, int]], dims: int = 8, epochs: int = 6, rate: flo
     made = [features(t) for t, _ in rows]
     vectors = rng.uniform(-1 / dims, 1 / dims, (size, dims)).astype(np.float32)
     layer, bias = np.zeros((2, dims), np.float32), np.zeros(2, np.float32)
-    steps, step = epochs * -(-len(rows) // batch), 0
+    each = -(-len(rows) // batch)
+    epochs = -(-steps // each)
+    steps, step = epochs * each, 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
