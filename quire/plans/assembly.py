@@ -11,7 +11,7 @@ from quire.operators import evaluation as E
 from quire.operators import greedy as Y
 from quire.operators.models import BatchModel, apply_model
 from quire.plans.joins import DENSE, dense
-from quire.plans.views import ITEMS, ITEMS_B, TEXT_PAIRS, boxes, items, items_b, micro, micro_sql, table, text_pairs
+from quire.plans.views import ITEMS, ITEMS_B, TEXT_PAIRS, Whole, boxes, items, items_b, micro, micro_sql, table, text_pairs
 from quire.sources import files
 from quire.streaming import windows as W
 
@@ -186,7 +186,7 @@ def header_prefix(spark, sf_dir):
 
 
 def greedy(step):
-    return lambda spark, sf_dir: _boxes(step(_labelled(spark, sf_dir)))
+    return lambda spark, sf_dir: _boxes(step(_labelled(spark, Whole(sf_dir))))
 
 
 _MD = "CASE WHEN item_pos % 20 = 0 THEN repeat('#', CAST(CASE WHEN doc_id % 7 - 1 > 4 THEN 4 WHEN doc_id % 7 - 1 < 1 THEN 0 ELSE doc_id % 7 - 1 END AS INTEGER)) || ' ' || body WHEN item_pos % 5 = 4 THEN '- ' || body ELSE body END"
@@ -198,10 +198,10 @@ QUERIES = {
     "overlap_filter": (greedy(lambda d: Y.drop_overlaps(d, 0.5)), None),
     "greedy_spans": (greedy(lambda d: Y.drop_twins(d, 0.5, 0.5)), None),
     "absorb": (greedy(lambda d: Y.absorb(d, 0.5)), None),
-    "xycut": (lambda s, d: Y.reading_order(dense(s, d)), None),
-    "sorted_boxes": (lambda s, d: Y.row_order(dense(s, d)), None),
-    "merge_adjacent": (lambda s, d: Y.merge_words(dense(s, d)), None),
-    "knn_caption": (lambda s, d: Y.pair_captions(dense(s, d).where("category_id = 1"), dense(s, d).where("category_id = 3")), None),
+    "xycut": (lambda s, d: Y.reading_order(dense(s, Whole(d))), None),
+    "sorted_boxes": (lambda s, d: Y.row_order(dense(s, Whole(d))), None),
+    "merge_adjacent": (lambda s, d: Y.merge_words(dense(s, Whole(d))), None),
+    "knn_caption": (lambda s, d: Y.pair_captions(dense(s, Whole(d)).where("category_id = 1"), dense(s, Whole(d)).where("category_id = 3")), None),
     "align_page": (lambda s, d: E.align_pages(_few(items(s, d)), _few(items_b(s, d))), None),
     "order_corr": (lambda s, d: E.match_orders(_few(items(s, d)), _few(items_b(s, d))), None),
     "teds": (teds, None),

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Whole(str):
+    """A directory of tables of which a query takes every row and whole texts. With a plain name the
+    views below cut as the given SQL does."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,0 +1,27 @@
+"""Queries over every row and whole texts, named NAME_whole, beside those whose SQL takes a part:
+the same functions on Whole tables, with SQL of their own where DuckDB gives the same rows."""
+
+from __future__ import annotations
+
+from quire.plans import assembly, joins, stats
+from quire.plans.joins import CROWDED, DENSE
+from quire.plans.views import Whole
+
+
+def whole(query):
+    return lambda spark, sf_dir: query(spark, Whole(sf_dir))
+
+
+def _crowded(sql: str) -> str:
+    return sql.replace(DENSE, CROWDED).replace("a.page < 40 AND ", "")
+
+
+#: Their SQL begins with DENSE, but they read all boxes.
+_ALL_BOXES = {"sheet_bounds", "table_grid"}
+
+QUERIES = {
+    f"{name}_whole": (whole(query), _crowded(sql))
+    for module in (joins, stats, assembly)
+    for name, (query, sql) in module.QUERIES.items()
+    if sql and DENSE in sql and name not in _ALL_BOXES
+}
