@@ -182,23 +182,41 @@ def character_error_rate(ref: Column, hyp: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.levenshtein(ref, hyp) / F.when(n > 0, n))
 
 
+def _given(body, **columns: Column) -> Column:
+    """body of a struct of the columns, each worked out once and not again for each element of an array."""
+    return F.transform(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))), body)[0]
+
+
+def _coded(tokens: Column, known: Column) -> Column:
+    """One character for each distinct token, however many there are (surrogates are no characters)."""
+    def one(t):
+        n = F.array_position(known, t) + 33
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(tokens, one), "")
+
+
+def _sequence_distance(a: Column, b: Column) -> Column:
+    def run(s):
+        return F.levenshtein(_coded(s["a"], s["known"]), _coded(s["b"], s["known"]))
+    return _given(run, a=a, b=b, known=F.array_distinct(F.concat(a, b)))
+
+
 def word_error_rate(ref: Column, hyp: Column) -> Column:
     """Edit distance between word sequences over the words of ref: each distinct word becomes one
     character, then characters are compared."""
     words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
     a, b = words(ref), words(hyp)
-    known = F.array_distinct(F.concat(a, b))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.char((F.array_position(known, w) + 33).cast("long"))), "")
     n = F.when(F.size(a) > 0, F.size(a)).otherwise(F.size(b))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.levenshtein(coded(a), coded(b)) / F.when(n > 0, n))
+    return F.when(n == 0, F.lit(0.0)).otherwise(_sequence_distance(a, b) / F.when(n > 0, n))
 
 
 def token_coverage(target: Column, candidate: Column) -> Column:
     """Share of the target's tokens (longer than one character) that the candidate has."""
     tokens = lambda s: F.filter(F.split(s, r"\s+"), lambda t: F.length(t) > 1)
-    t, c = tokens(target), tokens(candidate)
-    hits = F.size(F.filter(t, lambda x: F.array_contains(c, x)))
-    return F.when((F.size(t) == 0) | (F.size(c) == 0), F.lit(0.0)).otherwise(hits / F.when(F.size(t) > 0, F.size(t)))
+    def share(s):
+        hits = F.size(F.filter(s["t"], lambda x: F.array_contains(s["c"], x)))
+        return F.when((F.size(s["t"]) == 0) | (F.size(s["c"]) == 0), F.lit(0.0)).otherwise(hits / F.when(F.size(s["t"]) > 0, F.size(s["t"])))
+    return _given(share, t=tokens(target), c=tokens(candidate))
 
 
 def comparable(s: Column) -> Column:
@@ -208,13 +226,15 @@ def comparable(s: Column) -> Column:
 
 def ordered_coverage(target: Column, candidate: Column) -> Column:
     """Share of the target's tokens met by the candidate's in the target's order."""
-    t, c = F.split(comparable(target), " "), F.split(comparable(candidate), " ")
     start = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("at"))
-    def step(state, token):
-        found = F.array_position(F.slice(t, state["at"] + 1, F.greatest(F.size(t) - state["at"], F.lit(0))), token).cast("int")
-        return F.when(found > 0, F.struct((state["hits"] + 1).alias("hits"), (state["at"] + found).alias("at"))).otherwise(state)
-    hits = F.aggregate(c, start, step, lambda s: s["hits"])
-    return F.when((comparable(target) == "") | (comparable(candidate) == ""), F.lit(0.0)).otherwise(hits / F.size(t))
+    def share(both):
+        t = both["t"]
+        def step(state, token):
+            found = F.array_position(F.slice(t, state["at"] + 1, F.greatest(F.size(t) - state["at"], F.lit(0))), token).cast("int")
+            return F.when(found > 0, F.struct((state["hits"] + 1).alias("hits"), (state["at"] + found).alias("at"))).otherwise(state)
+        return F.aggregate(both["c"], start, step, lambda s: s["hits"]) / F.size(t)
+    shared = _given(share, t=F.split(comparable(target), " "), c=F.split(comparable(candidate), " "))
+    return F.when((comparable(target) == "") | (comparable(candidate) == ""), F.lit(0.0)).otherwise(shared)
 
 
 #: Macros that only space or size, and macros with one meaning.
@@ -245,10 +265,8 @@ def normal_latex(s: Column) -> Column:
 
 def tokens_rate(a: Column, b: Column) -> Column:
     """NED between two arrays of tokens: each distinct token becomes one character."""
-    known = F.array_distinct(F.concat(a, b))
-    coded = lambda ts: F.array_join(F.transform(ts, lambda t: F.char((F.array_position(known, t) + 33).cast("long"))), "")
     n = F.greatest(F.size(a), F.size(b))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.levenshtein(coded(a), coded(b)) / F.when(n > 0, n))
+    return F.when(n == 0, F.lit(0.0)).otherwise(_sequence_distance(a, b) / F.when(n > 0, n))
 
 
 def cell_text(s: Column) -> Column:

@@ -9,7 +9,7 @@ from quire.functions import text as T
 from quire.operators import runs as R
 from quire.operators import stats as S
 from quire.plans.joins import DENSE, TYPED, dense, typed
-from quire.plans.views import BOXES, ITEMS, ITEMS_B, RUNS, TEXT_PAIRS, boxes, items, items_b, micro, micro_sql, runs, table, text_pairs
+from quire.plans.views import BOXES, ITEMS, ITEMS_B, RUNS, TEXT_PAIRS, Whole, boxes, items, items_b, micro, micro_sql, runs, table, text_pairs
 
 
 def merge_intervals(spark, sf_dir):
@@ -95,9 +95,12 @@ def js_stats(spark, sf_dir):
 
 
 def strata_report(spark, sf_dir):
-    """NED of the two systems by source and language, with totals."""
-    d = table(spark, sf_dir, "documents").where("length(text) = octet_length(text)")
-    ref = F.substring("text", 1, 200)
+    """NED of the two systems by source and language, with totals; of whole documents if sf_dir is Whole."""
+    d, ref = table(spark, sf_dir, "documents"), F.col("text")
+    if not isinstance(sf_dir, Whole):
+        d, ref = d.where("length(text) = octet_length(text)"), F.substring("text", 1, 200)
+    else:  # distances of long texts are what takes time: a small file must not leave them to one task
+        d = d.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
     d = d.withColumn("v", micro(T.edit_rate(ref, F.translate(ref, "e", "a"))))
     return d.rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most")).select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n", "total", "least", "most")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.plans.views import ITEMS, TEXT_PAIRS, items, micro, micro_sql, table, text_pairs
+from quire.plans.views import ITEMS, TEXT_PAIRS, Whole, items, micro, micro_sql, table, text_pairs
 
 
 def _docs(columns, where: str | None = None):
@@ -34,8 +34,8 @@ _BOLD = f"CASE WHEN doc_id % 6 = 0 THEN '***' || {_CORE} || '***' WHEN doc_id %
 _STRIKE = f"CASE WHEN doc_id % 5 = 0 THEN '~~' || {_BOLD} || '~~' ELSE {_BOLD} END"
 _PATH = lambda: F.concat(F.lit("s3://bucket"), F.col("doc_id") % 5, F.lit("/dir/"), F.col("source"), F.lit("/f."), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("?bytes="), F.col("doc_id"), F.lit(","), F.col("doc_id") * 2)).otherwise(F.lit("")))
 _PATH_SQL = "('s3://bucket' || (doc_id % 5) || '/dir/' || source || '/f.' || lang || CASE WHEN doc_id % 2 = 0 THEN '?bytes=' || doc_id || ',' || (doc_id * 2) ELSE '' END)"
-_LATEX = lambda: F.concat(F.lit(r"$\left( \dfrac{a}{b} \, x \right) \le \times "), F.substring("ref", 1, 20), F.lit("$"))
-_LATEX_HYP = lambda: F.concat(F.lit(r"\[ ( \frac{a}{b} y ) \leq * "), F.substring("hyp", 1, 20), F.lit(r" \]"))
+_LATEX = lambda ref: F.concat(F.lit(r"$\left( \dfrac{a}{b} \, x \right) \le \times "), ref, F.lit("$"))
+_LATEX_HYP = lambda hyp: F.concat(F.lit(r"\[ ( \frac{a}{b} y ) \leq * "), hyp, F.lit(r" \]"))
 _TABLE = lambda: F.concat(F.lit("<table><tr><th>part</th><th>qty</th></tr>"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("doc_id") % 4 + 1), lambda k: F.concat(F.lit("<tr><td>"), F.col("doc_id"), F.lit("</td><td>"), k, F.lit("</td></tr>"))), ""), F.lit("</table>"))
 _TABLE_SQL = "('<table><tr><th>part</th><th>qty</th></tr>' || array_to_string(list_transform(range(1, doc_id % 4 + 2), lambda k: '<tr><td>' || doc_id || '</td><td>' || k || '</td></tr>'), '') || '</table>')"
 _CAPTION = lambda: F.concat(F.lit("Table "), F.col("doc_id"), F.element_at(F.array(*map(F.lit, ["", " (continued)", " （续表）", " (cont.)", " (Continued) of it", "续表", " continued"])), (F.col("doc_id") % 7 + 1).cast("int")))
@@ -130,8 +130,8 @@ QUERIES = {
     ),
     "token_coverage": (_pairs(lambda: dict(v=micro(T.token_coverage(F.col("ref"), F.col("hyp"))))), f"WITH {TEXT_PAIRS}, w AS (SELECT *, list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: length(x) > 1) AS a, list_filter(regexp_split_to_array(hyp, '\\s+'), lambda x: length(x) > 1) AS b FROM tp) SELECT doc_id, item_pos, {micro_sql('CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_filter(a, lambda x: list_contains(b, x))) / CAST(len(a) AS DOUBLE) END')} AS v FROM w"),
     "ordered_coverage": (_pairs(lambda: dict(v=micro(T.ordered_coverage(F.substring("ref", 1, 60), F.substring("ref", 1, 60))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, CAST(CASE WHEN regexp_matches(substr(ref, 1, 60), '[0-9A-Za-z]') THEN 1000000 ELSE 0 END AS BIGINT) AS v FROM tp"),
-    "latex_tokens": (_pairs(lambda: dict(a=T.normal_latex(F.lit(r"$\left( \dfrac{a}{b} \, x \right) \le \times \quad c$")), n=F.size(T.latex_tokens(_LATEX())))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, '(\\frac{{a}}{{b}}x)\\leq*c' AS a, CAST(12 + len(regexp_extract_all(replace(substr(ref, 1, 20), '$', ''), '(\\\\[a-zA-Z]+|\\\\.|[^ \\t\\n\\r\\f\\v])')) AS INTEGER) AS n FROM tp"),
-    "latex_ned": (_pairs(lambda: dict(v=micro(T.tokens_rate(T.latex_tokens(_LATEX()), T.latex_tokens(_LATEX_HYP()))))), None),
+    "latex_tokens": (_pairs(lambda: dict(a=T.normal_latex(F.lit(r"$\left( \dfrac{a}{b} \, x \right) \le \times \quad c$")), n=F.size(T.latex_tokens(_LATEX(F.substring("ref", 1, 20)))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, '(\\frac{{a}}{{b}}x)\\leq*c' AS a, CAST(12 + len(regexp_extract_all(replace(substr(ref, 1, 20), '$', ''), '(\\\\[a-zA-Z]+|\\\\.|[^ \\t\\n\\r\\f\\v])')) AS INTEGER) AS n FROM tp"),
+    "latex_ned": (lambda s, d: _pairs(lambda: dict(v=micro(T.tokens_rate(T.latex_tokens(_LATEX(F.col("ref"))), T.latex_tokens(_LATEX_HYP(F.col("hyp")))))))(s, Whole(d)), None),
     "cell_text": (_docs(lambda: [("t", T.cell_text(_MIXED()))]), "SELECT doc_id, regexp_replace(substr(text, 1, 100), '[ \\t\\n\\r\\f\\v]+', '', 'g') AS t FROM documents"),
     "continuation": (_docs(lambda: [("v", T.is_continuation(_CAPTION()))]), "SELECT doc_id, doc_id % 7 IN (1, 2, 3, 4, 5) AS v FROM documents"),
     "cell_count": (_docs(lambda: [("n", T.cells(_TABLE()))]), f"SELECT doc_id, CAST(2 + 2 * (doc_id % 4 + 1) AS INTEGER) AS n FROM documents"),

@@ -97,10 +97,13 @@ ITEMS_B = f"""{ITEMS}, items_b AS (
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched ASCII items of the two systems: doc_id, item_pos, ref, hyp (of at most 200 characters)."""
+    """Matched items of the two systems: doc_id, item_pos, ref, hyp; all of them and whole if sf_dir
+    is Whole, else the ASCII ones, of at most 200 characters."""
     a, b = items(spark, sf_dir), items_b(spark, sf_dir)
     b = b.select(F.col("doc_id").alias("d"), F.col("item_pos").alias("p"), F.col("text").alias("hyp"))
     both = a.join(b, (F.col("doc_id") == F.col("d")) & (F.col("item_pos") == F.col("p")))
+    if isinstance(sf_dir, Whole):
+        return both.select("doc_id", "item_pos", F.col("text").alias("ref"), "hyp")
     both = both.where(F.length("text") == F.octet_length("text"))
     return both.select("doc_id", "item_pos", F.substring("text", 1, 200).alias("ref"), F.substring("hyp", 1, 200).alias("hyp"))
 
@@ -108,6 +111,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_PAIRS = f"""{ITEMS_B}, tp AS (
     SELECT a.doc_id, a.item_pos, substr(a.text, 1, 200) AS ref, substr(b.text, 1, 200) AS hyp
     FROM items a JOIN items_b b ON a.doc_id = b.doc_id AND a.item_pos = b.item_pos WHERE length(a.text) = strlen(a.text))"""
+WHOLE_PAIRS = f"{ITEMS_B}, tp AS (SELECT a.doc_id, a.item_pos, a.text AS ref, b.text AS hyp FROM items a JOIN items_b b ON a.doc_id = b.doc_id AND a.item_pos = b.item_pos)"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

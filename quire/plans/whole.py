@@ -3,9 +3,12 @@ the same functions on Whole tables, with SQL of their own where DuckDB gives the
 
 from __future__ import annotations
 
-from quire.plans import assembly, joins, stats
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.plans import assembly, joins, stats, text
 from quire.plans.joins import CROWDED, DENSE
-from quire.plans.views import Whole
+from quire.plans.views import TEXT_PAIRS, WHOLE_PAIRS, Whole, micro
 
 
 def whole(query):
@@ -25,3 +28,25 @@ QUERIES = {
     for name, (query, sql) in module.QUERIES.items()
     if sql and DENSE in sql and name not in _ALL_BOXES
 }
+
+
+def _pairs(columns):
+    return whole(text._pairs(columns))
+
+
+def _pairs_sql(name: str, *swaps: tuple[str, str]) -> str:
+    sql = text.QUERIES[name][1].replace(TEXT_PAIRS, WHOLE_PAIRS)
+    for old, new in swaps:
+        sql = sql.replace(old, new)
+    return sql
+
+
+# DuckDB's levenshtein counts bytes and is slow on long texts: no SQL for what needs it.
+QUERIES |= {f"{name}_whole": (whole(text.QUERIES[name][0]), None) for name in ("edit_distance", "ned", "cer_wer")}
+QUERIES |= {
+    "token_coverage_whole": (whole(text.QUERIES["token_coverage"][0]), _pairs_sql("token_coverage")),
+    "ordered_coverage_whole": (_pairs(lambda: dict(v=micro(T.ordered_coverage(F.col("ref"), F.col("hyp"))))), None),
+    "latex_tokens_whole": (_pairs(lambda: dict(a=T.normal_latex(F.lit(r"$\left( \dfrac{a}{b} \, x \right) \le \times \quad c$")), n=F.size(T.latex_tokens(text._LATEX(F.col("ref")))))), _pairs_sql("latex_tokens", ("substr(ref, 1, 20)", "ref"))),
+    "space_rule_whole": (_pairs(lambda: dict(v=T.needs_space(F.substring("ref", 1, 9), F.expr("substring(ref, 10)")))), _pairs_sql("space_rule", ("substr(ref, 10, 5)", "substr(ref, 10)"))),
+    "strata_report_whole": (whole(stats.strata_report), None),
+}

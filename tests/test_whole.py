@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from quire.operators import evaluation as E
 from quire.plans import catalog
 from quire.plans.joins import crowded, dense
 from quire.plans.views import Whole
@@ -40,3 +41,63 @@ def test_far_pages_read_like_near_ones(spark, far, name):
 def test_char_in_span_takes_all_pages(spark, far):
     pages = {r.page for r in catalog.queries()["char_in_span_whole"](spark, far).select("page").distinct().collect()}
     assert pages == {r.page for r in crowded(spark, far).where("pos % 3 = 0").select("page").distinct().collect()}
+
+
+LINES = [" ".join(f"w{k}é" for k in range(300)), "e" + "x" * 250 + "e", "Größe der Dinge, e und a", "plain e text", " ".join(f"t{k % 7}" for k in range(90)), "señor e ñu"]
+
+
+@pytest.fixture(scope="module")
+def papers(spark, tmp_path_factory):
+    """Documents with 300 distinct words in a line, an edit beyond character 200, and lines that are not ASCII."""
+    to = str(tmp_path_factory.mktemp("papers"))
+    rows = [(k, "\n".join(LINES[k:] + LINES[:k]), "de" if k % 2 else "en", f"s{k % 3}") for k in range(len(LINES))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{to}/documents.parquet")
+    return to
+
+
+def _scored(rows, rule):
+    """Brute force over all items of the fixture that both systems have."""
+    out = {}
+    for k in range(len(LINES)):
+        for pos, ref in enumerate(LINES[k:] + LINES[:k]):
+            hyp = ref.replace("e", "a") if pos % 5 == 0 else ref
+            out[(k, pos)] = rule(ref, hyp)
+    assert {(r.doc_id, r.item_pos): tuple(r)[2:] for r in rows} == out
+
+
+def _micro(x):
+    return int(x * 1e6 + 0.5)
+
+
+def test_pairs_are_scored_whole(spark, papers):
+    q = lambda name: catalog.queries()[name](spark, papers).collect()
+    _scored(q("edit_distance_whole"), lambda a, b: (E.levenshtein(a, b),))
+    _scored(q("ned_whole"), lambda a, b: (_micro(E.rate(a, b)),))
+    _scored(q("cer_wer_whole"), lambda a, b: (_micro(E.levenshtein(a, b) / len(a)), _micro(E.levenshtein(a.split(), b.split()) / len(a.split()))))
+
+
+def test_many_distinct_words_do_not_collide(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import text as T
+
+    a = " ".join(f"w{k}" for k in range(600))
+    b = " ".join(f"w{(k + 256) % 600}" for k in range(600))
+    found = spark.range(1).select(T.word_error_rate(F.lit(a), F.lit(b)), T.tokens_rate(F.split(F.lit(a), " "), F.split(F.lit(b), " "))).first()
+    expected = E.levenshtein(a.split(), b.split()) / 600
+    assert tuple(found) == (expected, expected)
+
+
+def test_strata_of_whole_documents(spark, papers):
+    rows = catalog.queries()["strata_report_whole"](spark, papers).collect()
+    total = next(r for r in rows if r.lang == r.source == "*")
+    texts = ["\n".join(LINES[k:] + LINES[:k]) for k in range(len(LINES))]
+    assert (total.n, total.total) == (len(texts), sum(_micro(E.rate(t, t.replace("e", "a"))) for t in texts))
+
+
+def test_coverage_of_whole_lines(spark, papers):
+    rows = {(r.doc_id, r.item_pos): r.v for r in catalog.queries()["ordered_coverage_whole"](spark, papers).collect()}
+    assert len(rows) == 36 and rows[(0, 0)] == 1000000  # 300 words, no e: the é stays
+    assert rows[(2, 0)] < 1000000
+    n = {(r.doc_id, r.item_pos): r.n for r in catalog.queries()["latex_tokens_whole"](spark, papers).collect()}
+    assert n[(1, 0)] == 12 + 252
