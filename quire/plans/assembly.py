@@ -41,10 +41,6 @@ def teds(spark, sf_dir):
     return j.select("page", micro(E.teds_column(F.col("a"), F.col("b"))).alias("teds"), micro(E.teds_column(F.col("a"), F.col("b"), False)).alias("teds_struct"))
 
 
-def _few(df):
-    return df.where("page_idx < 2 AND doc_id % 4 = 0")
-
-
 class Shout(BatchModel):
     def predict(self, batch: pd.Series) -> pd.Series:
         return batch.str.upper().str.slice(0, 20)
@@ -202,8 +198,8 @@ QUERIES = {
     "sorted_boxes": (lambda s, d: Y.row_order(dense(s, Whole(d))), None),
     "merge_adjacent": (lambda s, d: Y.merge_words(dense(s, Whole(d))), None),
     "knn_caption": (lambda s, d: Y.pair_captions(dense(s, Whole(d)).where("category_id = 1"), dense(s, Whole(d)).where("category_id = 3")), None),
-    "align_page": (lambda s, d: E.align_pages(_few(items(s, d)), _few(items_b(s, d))), None),
-    "order_corr": (lambda s, d: E.match_orders(_few(items(s, d)), _few(items_b(s, d))), None),
+    "align_page": (lambda s, d: E.align_pages(items(s, d), items_b(s, d)), None),
+    "order_corr": (lambda s, d: E.match_orders(items(s, d), items_b(s, d)), None),
     "teds": (teds, None),
     "custom_model": (custom_model, f"WITH {ITEMS} SELECT doc_id, item_pos, substr(upper(text), 1, 20) AS out FROM items WHERE length(text) = strlen(text)"),
     "stage_chain": (stage_chain, f"WITH {ITEMS} SELECT doc_id, page_idx, md5(string_agg(CASE WHEN item_pos % 2 = 0 THEN upper(substr(text, 1, 20)) ELSE substr(text, 1, 20) END, chr(10) ORDER BY item_pos)) AS page FROM items WHERE length(text) = strlen(text) GROUP BY ALL"),

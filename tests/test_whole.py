@@ -101,3 +101,13 @@ def test_coverage_of_whole_lines(spark, papers):
     assert rows[(2, 0)] < 1000000
     n = {(r.doc_id, r.item_pos): r.n for r in catalog.queries()["latex_tokens_whole"](spark, papers).collect()}
     assert n[(1, 0)] == 12 + 252
+
+
+@pytest.mark.parametrize("name", ["align_page", "order_corr"])
+def test_every_page_of_every_document_is_aligned(spark, tmp_path, name):
+    text = "\n".join(f"line {k} of a document" for k in range(70))  # pages 0..3
+    spark.createDataFrame([(k, text) for k in range(3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.page_idx) for r in rows} == {(d, p) for d in range(3) for p in range(4)}
+    if name == "align_page":
+        assert sum(r.pos_a is not None for r in rows) == 3 * 70
