@@ -28,7 +28,8 @@ def _boxes(df):
 def _html(kind: str, drop: int):
     """A table for each order: one row for each line."""
     def run(spark, sf_dir):
-        d = boxes(spark, sf_dir).where(f"page < 3000 AND pos % {drop} <> 1")
+        d = boxes(spark, sf_dir).where(f"pos % {drop} <> 1")
+        d = d if isinstance(sf_dir, Whole) else d.where("page < 3000")
         cell = F.concat(F.lit("<tr><td>"), F.col("x0").cast("long"), F.lit("</td><td>"), F.col("category_id"), F.lit("</td></tr>"))
         rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", cell.alias("c")))), lambda s: s["c"]), "")
         return d.groupBy("page").agg(F.concat(F.lit("<table><tr><th>part</th><th>qty</th></tr>"), rows, F.lit("</table>")).alias(kind))
@@ -36,7 +37,7 @@ def _html(kind: str, drop: int):
 
 
 def teds(spark, sf_dir):
-    a, b = _html("a", 9)(spark, sf_dir), _html("b", 3)(spark, sf_dir)
+    a, b = _html("a", 9)(spark, Whole(sf_dir)), _html("b", 3)(spark, Whole(sf_dir))
     j = a.join(b, "page")
     return j.select("page", micro(E.teds_column(F.col("a"), F.col("b"))).alias("teds"), micro(E.teds_column(F.col("a"), F.col("b"), False)).alias("teds_struct"))
 
@@ -175,7 +176,7 @@ def html_rows(spark, sf_dir):
 
 def header_prefix(spark, sf_dir):
     """Leading rows that two tables share."""
-    a, b = _html("a", 9)(spark, sf_dir), _html("b", 3)(spark, sf_dir)
+    a, b = _html("a", 9)(spark, Whole(sf_dir)), _html("b", 3)(spark, Whole(sf_dir))
     j = a.join(b, "page").select("page", T.table_rows(F.col("a")).alias("a"), T.table_rows(F.col("b")).alias("b"))
     same = F.zip_with(F.slice("a", 1, 5), F.slice("b", 1, 5), lambda x, y: F.coalesce(F.array_join(x, "|") == F.array_join(y, "|"), F.lit(False)))
     return j.select("page", F.aggregate(same, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & x).alias("on"), F.when(s["on"] & x, s["n"] + 1).otherwise(s["n"]).alias("n")), lambda s: s["n"]).alias("rows"))

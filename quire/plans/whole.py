@@ -50,3 +50,4 @@ QUERIES |= {
     "space_rule_whole": (_pairs(lambda: dict(v=T.needs_space(F.substring("ref", 1, 9), F.expr("substring(ref, 10)")))), _pairs_sql("space_rule", ("substr(ref, 10, 5)", "substr(ref, 10)"))),
     "strata_report_whole": (whole(stats.strata_report), None),
 }
+QUERIES["table_grid_whole"] = (whole(assembly.html_rows), assembly.QUERIES["table_grid"][1].replace("page < 3000 AND ", ""))

@@ -111,3 +111,11 @@ def test_every_page_of_every_document_is_aligned(spark, tmp_path, name):
     assert {(r.doc_id, r.page_idx) for r in rows} == {(d, p) for d in range(3) for p in range(4)}
     if name == "align_page":
         assert sum(r.pos_a is not None for r in rows) == 3 * 70
+
+
+@pytest.mark.parametrize("name", ["teds", "header_prefix", "table_grid_whole"])
+def test_tables_of_far_orders(spark, far, name):
+    df = catalog.queries()[name](spark, far)
+    rows = df.select("page", *sorted(set(df.columns) - {"page"})).collect()
+    near = sorted(tuple(r) for r in rows if r.page < 3000)
+    assert near and sorted((r.page - 60000, *tuple(r)[1:]) for r in rows if r.page >= 60000) == near
