@@ -70,7 +70,8 @@ def to_markdown(spark, sf_dir):
 
 
 def content_list_v2(spark, sf_dir):
-    d = items(spark, sf_dir).where("item_pos < 40")
+    d = items(spark, sf_dir)
+    d = d if isinstance(sf_dir, Whole) else d.where("item_pos < 40")
     page = d.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("item_pos", "type"))).alias("l"), F.sum(F.length("text")).alias("chars"))
     return page.select("doc_id", "page_idx", F.size("l").alias("n"), "chars", F.array_join(F.transform("l", lambda s: s["type"]), ",").alias("types"))
 
@@ -87,7 +88,7 @@ def caption_adjacent(spark, sf_dir):
 def toc_semi(spark, sf_dir):
     """Entries of a contents list keep their anchor only if the body has it."""
     d = items(spark, sf_dir)
-    entries, body = d.where("item_pos < 10"), d.where("item_pos % 3 = 0").select(F.col("doc_id").alias("d"), F.col("item_pos").alias("anchor"))
+    entries, body = d if isinstance(sf_dir, Whole) else d.where("item_pos < 10"), d.where("item_pos % 3 = 0").select(F.col("doc_id").alias("d"), F.col("item_pos").alias("anchor"))
     j = entries.join(body, (F.col("doc_id") == F.col("d")) & (F.col("item_pos") == F.col("anchor")), "left")
     return j.select("doc_id", "item_pos", "anchor")
 
@@ -163,7 +164,8 @@ def union_routes(spark, sf_dir):
 def resume_offset(spark, sf_dir):
     """Pages of a resumed run counted on from where the first one stopped."""
     d = items(spark, sf_dir).groupBy("doc_id").agg(F.max("page_idx").alias("last"))
-    i = items(spark, sf_dir).where("item_pos < 20").join(d, "doc_id")
+    i = items(spark, sf_dir)
+    i = (i if isinstance(sf_dir, Whole) else i.where("item_pos < 20")).join(d, "doc_id")
     return i.select("doc_id", "item_pos", (F.col("page_idx") + F.col("last") + 1).cast("int").alias("page_idx"))
 
 

@@ -293,7 +293,8 @@ def union_make(spark, sf_dir):
 
 def middle_json(spark, sf_dir):
     """Pages with their blocks as one JSON text for each document."""
-    d = items(spark, sf_dir).where("item_pos < 40")
+    d = items(spark, sf_dir)
+    d = d if isinstance(sf_dir, Whole) else d.where("item_pos < 40")
     block = F.struct(F.col("item_pos").alias("index"), F.length("text").alias("chars"))
     page = d.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
     whole = F.array_sort(F.collect_list(F.struct("page_idx", "blocks")))
@@ -309,8 +310,10 @@ def gt_score(spark, sf_dir):
     """Scores of system B against A with A's counts below the line: what is missing scores worst."""
     a, b = items(spark, sf_dir), items_b(spark, sf_dir)
     b = b.select(F.col("doc_id").alias("d"), F.col("item_pos").alias("p"), F.col("type").alias("type_b"), F.col("text").alias("hyp"))
-    j = a.where("length(text) = octet_length(text) AND item_pos < 30").join(b, (F.col("doc_id") == F.col("d")) & (F.col("item_pos") == F.col("p")), "left")
-    cost = F.when(F.col("hyp").isNull() | (F.col("type_b") != F.col("type")), F.lit(1000000)).otherwise(micro(T.edit_rate(F.substring("text", 1, 100), F.substring("hyp", 1, 100))))
+    cut = (lambda c: F.col(c)) if isinstance(sf_dir, Whole) else (lambda c: F.substring(c, 1, 100))
+    a = a if isinstance(sf_dir, Whole) else a.where("length(text) = octet_length(text) AND item_pos < 30")
+    j = a.join(b, (F.col("doc_id") == F.col("d")) & (F.col("item_pos") == F.col("p")), "left")
+    cost = F.when(F.col("hyp").isNull() | (F.col("type_b") != F.col("type")), F.lit(1000000)).otherwise(micro(T.edit_rate(cut("text"), cut("hyp"))))
     return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gt"), F.sum(cost).alias("cost"), F.count_if(F.col("hyp").isNull()).alias("only_gt"))
 
 

@@ -64,8 +64,10 @@ def chars_to_text(spark, sf_dir):
     """Characters of a line with a space where the gap exceeds a quarter of the median width."""
     from pyspark.sql import Window
 
-    d = items(spark, sf_dir).where("length(text) = octet_length(text) AND item_pos < 5")
-    c = d.select("doc_id", "item_pos", F.posexplode(F.split(F.substring("text", 1, 60), "")).alias("k", "ch")).where("ch <> ''")
+    d, text = items(spark, sf_dir), F.col("text")
+    if not isinstance(sf_dir, Whole):
+        d, text = d.where("length(text) = octet_length(text) AND item_pos < 5"), F.substring("text", 1, 60)
+    c = d.select("doc_id", "item_pos", F.posexplode(F.split(text, "")).alias("k", "ch")).where("ch <> ''")
     width = F.when(F.col("ch").isin("i", "l", "t"), 3).otherwise(6)
     c = c.withColumn("x0", F.col("k") * 8 + F.when(F.col("k") % 9 == 0, 3).otherwise(0)).withColumn("x1", F.col("x0") + width)
     line = Window.partitionBy("doc_id", "item_pos")

@@ -51,3 +51,19 @@ QUERIES |= {
     "strata_report_whole": (whole(stats.strata_report), None),
 }
 QUERIES["table_grid_whole"] = (whole(assembly.html_rows), assembly.QUERIES["table_grid"][1].replace("page < 3000 AND ", ""))
+
+
+def _without(sql: str, *cuts: str) -> str:
+    for cut in cuts:
+        sql = sql.replace(cut, "")
+    return sql
+
+
+QUERIES |= {
+    "gt_score_whole": (whole(stats.gt_score), None),
+    "middle_json_whole": (whole(stats.middle_json), _without(stats.QUERIES["middle_json"][1], "WHERE item_pos < 40 ")),
+    "content_list_v2_whole": (whole(assembly.content_list_v2), _without(assembly.QUERIES["content_list_v2"][1], "WHERE item_pos < 40 ")),
+    "resume_offset_whole": (whole(assembly.resume_offset), _without(assembly.QUERIES["resume_offset"][1], " WHERE item_pos < 20")),
+    "toc_semi_whole": (whole(assembly.toc_semi), _without(assembly.QUERIES["toc_semi"][1], " WHERE item_pos < 10")),
+    "chars_to_text_whole": (whole(text.chars_to_text), text.QUERIES["chars_to_text"][1].replace("least(60, length(text))", "length(text)").replace(" WHERE length(text) = strlen(text) AND item_pos < 5", "")),
+}

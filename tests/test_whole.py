@@ -119,3 +119,17 @@ def test_tables_of_far_orders(spark, far, name):
     rows = df.select("page", *sorted(set(df.columns) - {"page"})).collect()
     near = sorted(tuple(r) for r in rows if r.page < 3000)
     assert near and sorted((r.page - 60000, *tuple(r)[1:]) for r in rows if r.page >= 60000) == near
+
+
+def test_long_documents_keep_all_items(spark, tmp_path):
+    lines = [f"größe {k} " + "e" * 120 for k in range(70)]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    gone = [k for k in range(70) if k % 7 == 6]
+    costs = [1.0 if k % 7 == 6 or k % 11 == 10 else E.rate(t, t.replace("e", "a") if k % 5 == 0 else t) for k, t in enumerate(lines)]
+    score = q("gt_score_whole")[0]
+    assert (score.n_gt, score.only_gt, score.cost) == (70, len(gone), sum(map(_micro, costs)))
+    assert {r.page_idx for r in q("content_list_v2_whole")} == {0, 1, 2, 3}
+    assert q("middle_json_whole")[0].pdf_info.count('"index"') == 70
+    assert len(q("resume_offset_whole")) == len(q("toc_semi_whole")) == 70
+    assert all(len(r.text) >= 120 for r in q("chars_to_text_whole")) and len(q("chars_to_text_whole")) == 70
