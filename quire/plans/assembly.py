@@ -47,14 +47,28 @@ class Shout(BatchModel):
         return batch.str.upper().str.slice(0, 20)
 
 
+class ShoutAll(BatchModel):
+    def predict(self, batch: pd.Series) -> pd.Series:
+        return batch.str.upper()
+
+
+def _read(spark, sf_dir):
+    """Items, the model and what stands for a text that no model reads: whole, or ASCII ones cut to 20 characters."""
+    d = items(spark, sf_dir)
+    if isinstance(sf_dir, Whole):
+        return d, ShoutAll, F.col("text")
+    return d.where("length(text) = octet_length(text)"), Shout, F.substring("text", 1, 20)
+
+
 def custom_model(spark, sf_dir):
-    return items(spark, sf_dir).where("length(text) = octet_length(text)").select("doc_id", "item_pos", apply_model(Shout, F.col("text")).alias("out"))
+    d, model, _ = _read(spark, sf_dir)
+    return d.select("doc_id", "item_pos", apply_model(model, F.col("text")).alias("out"))
 
 
 def stage_chain(spark, sf_dir):
     """Stages one after the other: detections to regions, regions to a model, results to pages."""
-    d = items(spark, sf_dir).where("length(text) = octet_length(text)")
-    read = d.withColumn("out", F.when(F.col("item_pos") % 2 == 0, apply_model(Shout, F.col("text"))).otherwise(F.substring("text", 1, 20)))
+    d, model, plain = _read(spark, sf_dir)
+    read = d.withColumn("out", F.when(F.col("item_pos") % 2 == 0, apply_model(model, F.col("text"))).otherwise(plain))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_pos", "out"))), lambda s: s["out"]), "\n")
     return read.groupBy("doc_id", "page_idx").agg(F.md5(F.encode(whole, "UTF-8")).alias("page"))
 
@@ -124,8 +138,10 @@ def type_seq(spark, sf_dir):
 
 def sketch_cost(spark, sf_dir):
     """Cost of matching long texts: by their ends, and by their lengths."""
-    d = table(spark, sf_dir, "documents").where("length(text) = octet_length(text) AND length(text) > 320")
-    hyp = F.translate(F.substring("text", 1, 2000), "e", "a")
+    d = table(spark, sf_dir, "documents").where("length(text) > 320")
+    hyp = F.translate("text", "e", "a")
+    if not isinstance(sf_dir, Whole):
+        d, hyp = d.where("length(text) = octet_length(text)"), F.translate(F.substring("text", 1, 2000), "e", "a")
     ends = lambda s: F.concat(F.left(s, F.lit(160)), F.lit("\n"), F.right(s, F.lit(160)))
     n = F.greatest(F.length("text"), F.length(hyp))
     v = F.least(F.lit(1.0), T.edit_rate(ends(F.col("text")), ends(hyp)) * 0.8 + F.abs(F.length("text") - F.length(hyp)) / n * 0.2)

@@ -264,7 +264,8 @@ def geomean(spark, sf_dir):
 
 def merge_para(spark, sf_dir):
     """Lines of a page joined to a paragraph: words broken at a line's end are joined, others spaced."""
-    d = items(spark, sf_dir).where("length(text) = octet_length(text)")
+    d = items(spark, sf_dir)
+    d = d if isinstance(sf_dir, Whole) else d.where("length(text) = octet_length(text)")
     d = d.withColumn("line", F.when(F.col("item_pos") % 3 == 2, F.concat("text", F.lit("x-"))).otherwise(F.col("text")))
     line = F.btrim(T.escape_markdown(T.full_to_half_alnum(F.col("line"))))
     piece = F.when(line.rlike(r"[A-Za-z]+-\s*$"), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(F.concat(line, F.lit(" ")))

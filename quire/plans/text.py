@@ -24,10 +24,11 @@ def _items(columns):
     return lambda spark, sf_dir: items(spark, sf_dir).select("doc_id", "item_pos", *(c.alias(k) for k, c in columns().items()))
 
 
-_MIXED = lambda: F.translate(F.substring("text", 1, 100), "abcABC012,", "ａｂｃＡＢＣ０１２，")
+_START = lambda n: F.substring("text", 1, n)
+_MIXED = lambda text: F.translate(text, "abcABC012,", "ａｂｃＡＢＣ０１２，")
 _MIXED_SQL = "translate(substr(text, 1, 100), 'abcABC012,', 'ａｂｃＡＢＣ０１２，')"
 _HYPHEN = lambda: F.when(F.col("item_pos") % 3 == 0, F.concat("text", F.lit("x- "))).otherwise(F.col("text"))
-_MARKED = lambda: F.concat(F.lit("*a* `b` ~c~ "), F.substring("text", 1, 80))
+_MARKED = lambda text: F.concat(F.lit("*a* `b` ~c~ "), text)
 _STYLE = lambda: F.filter(F.array(*(F.when(F.col("doc_id") % m == 0, F.lit(s)) for s, m in (("bold", 2), ("italic", 3), ("strikethrough", 5), ("underline", 7)))), lambda s: s.isNotNull())
 _CORE = "substr(text, 1, 20)"
 _BOLD = f"CASE WHEN doc_id % 6 = 0 THEN '***' || {_CORE} || '***' WHEN doc_id % 2 = 0 THEN '**' || {_CORE} || '**' WHEN doc_id % 3 = 0 THEN '*' || {_CORE} || '*' ELSE {_CORE} END"
@@ -99,13 +100,13 @@ SELECT lang, count(*) AS n, CAST(sum(CASE WHEN lang = CASE WHEN greatest(en, de,
 _HTML = "substr(html, 1, 4000)"
 
 QUERIES = {
-    "full_to_half": (_docs(lambda: [("t", T.full_to_half(_MIXED()))]), "SELECT doc_id, substr(text, 1, 100) AS t FROM documents"),
-    "full_to_half_alnum": (_docs(lambda: [("t", T.full_to_half_alnum(_MIXED()))]), "SELECT doc_id, translate(substr(text, 1, 100), ',', '，') AS t FROM documents"),
+    "full_to_half": (_docs(lambda: [("t", T.full_to_half(_MIXED(_START(100))))]), "SELECT doc_id, substr(text, 1, 100) AS t FROM documents"),
+    "full_to_half_alnum": (_docs(lambda: [("t", T.full_to_half_alnum(_MIXED(_START(100))))]), "SELECT doc_id, translate(substr(text, 1, 100), ',', '，') AS t FROM documents"),
     "hyphen_end": (_items(lambda: dict(v=T.ends_in_hyphen(_HYPHEN()))), f"WITH {ITEMS} SELECT doc_id, item_pos, item_pos % 3 = 0 OR regexp_matches(text, '[A-Za-z][-\u00ad\u2010\u2011\u2043][ \\t\\n\\r\\f\\v]*$') AS v FROM items"),
     "lang_detect": (_lang, _LANG),
     "ligatures": (_docs(lambda: [("t", T.replace_ligatures(F.concat(F.lit("ﬁeld ﬂow oﬀ eﬃcient wﬄ ﬅ ﬆ "), F.substring("text", 1, 20))))]), "SELECT doc_id, 'field flow off efficient wffl ft st ' || substr(text, 1, 20) AS t FROM documents"),
     "chars_to_text": (chars_to_text, _CHARS),
-    "md_escape": (_docs(lambda: [("t", T.escape_markdown(_MARKED())), ("level", T.title_level((F.col("doc_id") % 8 - 1).cast("int")))]), "SELECT doc_id, regexp_replace('*a* `b` ~c~ ' || substr(text, 1, 80), '([*`~])', '\\\\\\1', 'g') AS t, CAST(CASE WHEN doc_id % 8 - 1 > 4 THEN 4 WHEN doc_id % 8 - 1 < 1 THEN 0 ELSE doc_id % 8 - 1 END AS INTEGER) AS level FROM documents"),
+    "md_escape": (_docs(lambda: [("t", T.escape_markdown(_MARKED(_START(80)))), ("level", T.title_level((F.col("doc_id") % 8 - 1).cast("int")))]), "SELECT doc_id, regexp_replace('*a* `b` ~c~ ' || substr(text, 1, 80), '([*`~])', '\\\\\\1', 'g') AS t, CAST(CASE WHEN doc_id % 8 - 1 > 4 THEN 4 WHEN doc_id % 8 - 1 < 1 THEN 0 ELSE doc_id % 8 - 1 END AS INTEGER) AS level FROM documents"),
     "normalize_text": (_docs(lambda: [("t", T.squeeze(F.concat(F.lit(" \t a  b\n"), "text")))], where="length(text) = octet_length(text)"), "SELECT doc_id, trim(regexp_replace(' \t a  b\n' || text, '\\s+', ' ', 'g')) AS t FROM documents WHERE length(text) = strlen(text)".replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '")),
     "md_style": (_docs(lambda: [("t", T.style_markdown(F.substring("text", 1, 20), _STYLE()))]), f"SELECT doc_id, CASE WHEN text = '' THEN '' WHEN doc_id % 7 = 0 THEN '<u>' || {_STRIKE} || '</u>' ELSE {_STRIKE} END AS t FROM documents"),
     "md_plain": (lambda s, d: table(s, d, "pages").select("page_id", T.plain_markdown(F.substring("html", 1, 4000)).alias("t"), T.has_content(F.substring("html", 1, 4000)).alias("has")), f"WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML}, '<[^>]*>', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', ' ', 'g'), '[#*_`~|>\\-\\[\\](){{}}:;.,!?/\\\\]+', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM pages) SELECT page_id, t, regexp_matches(t, '[A-Za-z0-9\u00c0-\uffff]') AS has FROM p"),
@@ -134,7 +135,7 @@ QUERIES = {
     "ordered_coverage": (_pairs(lambda: dict(v=micro(T.ordered_coverage(F.substring("ref", 1, 60), F.substring("ref", 1, 60))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, CAST(CASE WHEN regexp_matches(substr(ref, 1, 60), '[0-9A-Za-z]') THEN 1000000 ELSE 0 END AS BIGINT) AS v FROM tp"),
     "latex_tokens": (_pairs(lambda: dict(a=T.normal_latex(F.lit(r"$\left( \dfrac{a}{b} \, x \right) \le \times \quad c$")), n=F.size(T.latex_tokens(_LATEX(F.substring("ref", 1, 20)))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, '(\\frac{{a}}{{b}}x)\\leq*c' AS a, CAST(12 + len(regexp_extract_all(replace(substr(ref, 1, 20), '$', ''), '(\\\\[a-zA-Z]+|\\\\.|[^ \\t\\n\\r\\f\\v])')) AS INTEGER) AS n FROM tp"),
     "latex_ned": (lambda s, d: _pairs(lambda: dict(v=micro(T.tokens_rate(T.latex_tokens(_LATEX(F.col("ref"))), T.latex_tokens(_LATEX_HYP(F.col("hyp")))))))(s, Whole(d)), None),
-    "cell_text": (_docs(lambda: [("t", T.cell_text(_MIXED()))]), "SELECT doc_id, regexp_replace(substr(text, 1, 100), '[ \\t\\n\\r\\f\\v]+', '', 'g') AS t FROM documents"),
+    "cell_text": (_docs(lambda: [("t", T.cell_text(_MIXED(_START(100))))]), "SELECT doc_id, regexp_replace(substr(text, 1, 100), '[ \\t\\n\\r\\f\\v]+', '', 'g') AS t FROM documents"),
     "continuation": (_docs(lambda: [("v", T.is_continuation(_CAPTION()))]), "SELECT doc_id, doc_id % 7 IN (1, 2, 3, 4, 5) AS v FROM documents"),
     "cell_count": (_docs(lambda: [("n", T.cells(_TABLE()))]), f"SELECT doc_id, CAST(2 + 2 * (doc_id % 4 + 1) AS INTEGER) AS n FROM documents"),
     "row_cols": (_docs(lambda: [("cols", F.array_join(F.transform(T.table_rows(_TABLE()), lambda r: F.size(r).cast("string")), ","))]), "SELECT doc_id, '2' || repeat(',2', CAST(doc_id % 4 + 1 AS INTEGER)) AS cols FROM documents"),

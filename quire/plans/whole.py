@@ -3,12 +3,14 @@ the same functions on Whole tables, with SQL of their own where DuckDB gives the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.plans import assembly, joins, stats, text
 from quire.plans.joins import CROWDED, DENSE
-from quire.plans.views import TEXT_PAIRS, WHOLE_PAIRS, Whole, micro
+from quire.plans.views import TEXT_PAIRS, WHOLE_PAIRS, Whole, micro, table
 
 
 def whole(query):
@@ -67,3 +69,31 @@ QUERIES |= {
     "toc_semi_whole": (whole(assembly.toc_semi), _without(assembly.QUERIES["toc_semi"][1], " WHERE item_pos < 10")),
     "chars_to_text_whole": (whole(text.chars_to_text), text.QUERIES["chars_to_text"][1].replace("least(60, length(text))", "length(text)").replace(" WHERE length(text) = strlen(text) AND item_pos < 5", "")),
 }
+
+
+def _whole_text(name: str) -> str:
+    """The SQL of a query over prefixes of text or html, of whole ones."""
+    return re.sub(r"substr\((text|html), 1, \d+\)", r"\1", text.QUERIES[name][1])
+
+
+_T = lambda: F.col("text")
+_DOCS = {
+    "full_to_half": lambda: [("t", T.full_to_half(text._MIXED(_T())))],
+    "full_to_half_alnum": lambda: [("t", T.full_to_half_alnum(text._MIXED(_T())))],
+    "cell_text": lambda: [("t", T.cell_text(text._MIXED(_T())))],
+    "ligatures": lambda: [("t", T.replace_ligatures(F.concat(F.lit("ﬁeld ﬂow oﬀ eﬃcient wﬄ ﬅ ﬆ "), _T())))],
+    "md_escape": lambda: [("t", T.escape_markdown(text._MARKED(_T()))), ("level", T.title_level((F.col("doc_id") % 8 - 1).cast("int")))],
+    "md_style": lambda: [("t", T.style_markdown(_T(), text._STYLE()))],
+    "html_escape": lambda: [("t", T.escape_html(F.concat(F.lit("<a href='x'>\"&\"</a> "), _T())))],
+    "data_uri": lambda: [("uri", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.encode(_T(), "UTF-8")), r"\s", ""))), ("name", F.concat(F.sha2(_T(), 256), F.lit(".png")))],
+}
+QUERIES |= {f"{name}_whole": (text._docs(columns), _whole_text(name)) for name, columns in _DOCS.items()}
+QUERIES |= {
+    "normalize_text_whole": (text._docs(lambda: [("t", T.squeeze(F.concat(F.lit(" \t a  b\n"), "text")))]), text.QUERIES["normalize_text"][1].replace(" WHERE length(text) = strlen(text)", "")),
+    "md_plain_whole": (lambda s, d: table(s, d, "pages").select("page_id", T.plain_markdown(F.col("html")).alias("t"), T.has_content(F.col("html")).alias("has")), _whole_text("md_plain")),
+    "merge_para_whole": (whole(stats.merge_para), stats.QUERIES["merge_para"][1].replace(" WHERE length(text) = strlen(text)", "")),
+    # Python's upper case is not DuckDB's (ß), and DuckDB's levenshtein counts bytes: no SQL.
+    "custom_model_whole": (whole(assembly.custom_model), None),
+    "stage_chain_whole": (whole(assembly.stage_chain), None),
+    "sketch_cost_whole": (whole(assembly.sketch_cost), None),
+}

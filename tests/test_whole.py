@@ -133,3 +133,25 @@ def test_long_documents_keep_all_items(spark, tmp_path):
     assert q("middle_json_whole")[0].pdf_info.count('"index"') == 70
     assert len(q("resume_offset_whole")) == len(q("toc_semi_whole")) == 70
     assert all(len(r.text) >= 120 for r in q("chars_to_text_whole")) and len(q("chars_to_text_whole")) == 70
+
+
+def test_models_and_costs_take_whole_texts(spark, tmp_path):
+    import hashlib
+
+    texts = {1: "straße e " * 60, 2: "plain e text " * 400}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.out for r in q("custom_model_whole")} == {k: t.upper() for k, t in texts.items()}
+    assert {r.doc_id: r.page for r in q("stage_chain_whole")} == {k: hashlib.md5(t.upper().encode()).hexdigest() for k, t in texts.items()}
+    ends = lambda t: f"{t[:160]}\n{t[-160:]}"
+    assert {r.doc_id: r.v for r in q("sketch_cost_whole")} == {k: _micro(E.rate(ends(t), ends(t.replace("e", "a"))) * 0.8) for k, t in texts.items()}
+
+
+def test_text_functions_reach_the_end(spark, tmp_path):
+    end = "x" * 5000 + " *a* <b> & aC0,"
+    spark.createDataFrame([(6, end, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, end)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    t = lambda name: catalog.queries()[name](spark, str(tmp_path)).first().t
+    assert t("full_to_half_whole") == end and t("cell_text_whole") == end.replace(" ", "")
+    assert t("md_escape_whole").endswith("\\*a\\* <b> & aC0,") and t("html_escape_whole").endswith(" *a* &lt;b&gt; &amp; aC0,")
+    assert t("ligatures_whole").endswith(end) and t("md_style_whole") == f"***{end}***" and t("md_plain_whole").endswith("x a & aC0")
