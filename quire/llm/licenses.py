@@ -2,12 +2,14 @@
 
 A paragraph (a line of a text) is the set of its words and word pairs, hashed to sparse features;
 multinomial logistic regression tells the licence families and the class `unknown` apart. It is
-trained on variants of the families' templates and, for `unknown`, on fixed sentences and on a
+trained on variants of the families' templates and, for `unknown`, on fixed sentences, on near
+licences (templates with another version or a restriction) and on a
 bounded sample of the corpus's paragraphs that resemble no template. Its probabilities are
 calibrated by a temperature chosen on variants and paragraphs that training did not see; a
 paragraph whose best family stays under the threshold is unknown. What it identifies is compared
 with the family's templates: confirmed is what holds three quarters of the words and word pairs of
-one of them.
+one of them, all of those that tell it from its neighbours (other families, other versions), and
+no restriction that the template lacks.
 
 Splitting, features, scores and comparison are DataFrame and SQL operations and Spark ML's
 transformers (on the JVM); no text leaves the executors.
@@ -16,6 +18,7 @@ transformers (on the JVM); no text leaves the executors.
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -61,7 +64,54 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
         "SPDX-License-Identifier: MIT",
     ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "lgpl-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "lgpl-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ],
+    "agpl-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "bsd-2-clause": [
+        "Released under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "cc-by-sa-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "cc-by-nd-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "cc0-1.0": [
+        "Released under CC0 1.0 Universal.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "SPDX-License-Identifier: ISC",
+    ],
 }
+#: Grams of a restriction; a paragraph that has one which its template lacks is not confirmed.
+RESTRICTIONS = ["noncommercial", "non commercial", "nc", "sharealike", "share alike", "sa", "noderivatives", "no derivatives", "nd", "commons clause", "academic use", "evaluation only"]
 #: Sentences that share words with licences and are none.
 NOT_LICENSES = [
     "You need a license to drive a car in this country.",
@@ -124,6 +174,34 @@ def likeness(found: Column, templates: list[list[str]]) -> Column:
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
 
+def near_licenses() -> list[tuple[str, str]]:
+    """(family, sentence) that no template covers: a template with another version or with a restriction."""
+    known = {t for texts in TEMPLATES.values() for t in texts}
+    out = []
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            other = re.sub(r"(?<![A-Za-z0-9.])\d+(?:\.\d+)?", lambda m: "1.3" if "." in m[0] else "7", text)
+            if other not in known:
+                out.append((family, other))
+            if family != "all-rights-reserved":
+                out += [(family, f"{text} {more}") for more in ("For academic use only.", "With the Commons Clause.")]
+                if "-nc-" not in family:
+                    out.append((family, f"{text} Non-commercial use only."))
+    return out
+
+
+def marks(templates: dict[int, list[list[str]]], near: list[list[str]], least: float) -> dict[int, list[tuple[list[str], list[str]]]]:
+    """For each template the grams that each neighbour lacks (one of another family, or a near
+    licence, that holds `least` of the template), and the restrictions that it does not name."""
+    out: dict[int, list[tuple[list[str], list[str]]]] = {}
+    for family, texts in templates.items():
+        others = [set(t) for f, ts in templates.items() if f != family for t in ts] + [set(t) for t in near]
+        for t in map(set, texts):
+            held = set().union(*(t - u for u in others if len(t & u) >= least * len(t)))
+            out.setdefault(family, []).append((sorted(held), [r for r in RESTRICTIONS if r not in t]))
+    return out
+
+
 def variants(seed: int, n: int) -> list[tuple[str, int]]:
     """Templates and copies of them with words lost, and with strange words before or after."""
     rng = random.Random(seed)
@@ -143,6 +221,11 @@ def variants(seed: int, n: int) -> list[tuple[str, int]]:
         for _ in range(max(1, n // 4)):
             found = text.split()
             out.append((" ".join([*found, *(strange() for _ in range(rng.randint(0, 4)))]), UNKNOWN))
+    for _, text in near_licenses():
+        out.append((text, UNKNOWN))
+        for _ in range(max(1, n // 4)):
+            before, after = ([strange() for _ in range(rng.choice([0, 0, 1, 3, 8]))] for _ in range(2))
+            out.append((" ".join([*before, text, *after]), UNKNOWN))
     return out
 
 
@@ -157,6 +240,7 @@ class Scanner:
     model: LogisticRegressionModel
     temperature: float
     templates: dict[int, list[list[str]]]
+    near: list[list[str]]
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -185,7 +269,8 @@ def train(docs: DataFrame, max_paragraphs: int = 2000, max_docs: int = 300, seed
     losses = scored.agg(*loss).first()
     rows.unpersist()
     best = min(range(len(TEMPERATURES)), key=lambda k: (losses[k], k))
-    return Scanner(model, TEMPERATURES[best], templates)
+    near = with_grams(spark.createDataFrame([(t,) for _, t in near_licenses()], "text string"), "text")
+    return Scanner(model, TEMPERATURES[best], templates, [sorted(set(r.grams)) for r in near.collect()])  # fixed values
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
@@ -207,12 +292,18 @@ def scan(docs: DataFrame, scanner: Scanner, threshold: float = 0.5, confirm: flo
     scored = only(scored.select("doc_id", "paragraph", "grams", "prediction", vector_to_array("rawPrediction").alias("raw")), F.col("prediction") != UNKNOWN)
     k = F.col("prediction").cast("int")
     scored = only(scored.withColumn("probability", _softmax(F.col("raw"), scanner.temperature)[k]), F.col("probability") >= threshold)
-    near = F.lit(0.0)
+    near, sure = F.lit(0.0), F.lit(False)
+    found = F.col("grams")
+    told = marks(scanner.templates, scanner.near, confirm)
     for family, templates in scanner.templates.items():
-        near = F.when(k == family, likeness(F.col("grams"), templates)).otherwise(near)
+        near = F.when(k == family, likeness(found, templates)).otherwise(near)
+        any_of = F.lit(False)
+        for template, (held, barred) in zip(templates, told[family]):
+            whole = F.size(F.array_intersect(F.array(*map(F.lit, held)), found)) == len(held) if held else F.lit(True)
+            any_of = any_of | ((likeness(found, [template]) >= confirm) & whole & ~F.arrays_overlap(found, F.array(*map(F.lit, barred))))
+        sure = F.when(k == family, any_of).otherwise(sure)
     names = F.array(*map(F.lit, FAMILIES))
-    out = scored.select("doc_id", "paragraph", names[k].alias("family"), "probability", near.alias("likeness"))
-    return out.withColumn("confirmed", F.col("likeness") >= confirm)
+    return scored.select("doc_id", "paragraph", names[k].alias("family"), "probability", near.alias("likeness"), sure.alias("confirmed"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
