@@ -12,6 +12,7 @@ FULL_ALNUM = "".join(c for c, h in zip(FULL, HALF) if h.isalnum())
 HALF_ALNUM = "".join(h for h in HALF if h.isalnum())
 #: Hyphens that may end a line.
 HYPHENS = "\\-\u00ad\u2010\u2011\u2043"
+#: Ligatures and the letters they stand for.
 LIGATURES = {"\ufb01": "fi", "\ufb02": "fl", "\ufb00": "ff", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "ft", "\ufb06": "st"}
 #: Marks of a table that goes on.
 CONTINUED_ENDS = ["(续)", "(续表)", "(续上表)", "(continued)", "(cont.)", "(cont’d)", "(…continued)", "续表"]
@@ -172,44 +173,16 @@ def excel_date(serial: Column, from_1904: bool = False) -> Column:
 
 
 def edit_rate(a: Column, b: Column) -> Column:
-    """Edit distance over the longer length, 0 if both are empty (NED)."""
+    """Edit distance over the longer length, 0 if both are empty (NED); natively, for short texts."""
     n = F.greatest(F.length(a), F.length(b))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / F.when(n > 0, n))
 
 
-def character_error_rate(ref: Column, hyp: Column) -> Column:
-    n = F.when(F.length(ref) > 0, F.length(ref)).otherwise(F.length(hyp))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.levenshtein(ref, hyp) / F.when(n > 0, n))
-
-
 def _given(body, **columns: Column) -> Column:
     """body of a struct of the columns, each worked out once and not again for each element of an array."""
     return F.transform(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))), body)[0]
 
 
-def _coded(tokens: Column, known: Column) -> Column:
-    """One character for each distinct token, however many there are (surrogates are no characters)."""
-    def one(t):
-        n = F.array_position(known, t) + 33
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")), "UTF-32")
-    return F.array_join(F.transform(tokens, one), "")
-
-
-def _sequence_distance(a: Column, b: Column) -> Column:
-    def run(s):
-        return F.levenshtein(_coded(s["a"], s["known"]), _coded(s["b"], s["known"]))
-    return _given(run, a=a, b=b, known=F.array_distinct(F.concat(a, b)))
-
-
-def word_error_rate(ref: Column, hyp: Column) -> Column:
-    """Edit distance between word sequences over the words of ref: each distinct word becomes one
-    character, then characters are compared."""
-    words = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != "")
-    a, b = words(ref), words(hyp)
-    n = F.when(F.size(a) > 0, F.size(a)).otherwise(F.size(b))
-    return F.when(n == 0, F.lit(0.0)).otherwise(_sequence_distance(a, b) / F.when(n > 0, n))
-
-
 def token_coverage(target: Column, candidate: Column) -> Column:
     """Share of the target's tokens (longer than one character) that the candidate has."""
     tokens = lambda s: F.filter(F.split(s, r"\s+"), lambda t: F.length(t) > 1)
@@ -237,11 +210,12 @@ def ordered_coverage(target: Column, candidate: Column) -> Column:
     return F.when((comparable(target) == "") | (comparable(candidate) == ""), F.lit(0.0)).otherwise(shared)
 
 
-#: Macros that only space or size, and macros with one meaning.
+#: Macros that only space or size.
 LATEX_DROP = [
     "\\left", "\\right", "\\bigl", "\\bigr", "\\Bigl", "\\Bigr", "\\big", "\\Big", "\\bigg", "\\Bigg", "\\,", "\\;", "\\:", "\\!", "\\quad",
     "\\qquad", "\\displaystyle", "\\textstyle", "\\scriptstyle", "\\limits", "\\nolimits", "\\mathrm", "\\mathbf", "\\boldsymbol",
 ]
+#: Macros that mean the same as another.
 LATEX_SAME = {
     "\\dfrac": "\\frac", "\\tfrac": "\\frac", "\\cfrac": "\\frac", "\\rightarrow": "\\to", "\\longrightarrow": "\\to", "\\ge": "\\geq",
     "\\le": "\\leq", "\\ne": "\\neq", "\\cdot": "*", "\\times": "*", "\\ast": "*",
@@ -263,12 +237,6 @@ def normal_latex(s: Column) -> Column:
     return F.array_join(latex_tokens(s), "")
 
 
-def tokens_rate(a: Column, b: Column) -> Column:
-    """NED between two arrays of tokens: each distinct token becomes one character."""
-    n = F.greatest(F.size(a), F.size(b))
-    return F.when(n == 0, F.lit(0.0)).otherwise(_sequence_distance(a, b) / F.when(n > 0, n))
-
-
 def cell_text(s: Column) -> Column:
     return F.regexp_replace(full_to_half(s), r"(?U)\s+", "")
 

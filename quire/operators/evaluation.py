@@ -10,24 +10,45 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 KEPT = {"table", "thead", "tbody", "tr", "td", "th"}
 
 
 def levenshtein(a, b) -> int:
-    """Edit distance of two sequences, a row of the table at a time."""
+    """Edit distance of two sequences of hashable things: whole columns of the table at once, as the
+    bits of a number, one step for each element of the shorter sequence."""
     if len(a) < len(b):
         a, b = b, a
+    lo, hi, end = 0, len(b), len(a)
+    while lo < hi and a[lo] == b[lo]:
+        lo += 1
+    while hi > lo and a[end - 1] == b[hi - 1]:
+        hi, end = hi - 1, end - 1
+    a, b = a[lo:end], b[lo:hi]
     if not len(b):
         return len(a)
-    known: dict = {}
-    y = np.array([known.setdefault(t, len(known)) for t in b])
-    step = np.arange(len(b) + 1)
-    row = step.copy()
-    for i, t in enumerate(a, 1):
-        change = np.concatenate([[i], np.minimum(row[:-1] + (y != known.get(t, -1)), row[1:] + 1)])
-        row = np.minimum.accumulate(change - step) + step  # insertions run along the row
-    return int(row[-1])
+    found: dict = {t: [] for t in b}
+    for i, t in enumerate(a):
+        if t in found:
+            found[t].append(i)
+    width = (len(a) + 7) // 8
+    at = {}
+    for t, places in found.items():
+        bits = bytearray(width)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        at[t] = int.from_bytes(bits, "little")
+    every, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, out = every, 0, len(a)  # where the table rises and falls along the longer sequence
+    for t in b:
+        same = at[t] | down
+        flat = ((((same & up) + up) ^ up) | same) & every
+        rise, fall = down | (every ^ (flat | up)), up & flat
+        out += (rise >> last & 1) - (fall >> last & 1)
+        rise = (rise << 1 | 1) & every
+        up, down = (fall << 1 & every) | (every ^ (flat | rise)), rise & flat
+    return out
 
 
 def rate(a, b) -> float:
@@ -35,6 +56,53 @@ def rate(a, b) -> float:
     return levenshtein(a, b) / n if n else 0.0
 
 
+@F.pandas_udf(LongType())
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([0 if x == y else levenshtein(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Edit distance of whole strings, however long; null counts as empty."""
+    return _edits(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+
+@F.pandas_udf(LongType())
+def _token_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([levenshtein(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+
+
+def _over(edits_: Column, n: Column) -> Column:
+    return F.when(n > 0, edits_ / F.when(n > 0, n)).otherwise(F.lit(0.0))
+
+
+def edit_rate(a: Column, b: Column) -> Column:
+    """Edit distance over the longer length, 0 if both are empty (NED)."""
+    return _over(edits(a, b), F.greatest(F.length(a), F.length(b)))
+
+
+def character_error_rate(ref: Column, hyp: Column) -> Column:
+    """Edit distance over the length of ref; of an empty ref, 1 if there is a hyp."""
+    return _over(edits(ref, hyp), F.when(F.length(ref) > 0, F.length(ref)).otherwise(F.length(hyp)))
+
+
+@F.pandas_udf(DoubleType())
+def _word_rate(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    def one(a, b):
+        a, b = a.split(), b.split()
+        return levenshtein(a, b) / (len(a) or len(b) or 1)
+    return pd.Series([0.0 if x == y else one(x, y) for x, y in zip(ref, hyp)], dtype="float64")
+
+
+def word_error_rate(ref: Column, hyp: Column) -> Column:
+    """The same in words: what white space parts."""
+    return _word_rate(F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit("")))
+
+
+def tokens_rate(a: Column, b: Column) -> Column:
+    """NED between two arrays of tokens."""
+    return _over(_token_edits(a, b), F.greatest(F.size(a), F.size(b)))
+
+
 def normal(text: str | None) -> str:
     """NFC, white space squeezed."""
     return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text or "")).strip()

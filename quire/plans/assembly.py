@@ -11,7 +11,7 @@ from quire.operators import evaluation as E
 from quire.operators import greedy as Y
 from quire.operators.models import BatchModel, apply_model
 from quire.plans.joins import DENSE, dense
-from quire.plans.views import ITEMS, ITEMS_B, TEXT_PAIRS, Whole, boxes, items, items_b, micro, micro_sql, table, text_pairs
+from quire.plans.views import ITEMS, ITEMS_B, boxes, edits_sql, items, items_b, micro, micro_sql, table
 from quire.sources import files
 from quire.streaming import windows as W
 
@@ -29,7 +29,6 @@ def _html(kind: str, drop: int):
     """A table for each order: one row for each line."""
     def run(spark, sf_dir):
         d = boxes(spark, sf_dir).where(f"pos % {drop} <> 1")
-        d = d if isinstance(sf_dir, Whole) else d.where("page < 3000")
         cell = F.concat(F.lit("<tr><td>"), F.col("x0").cast("long"), F.lit("</td><td>"), F.col("category_id"), F.lit("</td></tr>"))
         rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", cell.alias("c")))), lambda s: s["c"]), "")
         return d.groupBy("page").agg(F.concat(F.lit("<table><tr><th>part</th><th>qty</th></tr>"), rows, F.lit("</table>")).alias(kind))
@@ -37,38 +36,26 @@ def _html(kind: str, drop: int):
 
 
 def teds(spark, sf_dir):
-    a, b = _html("a", 9)(spark, Whole(sf_dir)), _html("b", 3)(spark, Whole(sf_dir))
+    a, b = _html("a", 9)(spark, sf_dir), _html("b", 3)(spark, sf_dir)
     j = a.join(b, "page")
     return j.select("page", micro(E.teds_column(F.col("a"), F.col("b"))).alias("teds"), micro(E.teds_column(F.col("a"), F.col("b"), False)).alias("teds_struct"))
 
 
-class Shout(BatchModel):
-    def predict(self, batch: pd.Series) -> pd.Series:
-        return batch.str.upper().str.slice(0, 20)
-
+class Backwards(BatchModel):
+    """A model of our own: the text read from its end."""
 
-class ShoutAll(BatchModel):
     def predict(self, batch: pd.Series) -> pd.Series:
-        return batch.str.upper()
-
-
-def _read(spark, sf_dir):
-    """Items, the model and what stands for a text that no model reads: whole, or ASCII ones cut to 20 characters."""
-    d = items(spark, sf_dir)
-    if isinstance(sf_dir, Whole):
-        return d, ShoutAll, F.col("text")
-    return d.where("length(text) = octet_length(text)"), Shout, F.substring("text", 1, 20)
+        return batch.str[::-1]
 
 
 def custom_model(spark, sf_dir):
-    d, model, _ = _read(spark, sf_dir)
-    return d.select("doc_id", "item_pos", apply_model(model, F.col("text")).alias("out"))
+    return items(spark, sf_dir).select("doc_id", "item_pos", apply_model(Backwards, F.col("text")).alias("out"))
 
 
 def stage_chain(spark, sf_dir):
     """Stages one after the other: detections to regions, regions to a model, results to pages."""
-    d, model, plain = _read(spark, sf_dir)
-    read = d.withColumn("out", F.when(F.col("item_pos") % 2 == 0, apply_model(model, F.col("text"))).otherwise(plain))
+    d = items(spark, sf_dir)
+    read = d.withColumn("out", F.when(F.col("item_pos") % 2 == 0, apply_model(Backwards, F.col("text"))).otherwise(F.col("text")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_pos", "out"))), lambda s: s["out"]), "\n")
     return read.groupBy("doc_id", "page_idx").agg(F.md5(F.encode(whole, "UTF-8")).alias("page"))
 
@@ -84,9 +71,7 @@ def to_markdown(spark, sf_dir):
 
 
 def content_list_v2(spark, sf_dir):
-    d = items(spark, sf_dir)
-    d = d if isinstance(sf_dir, Whole) else d.where("item_pos < 40")
-    page = d.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("item_pos", "type"))).alias("l"), F.sum(F.length("text")).alias("chars"))
+    page = items(spark, sf_dir).groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(F.struct("item_pos", "type"))).alias("l"), F.sum(F.length("text")).alias("chars"))
     return page.select("doc_id", "page_idx", F.size("l").alias("n"), "chars", F.array_join(F.transform("l", lambda s: s["type"]), ",").alias("types"))
 
 
@@ -102,7 +87,7 @@ def caption_adjacent(spark, sf_dir):
 def toc_semi(spark, sf_dir):
     """Entries of a contents list keep their anchor only if the body has it."""
     d = items(spark, sf_dir)
-    entries, body = d if isinstance(sf_dir, Whole) else d.where("item_pos < 10"), d.where("item_pos % 3 = 0").select(F.col("doc_id").alias("d"), F.col("item_pos").alias("anchor"))
+    entries, body = d, d.where("item_pos % 3 = 0").select(F.col("doc_id").alias("d"), F.col("item_pos").alias("anchor"))
     j = entries.join(body, (F.col("doc_id") == F.col("d")) & (F.col("item_pos") == F.col("anchor")), "left")
     return j.select("doc_id", "item_pos", "anchor")
 
@@ -139,9 +124,7 @@ def type_seq(spark, sf_dir):
 def sketch_cost(spark, sf_dir):
     """Cost of matching long texts: by their ends, and by their lengths."""
     d = table(spark, sf_dir, "documents").where("length(text) > 320")
-    hyp = F.translate("text", "e", "a")
-    if not isinstance(sf_dir, Whole):
-        d, hyp = d.where("length(text) = octet_length(text)"), F.translate(F.substring("text", 1, 2000), "e", "a")
+    hyp = F.concat(F.translate("text", "e", "a"), F.repeat(F.lit("e"), (F.col("doc_id") % 50).cast("int")))
     ends = lambda s: F.concat(F.left(s, F.lit(160)), F.lit("\n"), F.right(s, F.lit(160)))
     n = F.greatest(F.length("text"), F.length(hyp))
     v = F.least(F.lit(1.0), T.edit_rate(ends(F.col("text")), ends(hyp)) * 0.8 + F.abs(F.length("text") - F.length(hyp)) / n * 0.2)
@@ -180,9 +163,7 @@ def union_routes(spark, sf_dir):
 def resume_offset(spark, sf_dir):
     """Pages of a resumed run counted on from where the first one stopped."""
     d = items(spark, sf_dir).groupBy("doc_id").agg(F.max("page_idx").alias("last"))
-    i = items(spark, sf_dir)
-    i = (i if isinstance(sf_dir, Whole) else i.where("item_pos < 20")).join(d, "doc_id")
-    return i.select("doc_id", "item_pos", (F.col("page_idx") + F.col("last") + 1).cast("int").alias("page_idx"))
+    return items(spark, sf_dir).join(d, "doc_id").select("doc_id", "item_pos", (F.col("page_idx") + F.col("last") + 1).cast("int").alias("page_idx"))
 
 
 def html_rows(spark, sf_dir):
@@ -194,52 +175,51 @@ def html_rows(spark, sf_dir):
 
 def header_prefix(spark, sf_dir):
     """Leading rows that two tables share."""
-    a, b = _html("a", 9)(spark, Whole(sf_dir)), _html("b", 3)(spark, Whole(sf_dir))
+    a, b = _html("a", 9)(spark, sf_dir), _html("b", 3)(spark, sf_dir)
     j = a.join(b, "page").select("page", T.table_rows(F.col("a")).alias("a"), T.table_rows(F.col("b")).alias("b"))
     same = F.zip_with(F.slice("a", 1, 5), F.slice("b", 1, 5), lambda x, y: F.coalesce(F.array_join(x, "|") == F.array_join(y, "|"), F.lit(False)))
     return j.select("page", F.aggregate(same, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & x).alias("on"), F.when(s["on"] & x, s["n"] + 1).otherwise(s["n"]).alias("n")), lambda s: s["n"]).alias("rows"))
 
 
 def greedy(step):
-    return lambda spark, sf_dir: _boxes(step(_labelled(spark, Whole(sf_dir))))
+    return lambda spark, sf_dir: _boxes(step(_labelled(spark, sf_dir)))
 
 
 _MD = "CASE WHEN item_pos % 20 = 0 THEN repeat('#', CAST(CASE WHEN doc_id % 7 - 1 > 4 THEN 4 WHEN doc_id % 7 - 1 < 1 THEN 0 ELSE doc_id % 7 - 1 END AS INTEGER)) || ' ' || body WHEN item_pos % 5 = 4 THEN '- ' || body ELSE body END"
 _NORM = "md5(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')))"
-_ROWS = """h AS (SELECT page, pos, CAST(x0 AS BIGINT) || '|' || category_id AS r FROM boxes WHERE page < 3000)"""
 
 QUERIES = {
     "nms": (greedy(lambda d: Y.suppress(d, 0.3, 0.5)), None),
     "overlap_filter": (greedy(lambda d: Y.drop_overlaps(d, 0.5)), None),
     "greedy_spans": (greedy(lambda d: Y.drop_twins(d, 0.5, 0.5)), None),
     "absorb": (greedy(lambda d: Y.absorb(d, 0.5)), None),
-    "xycut": (lambda s, d: Y.reading_order(dense(s, Whole(d))), None),
-    "sorted_boxes": (lambda s, d: Y.row_order(dense(s, Whole(d))), None),
-    "merge_adjacent": (lambda s, d: Y.merge_words(dense(s, Whole(d))), None),
-    "knn_caption": (lambda s, d: Y.pair_captions(dense(s, Whole(d)).where("category_id = 1"), dense(s, Whole(d)).where("category_id = 3")), None),
+    "xycut": (lambda s, d: Y.reading_order(dense(s, d)), None),
+    "sorted_boxes": (lambda s, d: Y.row_order(dense(s, d)), None),
+    "merge_adjacent": (lambda s, d: Y.merge_words(dense(s, d)), None),
+    "knn_caption": (lambda s, d: Y.pair_captions(dense(s, d).where("category_id = 1"), dense(s, d).where("category_id = 3")), None),
     "align_page": (lambda s, d: E.align_pages(items(s, d), items_b(s, d)), None),
     "order_corr": (lambda s, d: E.match_orders(items(s, d), items_b(s, d)), None),
     "teds": (teds, None),
-    "custom_model": (custom_model, f"WITH {ITEMS} SELECT doc_id, item_pos, substr(upper(text), 1, 20) AS out FROM items WHERE length(text) = strlen(text)"),
-    "stage_chain": (stage_chain, f"WITH {ITEMS} SELECT doc_id, page_idx, md5(string_agg(CASE WHEN item_pos % 2 = 0 THEN upper(substr(text, 1, 20)) ELSE substr(text, 1, 20) END, chr(10) ORDER BY item_pos)) AS page FROM items WHERE length(text) = strlen(text) GROUP BY ALL"),
+    "custom_model": (custom_model, f"WITH {ITEMS} SELECT doc_id, item_pos, reverse(text) AS out FROM items"),
+    "stage_chain": (stage_chain, f"WITH {ITEMS} SELECT doc_id, page_idx, md5(string_agg(CASE WHEN item_pos % 2 = 0 THEN reverse(text) ELSE text END, chr(10) ORDER BY item_pos)) AS page FROM items GROUP BY ALL"),
     "to_markdown": (to_markdown, f"WITH {ITEMS}, b AS (SELECT *, regexp_replace(text, '([*`~])', '\\\\\\1', 'g') AS body FROM items) SELECT doc_id, item_pos, CASE WHEN item_pos % 20 = 0 THEN 'title' WHEN item_pos % 5 = 4 THEN 'list' ELSE 'text' END AS type, md5({_MD}) AS md FROM b"),
-    "content_list_v2": (content_list_v2, f"WITH {ITEMS} SELECT doc_id, page_idx, CAST(count(*) AS INTEGER) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, string_agg(type, ',' ORDER BY item_pos) AS types FROM items WHERE item_pos < 40 GROUP BY ALL"),
+    "content_list_v2": (content_list_v2, f"WITH {ITEMS} SELECT doc_id, page_idx, CAST(count(*) AS INTEGER) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, string_agg(type, ',' ORDER BY item_pos) AS types FROM items GROUP BY ALL"),
     "caption_adjacent": (caption_adjacent, f"WITH {DENSE}, l AS (SELECT page, pos, CASE category_id WHEN 1 THEN 'text' WHEN 3 THEN 'image' ELSE 'table' END AS label FROM dense), n AS (SELECT *, lead(label) OVER w AS a, lag(label) OVER w AS b FROM l WINDOW w AS (PARTITION BY page ORDER BY pos)) SELECT page, pos, CASE WHEN a IN ('image', 'table') THEN a WHEN b IN ('image', 'table') THEN b ELSE 'text' END AS owner FROM n WHERE label = 'text'"),
-    "toc_semi": (toc_semi, f"WITH {ITEMS} SELECT doc_id, item_pos, CASE WHEN item_pos % 3 = 0 THEN item_pos END AS anchor FROM items WHERE item_pos < 10"),
+    "toc_semi": (toc_semi, f"WITH {ITEMS} SELECT doc_id, item_pos, CASE WHEN item_pos % 3 = 0 THEN item_pos END AS anchor FROM items"),
     "lineage_match": (lineage_match, f"WITH {ITEMS_B} SELECT b.doc_id, b.item_pos, min(a.item_pos) AS source FROM items_b b JOIN items a ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx AND {_NORM.replace('text', 'a.text')} = {_NORM.replace('text', 'b.text')} GROUP BY ALL"),
     "chunk_ids": (chunk_ids, "WITH k AS (SELECT source || '-' || lang AS stem, doc_id, (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1) // 5 AS chunk FROM documents) SELECT stem, chunk, count(*) AS n, min(doc_id) AS first_doc, count(DISTINCT doc_id) = count(*) AS distinct_ids FROM k GROUP BY ALL"),
     "micro_batch": (micro_batch, f"WITH {ITEMS} SELECT doc_id, CAST(item_pos // 8 AS BIGINT) AS batch, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM items GROUP BY ALL"),
     "page_window": (lambda s, d: W.windows(items(s, d), 2), f"WITH {ITEMS}, w AS (SELECT doc_id, CAST(page_idx // 2 AS BIGINT) AS win, count(DISTINCT page_idx) AS pages, count(*) AS items FROM items GROUP BY ALL) SELECT *, win = max(win) OVER (PARTITION BY doc_id) AS file_end FROM w"),
     "coalesce_latest": (lambda s, d: W.latest(table(s, d, "events"), "user_id", "ts").select("user_id", F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_id", "n"), "SELECT user_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY ALL"),
-    "resume_offset": (resume_offset, f"WITH {ITEMS}, l AS (SELECT doc_id, max(page_idx) AS last FROM items GROUP BY doc_id) SELECT doc_id, item_pos, CAST(page_idx + last + 1 AS INTEGER) AS page_idx FROM items JOIN l USING (doc_id) WHERE item_pos < 20"),
+    "resume_offset": (resume_offset, f"WITH {ITEMS}, l AS (SELECT doc_id, max(page_idx) AS last FROM items GROUP BY doc_id) SELECT doc_id, item_pos, CAST(page_idx + last + 1 AS INTEGER) AS page_idx FROM items JOIN l USING (doc_id)"),
     "batch_ratio": (lambda s, d: table(s, d, "documents").groupBy(F.when(F.col("n_chars") >= 16000, 16).when(F.col("n_chars") >= 8000, 8).when(F.col("n_chars") >= 4000, 4).when(F.col("n_chars") >= 2000, 2).otherwise(1).alias("ratio")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN n_chars >= 16000 THEN 16 WHEN n_chars >= 8000 THEN 8 WHEN n_chars >= 4000 THEN 4 WHEN n_chars >= 2000 THEN 2 ELSE 1 END AS ratio, count(*) AS n FROM documents GROUP BY ALL"),
     "type_seq": (type_seq, f"WITH {ITEMS_B}, a AS (SELECT doc_id, page_idx, repeat('t', CAST(count(*) AS INTEGER)) AS a FROM items GROUP BY ALL), b AS (SELECT doc_id, page_idx, string_agg(CASE WHEN type = 'text' THEN 't' ELSE 'e' END, '' ORDER BY item_pos) AS b FROM items_b GROUP BY ALL) SELECT doc_id, page_idx, {micro_sql('levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)')} AS v FROM a JOIN b USING (doc_id, page_idx)"),
-    "sketch_cost": (sketch_cost, f"WITH d AS (SELECT doc_id, text AS a, replace(substr(text, 1, 2000), 'e', 'a') AS b FROM documents WHERE length(text) = strlen(text) AND length(text) > 320), e AS (SELECT *, left(a, 160) || chr(10) || right(a, 160) AS x, left(b, 160) || chr(10) || right(b, 160) AS y FROM d) SELECT doc_id, {micro_sql('least(1.0::DOUBLE, levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE) * 0.8::DOUBLE + abs(length(a) - length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE) * 0.2::DOUBLE)')} AS v FROM e"),
+    "sketch_cost": (sketch_cost, f"WITH d AS (SELECT doc_id, text AS a, replace(text, 'e', 'a') || repeat('e', doc_id % 50) AS b FROM documents WHERE length(text) > 320), e AS (SELECT *, left(a, 160) || chr(10) || right(a, 160) AS x, left(b, 160) || chr(10) || right(b, 160) AS y FROM d) SELECT doc_id, {micro_sql('least(1.0::DOUBLE, (' + edits_sql('x', 'y') + ') / CAST(greatest(length(x), length(y)) AS DOUBLE) * 0.8::DOUBLE + abs(length(a) - length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE) * 0.2::DOUBLE)')} AS v FROM e"),
     "chart_pivot": (chart_pivot, "WITH c AS (SELECT user_id, event_type, CAST(floor(value * 100 + 0.5) AS BIGINT) AS c FROM events) SELECT user_id, " + ", ".join(f"CAST(coalesce(sum(c) FILTER (event_type = '{k}'), 0) AS BIGINT) AS {k}" for k in ("click", "view", "error")) + " FROM c GROUP BY user_id"),
     "sheet_bounds": (sheet_bounds, f"WITH {DENSE}, c AS (SELECT DISTINCT page % 50 AS sheet, CAST(floor(x0 / 10) AS INTEGER) AS c, CAST(floor(y0 / 10) AS INTEGER) AS r FROM boxes) SELECT sheet, min(r) AS top, max(r) AS bottom, min(c) AS first_col, max(c) AS last_col, count(*) AS cells FROM c GROUP BY sheet"),
     "recover_rows": (recover_rows, f'WITH {DENSE}, l AS (SELECT *, lag(y0) OVER (PARTITION BY page ORDER BY y0, pos) AS b FROM dense), g AS (SELECT *, CAST(sum(CASE WHEN b IS NULL OR y0 - b > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, pos ROWS UNBOUNDED PRECEDING) AS INTEGER) AS "row" FROM l) SELECT page, "row", count(*) AS cells, min(y0) AS top FROM g GROUP BY ALL'),
     "union_routes": (union_routes, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'office' ELSE 'pipeline' END AS route FROM documents"),
-    "table_grid": (html_rows, f"WITH {DENSE} SELECT page, CAST(1 + count(*) AS INTEGER) AS rows, CAST(2 AS INTEGER) AS cols FROM boxes WHERE page < 3000 AND pos % 9 <> 1 GROUP BY page"),
+    "table_grid": (html_rows, f"WITH {DENSE} SELECT page, CAST(1 + count(*) AS INTEGER) AS rows, CAST(2 AS INTEGER) AS cols FROM boxes WHERE pos % 9 <> 1 GROUP BY page"),
     "header_prefix": (header_prefix, None),
     "csv_export": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.encode(files.csv_row(F.col("doc_id"), F.col("source"), F.concat(F.lit('"'), "text")), "UTF-8")).alias("row")), """SELECT doc_id, md5('"' || doc_id || '","' || source || '","' || replace('"' || text, '"', '""') || '"') AS row FROM documents"""),
 }

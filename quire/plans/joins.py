@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.operators import pages as P
-from quire.plans.views import BOXES, Whole, boxes
+from quire.plans.views import BOXES, boxes
 
 TEXT, IMAGE, TABLE = 1, 3, 5
 _IOU = "({c} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {c}))".format(c="(greatest(0.0::DOUBLE, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0::DOUBLE, least(a.y1, b.y1) - greatest(a.y0, b.y0)))")
@@ -17,23 +17,13 @@ _CENTER = "sqrt(pow((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2, 2) + pow((a.y0 + a.y1
 
 
 def dense(spark, sf_dir):
-    """Crowded pages: many boxes of several orders on each; of all orders if sf_dir is Whole."""
-    if isinstance(sf_dir, Whole):
-        return crowded(spark, sf_dir)
-    b = boxes(spark, sf_dir).where("page < 6000")
-    pos = (F.col("page") * 20 + F.col("pos")).cast("int")
-    return b.select((F.col("page") % 300).alias("page"), pos.alias("pos"), "category_id", "score", *P.FIELDS)
-
-
-def crowded(spark, sf_dir):
-    """Twenty orders a page: pages stay crowded, and their number grows with the table."""
+    """Twenty orders a page: pages are crowded, and their number grows with the table."""
     page = F.floor(F.col("page") / 20).cast("long")
     pos = F.row_number().over(Window.partitionBy(page).orderBy("page", "pos"))
     return boxes(spark, sf_dir).select(page.alias("page"), pos.alias("pos"), "category_id", "score", *P.FIELDS)
 
 
-DENSE = f"{BOXES}, dense AS (SELECT page % 300 AS page, CAST(page * 20 + pos AS INTEGER) AS pos, category_id, score, x0, y0, x1, y1 FROM boxes WHERE page < 6000)"
-CROWDED = f"{BOXES}, dense AS (SELECT page // 20 AS page, CAST(row_number() OVER (PARTITION BY page // 20 ORDER BY page, pos) AS INTEGER) AS pos, category_id, score, x0, y0, x1, y1 FROM boxes)"
+DENSE = f"{BOXES}, dense AS (SELECT page // 20 AS page, CAST(row_number() OVER (PARTITION BY page // 20 ORDER BY page, pos) AS INTEGER) AS pos, category_id, score, x0, y0, x1, y1 FROM boxes)"
 
 
 def typed(spark, sf_dir):
@@ -111,7 +101,6 @@ def grid_join(spark, sf_dir):
 
 def char_in_span(spark, sf_dir):
     d = dense(spark, sf_dir)
-    d = d if isinstance(sf_dir, Whole) else d.where("page < 40")
     both = P.beside(_chars(d), d.where("pos % 3 <> 0"))
     a, b = G.Box.of(), G.Box.of("b_")
     return both.select("page", "pos", "b_pos", G.char_in_span(a, b, F.col("char"), STOPS, STARTS).alias("char"), G.char_in_span(a, b, F.col("char"), STOPS, STARTS, None).alias("text"))
@@ -236,7 +225,7 @@ QUERIES = {
     ),
     "type_matrix": (type_matrix, f"WITH {TYPED} SELECT span, block, bool_or({_FITS}) AS fits, count(*) AS n FROM typed GROUP BY ALL"),
     "grid_join": (grid_join, f"WITH {DENSE}, {_CHARS}, m AS ({_first(f'b.pos % 3 <> 0 AND {_LEVEL} AND {_MIDDLE} AND {_WITHIN}', 'b.y0, b.pos', left='chars')}) SELECT page, pos, other AS span_pos FROM m"),
-    "char_in_span": (char_in_span, f'WITH {DENSE}, {_CHARS} SELECT a.page, a.pos, b.pos AS b_pos, {_LEVEL} AND {_MIDDLE} AND {_WITHIN} AS "char", {_LEVEL} AND {_WITHIN} AS text FROM chars a JOIN dense b ON a.page = b.page AND a.page < 40 AND b.pos % 3 <> 0'),
+    "char_in_span": (char_in_span, f'WITH {DENSE}, {_CHARS} SELECT a.page, a.pos, b.pos AS b_pos, {_LEVEL} AND {_MIDDLE} AND {_WITHIN} AS "char", {_LEVEL} AND {_WITHIN} AS text FROM chars a JOIN dense b ON a.page = b.page AND b.pos % 3 <> 0'),
     "asof_index": (asof_index, f"WITH {TYPED}, m AS ({_first('a.pos % 4 = 1 AND b.category_id = 3', f'abs(a.index - b.index), {_GAP}, {_CENTER}, b.pos', 'typed', 'typed')}) SELECT page, pos, other AS subject_pos FROM m"),
     "nearest_blocks": (
         nearest_blocks,

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import evaluation as E
 from quire.operators import runs as R
 from quire.operators import stats as S
 from quire.plans.joins import DENSE, TYPED, dense, typed
-from quire.plans.views import BOXES, ITEMS, ITEMS_B, RUNS, TEXT_PAIRS, Whole, boxes, items, items_b, micro, micro_sql, runs, table, text_pairs
+from quire.plans.views import BOXES, ITEMS, ITEMS_B, RUNS, TEXT_PAIRS, boxes, items, items_b, micro, micro_sql, ned_sql, runs, table, text_pairs
 
 
 def merge_intervals(spark, sf_dir):
@@ -95,13 +96,9 @@ def js_stats(spark, sf_dir):
 
 
 def strata_report(spark, sf_dir):
-    """NED of the two systems by source and language, with totals; of whole documents if sf_dir is Whole."""
-    d, ref = table(spark, sf_dir, "documents"), F.col("text")
-    if not isinstance(sf_dir, Whole):
-        d, ref = d.where("length(text) = octet_length(text)"), F.substring("text", 1, 200)
-    else:  # distances of long texts are what takes time: a small file must not leave them to one task
-        d = d.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
-    d = d.withColumn("v", micro(T.edit_rate(ref, F.translate(ref, "e", "a"))))
+    """NED of the two systems by source and language, with totals, over the items both have."""
+    ref = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    d = text_pairs(spark, sf_dir).withColumn("v", micro(E.edit_rate(F.col("ref"), F.col("hyp")))).join(ref, "doc_id")
     return d.rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most")).select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), "n", "total", "least", "most")
 
 
@@ -265,7 +262,6 @@ def geomean(spark, sf_dir):
 def merge_para(spark, sf_dir):
     """Lines of a page joined to a paragraph: words broken at a line's end are joined, others spaced."""
     d = items(spark, sf_dir)
-    d = d if isinstance(sf_dir, Whole) else d.where("length(text) = octet_length(text)")
     d = d.withColumn("line", F.when(F.col("item_pos") % 3 == 2, F.concat("text", F.lit("x-"))).otherwise(F.col("text")))
     line = F.btrim(T.escape_markdown(T.full_to_half_alnum(F.col("line"))))
     piece = F.when(line.rlike(r"[A-Za-z]+-\s*$"), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(F.concat(line, F.lit(" ")))
@@ -273,7 +269,7 @@ def merge_para(spark, sf_dir):
     return d.groupBy("doc_id", "page_idx").agg(F.md5(F.encode(whole, "UTF-8")).alias("text"))
 
 
-_PARA = f"""WITH {ITEMS}, l AS (SELECT doc_id, page_idx, item_pos, trim(regexp_replace(CASE WHEN item_pos % 3 = 2 THEN text || 'x-' ELSE text END, '([*`~])', '\\\\\\1', 'g')) AS line FROM items WHERE length(text) = strlen(text))
+_PARA = f"""WITH {ITEMS}, l AS (SELECT doc_id, page_idx, item_pos, trim(regexp_replace(CASE WHEN item_pos % 3 = 2 THEN text || 'x-' ELSE text END, '([*`~])', '\\\\\\1', 'g')) AS line FROM items)
 SELECT doc_id, page_idx, md5(string_agg(CASE WHEN regexp_matches(line, '[A-Za-z]+-\\s*$') THEN substr(line, 1, length(line) - 1) ELSE line || ' ' END, '' ORDER BY item_pos)) AS text FROM l GROUP BY ALL"""
 
 
@@ -295,7 +291,6 @@ def union_make(spark, sf_dir):
 def middle_json(spark, sf_dir):
     """Pages with their blocks as one JSON text for each document."""
     d = items(spark, sf_dir)
-    d = d if isinstance(sf_dir, Whole) else d.where("item_pos < 40")
     block = F.struct(F.col("item_pos").alias("index"), F.length("text").alias("chars"))
     page = d.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
     whole = F.array_sort(F.collect_list(F.struct("page_idx", "blocks")))
@@ -311,19 +306,12 @@ def gt_score(spark, sf_dir):
     """Scores of system B against A with A's counts below the line: what is missing scores worst."""
     a, b = items(spark, sf_dir), items_b(spark, sf_dir)
     b = b.select(F.col("doc_id").alias("d"), F.col("item_pos").alias("p"), F.col("type").alias("type_b"), F.col("text").alias("hyp"))
-    cut = (lambda c: F.col(c)) if isinstance(sf_dir, Whole) else (lambda c: F.substring(c, 1, 100))
-    a = a if isinstance(sf_dir, Whole) else a.where("length(text) = octet_length(text) AND item_pos < 30")
     j = a.join(b, (F.col("doc_id") == F.col("d")) & (F.col("item_pos") == F.col("p")), "left")
-    cost = F.when(F.col("hyp").isNull() | (F.col("type_b") != F.col("type")), F.lit(1000000)).otherwise(micro(T.edit_rate(cut("text"), cut("hyp"))))
+    cost = F.when(F.col("hyp").isNull() | (F.col("type_b") != F.col("type")), F.lit(1000000)).otherwise(micro(E.edit_rate(F.col("text"), F.coalesce("hyp", F.lit("")))))
     return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gt"), F.sum(cost).alias("cost"), F.count_if(F.col("hyp").isNull()).alias("only_gt"))
 
 
-def path_of(sql: str) -> str:
-    return sql
-
-
-_NED200 = "CASE WHEN length(text) = 0 THEN 0 ELSE levenshtein(substr(text, 1, 200), replace(substr(text, 1, 200), 'e', 'a')) / CAST(length(substr(text, 1, 200)) AS DOUBLE) END"
-_STRATA = f"""WITH v AS (SELECT lang, source, {micro_sql(_NED200)} AS v FROM documents WHERE length(text) = strlen(text))
+_STRATA = f"""WITH {TEXT_PAIRS}, v AS (SELECT lang, source, {micro_sql(ned_sql('ref', 'hyp'))} AS v FROM tp JOIN documents USING (doc_id))
 SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most FROM v GROUP BY ROLLUP (lang, source)"""
 
 QUERIES = {
@@ -381,9 +369,9 @@ QUERIES = {
     "merge_para": (merge_para, _PARA),
     "content_list": (content_list, f"WITH {DENSE} SELECT page, pos, CASE category_id WHEN 1 THEN 'text' WHEN 3 THEN 'image' ELSE 'table' END AS type, " + ", ".join(f"CAST(trunc({c} * 1000 / {s}::DOUBLE) AS INTEGER) AS {c}" for c, s in (("x0", 720), ("y0", 760), ("x1", 720), ("y1", 760))) + " FROM dense"),
     "union_make": (union_make, f"WITH {ITEMS} SELECT doc_id, sha256(string_agg(CASE WHEN item_pos % 20 = 0 THEN '# ' || text ELSE text END, chr(10) || chr(10) ORDER BY item_pos)) AS markdown, count(*) AS n FROM items GROUP BY doc_id"),
-    "middle_json": (middle_json, f"""WITH {ITEMS}, p AS (SELECT doc_id, page_idx, string_agg('{{"index":' || item_pos || ',"chars":' || length(text) || '}}', ',' ORDER BY item_pos) AS blocks FROM items WHERE item_pos < 40 GROUP BY ALL)
+    "middle_json": (middle_json, f"""WITH {ITEMS}, p AS (SELECT doc_id, page_idx, string_agg('{{"index":' || item_pos || ',"chars":' || length(text) || '}}', ',' ORDER BY item_pos) AS blocks FROM items GROUP BY ALL)
     SELECT doc_id, '[' || string_agg('{{"page_idx":' || page_idx || ',"blocks":[' || blocks || ']}}', ',' ORDER BY page_idx) || ']' AS pdf_info FROM p GROUP BY doc_id"""),
     "spans_by_cat": (spans_by_cat, f"WITH {DENSE} SELECT page, count(*) FILTER (category_id = 1) AS texts, count(*) FILTER (category_id = 3) AS images, count(*) FILTER (category_id = 5) AS tables FROM dense GROUP BY page"),
-    "gt_score": (gt_score, f"""WITH {ITEMS_B}, j AS (SELECT a.doc_id, a.type, b.type AS type_b, substr(a.text, 1, 100) AS ref, substr(b.text, 1, 100) AS hyp, b.text FROM items a LEFT JOIN items_b b ON a.doc_id = b.doc_id AND a.item_pos = b.item_pos WHERE length(a.text) = strlen(a.text) AND a.item_pos < 30)
-    SELECT doc_id, count(*) AS n_gt, CAST(sum(CASE WHEN hyp IS NULL OR type_b <> type THEN 1000000 ELSE {micro_sql('levenshtein(ref, hyp) / CAST(greatest(length(ref), length(hyp)) AS DOUBLE)')} END) AS BIGINT) AS cost, count(*) FILTER (hyp IS NULL) AS only_gt FROM j GROUP BY doc_id"""),
+    "gt_score": (gt_score, f"""WITH {ITEMS_B}, j AS (SELECT a.doc_id, a.type, b.type AS type_b, a.text AS ref, b.text AS hyp FROM items a LEFT JOIN items_b b ON a.doc_id = b.doc_id AND a.item_pos = b.item_pos)
+    SELECT doc_id, count(*) AS n_gt, CAST(sum(CASE WHEN hyp IS NULL OR type_b <> type THEN 1000000 ELSE {micro_sql(ned_sql('ref', 'hyp'))} END) AS BIGINT) AS cost, count(*) FILTER (hyp IS NULL) AS only_gt FROM j GROUP BY doc_id"""),
 }

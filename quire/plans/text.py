@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.plans.views import ITEMS, TEXT_PAIRS, Whole, items, micro, micro_sql, table, text_pairs
+from quire.operators import evaluation as E
+from quire.plans.views import ITEMS, TEXT_PAIRS, edits_sql, items, micro, micro_sql, ned_sql, one_byte, table, text_pairs
 
 
 def _docs(columns, where: str | None = None):
@@ -24,13 +25,13 @@ def _items(columns):
     return lambda spark, sf_dir: items(spark, sf_dir).select("doc_id", "item_pos", *(c.alias(k) for k, c in columns().items()))
 
 
-_START = lambda n: F.substring("text", 1, n)
+_TEXT = lambda: F.col("text")
 _MIXED = lambda text: F.translate(text, "abcABC012,", "ａｂｃＡＢＣ０１２，")
-_MIXED_SQL = "translate(substr(text, 1, 100), 'abcABC012,', 'ａｂｃＡＢＣ０１２，')"
+_MIXED_SQL = "translate(text, 'abcABC012,', 'ａｂｃＡＢＣ０１２，')"
 _HYPHEN = lambda: F.when(F.col("item_pos") % 3 == 0, F.concat("text", F.lit("x- "))).otherwise(F.col("text"))
 _MARKED = lambda text: F.concat(F.lit("*a* `b` ~c~ "), text)
 _STYLE = lambda: F.filter(F.array(*(F.when(F.col("doc_id") % m == 0, F.lit(s)) for s, m in (("bold", 2), ("italic", 3), ("strikethrough", 5), ("underline", 7)))), lambda s: s.isNotNull())
-_CORE = "substr(text, 1, 20)"
+_CORE = "text"
 _BOLD = f"CASE WHEN doc_id % 6 = 0 THEN '***' || {_CORE} || '***' WHEN doc_id % 2 = 0 THEN '**' || {_CORE} || '**' WHEN doc_id % 3 = 0 THEN '*' || {_CORE} || '*' ELSE {_CORE} END"
 _STRIKE = f"CASE WHEN doc_id % 5 = 0 THEN '~~' || {_BOLD} || '~~' ELSE {_BOLD} END"
 _PATH = lambda: F.concat(F.lit("s3://bucket"), F.col("doc_id") % 5, F.lit("/dir/"), F.col("source"), F.lit("/f."), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("?bytes="), F.col("doc_id"), F.lit(","), F.col("doc_id") * 2)).otherwise(F.lit("")))
@@ -65,10 +66,7 @@ def chars_to_text(spark, sf_dir):
     """Characters of a line with a space where the gap exceeds a quarter of the median width."""
     from pyspark.sql import Window
 
-    d, text = items(spark, sf_dir), F.col("text")
-    if not isinstance(sf_dir, Whole):
-        d, text = d.where("length(text) = octet_length(text) AND item_pos < 5"), F.substring("text", 1, 60)
-    c = d.select("doc_id", "item_pos", F.posexplode(F.split(text, "")).alias("k", "ch")).where("ch <> ''")
+    c = items(spark, sf_dir).select("doc_id", "item_pos", F.posexplode(F.split("text", "")).alias("k", "ch")).where("ch <> ''")
     width = F.when(F.col("ch").isin("i", "l", "t"), 3).otherwise(6)
     c = c.withColumn("x0", F.col("k") * 8 + F.when(F.col("k") % 9 == 0, 3).otherwise(0)).withColumn("x1", F.col("x0") + width)
     line = Window.partitionBy("doc_id", "item_pos")
@@ -80,7 +78,7 @@ def chars_to_text(spark, sf_dir):
     return c.groupBy("doc_id", "item_pos").agg(whole.alias("text"))
 
 
-_CHARS = f"""WITH {ITEMS}, c AS (SELECT doc_id, item_pos, k - 1 AS k, substr(text, CAST(k AS INTEGER), 1) AS ch FROM (SELECT doc_id, item_pos, text, unnest(range(1, least(60, length(text)) + 1)) AS k FROM items WHERE length(text) = strlen(text) AND item_pos < 5)),
+_CHARS = f"""WITH {ITEMS}, c AS (SELECT doc_id, item_pos, k - 1 AS k, substr(text, CAST(k AS INTEGER), 1) AS ch FROM (SELECT doc_id, item_pos, text, unnest(range(1, length(text) + 1)) AS k FROM items)),
 x AS (SELECT *, k * 8 + CASE WHEN k % 9 = 0 THEN 3 ELSE 0 END AS x0, k * 8 + CASE WHEN k % 9 = 0 THEN 3 ELSE 0 END + CASE WHEN ch IN ('i', 'l', 't') THEN 3 ELSE 6 END AS x1 FROM c),
 w AS (SELECT *, median(x1 - x0) OVER (PARTITION BY doc_id, item_pos) AS mid, lead(x0) OVER (PARTITION BY doc_id, item_pos ORDER BY k) AS nx, lead(ch) OVER (PARTITION BY doc_id, item_pos ORDER BY k) AS nc FROM x)
 SELECT doc_id, item_pos, string_agg(ch || CASE WHEN nx - x1 > mid * 0.25::DOUBLE AND ch <> ' ' AND nc <> ' ' THEN ' ' ELSE '' END, '' ORDER BY k) AS text FROM w GROUP BY ALL"""
@@ -97,21 +95,26 @@ _LOW = "(' ' || regexp_replace(lower(text), '[^\\p{L}]+', '  ', 'g') || ' ')"
 _VOTES = ", ".join(f"len(regexp_extract_all({_LOW}, ' (?:{w}) ')) AS {k}" for k, w in _MARKS.items())
 _LANG = f"""WITH v AS (SELECT lang, {_VOTES} FROM documents WHERE length(text) > 200)
 SELECT lang, count(*) AS n, CAST(sum(CASE WHEN lang = CASE WHEN greatest(en, de, fr, es) = 0 THEN '' WHEN en = greatest(en, de, fr, es) THEN 'en' WHEN de = greatest(en, de, fr, es) THEN 'de' WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END THEN 1 ELSE 0 END) AS BIGINT) AS agree FROM v GROUP BY lang"""
-_HTML = "substr(html, 1, 4000)"
+_HTML = "html"
+
+_ALIKE = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_ORDERED = f"""WITH {TEXT_PAIRS}, n AS (SELECT doc_id, item_pos, {_ALIKE.format('ref')} AS r, {_ALIKE.format('hyp')} AS h FROM tp), w AS (SELECT *, string_split(r, ' ') AS t, list_transform(string_split(h, ' '), lambda x: {{'hits': 0, 'at': 0, 'w': x}}) AS c FROM n),
+s AS (SELECT *, list_reduce(c, lambda s, x: CASE WHEN list_position(t[s.at + 1:], x.w) > 0 THEN {{'hits': s.hits + 1, 'at': s.at + CAST(list_position(t[s.at + 1:], x.w) AS INTEGER), 'w': ''}} ELSE s END, {{'hits': 0, 'at': 0, 'w': ''}}) AS e FROM w)
+SELECT doc_id, item_pos, {micro_sql("CASE WHEN r = '' OR h = '' THEN 0 ELSE e.hits / CAST(len(t) AS DOUBLE) END")} AS v FROM s"""
 
 QUERIES = {
-    "full_to_half": (_docs(lambda: [("t", T.full_to_half(_MIXED(_START(100))))]), "SELECT doc_id, substr(text, 1, 100) AS t FROM documents"),
-    "full_to_half_alnum": (_docs(lambda: [("t", T.full_to_half_alnum(_MIXED(_START(100))))]), "SELECT doc_id, translate(substr(text, 1, 100), ',', '，') AS t FROM documents"),
+    "full_to_half": (_docs(lambda: [("t", T.full_to_half(_MIXED(_TEXT())))]), "SELECT doc_id, text AS t FROM documents"),
+    "full_to_half_alnum": (_docs(lambda: [("t", T.full_to_half_alnum(_MIXED(_TEXT())))]), "SELECT doc_id, translate(text, ',', '，') AS t FROM documents"),
     "hyphen_end": (_items(lambda: dict(v=T.ends_in_hyphen(_HYPHEN()))), f"WITH {ITEMS} SELECT doc_id, item_pos, item_pos % 3 = 0 OR regexp_matches(text, '[A-Za-z][-\u00ad\u2010\u2011\u2043][ \\t\\n\\r\\f\\v]*$') AS v FROM items"),
     "lang_detect": (_lang, _LANG),
-    "ligatures": (_docs(lambda: [("t", T.replace_ligatures(F.concat(F.lit("ﬁeld ﬂow oﬀ eﬃcient wﬄ ﬅ ﬆ "), F.substring("text", 1, 20))))]), "SELECT doc_id, 'field flow off efficient wffl ft st ' || substr(text, 1, 20) AS t FROM documents"),
+    "ligatures": (_docs(lambda: [("t", T.replace_ligatures(F.concat(F.lit("ﬁeld ﬂow oﬀ eﬃcient wﬄ ﬅ ﬆ "), "text")))]), "SELECT doc_id, 'field flow off efficient wffl ft st ' || text AS t FROM documents"),
     "chars_to_text": (chars_to_text, _CHARS),
-    "md_escape": (_docs(lambda: [("t", T.escape_markdown(_MARKED(_START(80)))), ("level", T.title_level((F.col("doc_id") % 8 - 1).cast("int")))]), "SELECT doc_id, regexp_replace('*a* `b` ~c~ ' || substr(text, 1, 80), '([*`~])', '\\\\\\1', 'g') AS t, CAST(CASE WHEN doc_id % 8 - 1 > 4 THEN 4 WHEN doc_id % 8 - 1 < 1 THEN 0 ELSE doc_id % 8 - 1 END AS INTEGER) AS level FROM documents"),
-    "normalize_text": (_docs(lambda: [("t", T.squeeze(F.concat(F.lit(" \t a  b\n"), "text")))], where="length(text) = octet_length(text)"), "SELECT doc_id, trim(regexp_replace(' \t a  b\n' || text, '\\s+', ' ', 'g')) AS t FROM documents WHERE length(text) = strlen(text)".replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '")),
-    "md_style": (_docs(lambda: [("t", T.style_markdown(F.substring("text", 1, 20), _STYLE()))]), f"SELECT doc_id, CASE WHEN text = '' THEN '' WHEN doc_id % 7 = 0 THEN '<u>' || {_STRIKE} || '</u>' ELSE {_STRIKE} END AS t FROM documents"),
-    "md_plain": (lambda s, d: table(s, d, "pages").select("page_id", T.plain_markdown(F.substring("html", 1, 4000)).alias("t"), T.has_content(F.substring("html", 1, 4000)).alias("has")), f"WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML}, '<[^>]*>', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', ' ', 'g'), '[#*_`~|>\\-\\[\\](){{}}:;.,!?/\\\\]+', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM pages) SELECT page_id, t, regexp_matches(t, '[A-Za-z0-9\u00c0-\uffff]') AS has FROM p"),
-    "space_rule": (_pairs(lambda: dict(v=T.needs_space(F.substring("ref", 1, 9), F.substring("ref", 10, 5)))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, substr(ref, 1, 9) <> '' AND substr(ref, 10, 5) <> '' AND NOT regexp_matches(right(substr(ref, 1, 9), 1), '[(\\[{{\"''`\\-]') AND NOT regexp_matches(left(substr(ref, 10, 5), 1), '[)\\]}}\"''`.,;:!?%]') AS v FROM tp"),
-    "html_escape": (_docs(lambda: [("t", T.escape_html(F.concat(F.lit("<a href='x'>\"&\"</a> "), F.substring("text", 1, 40))))]), "SELECT doc_id, '&lt;a href=&#x27;x&#x27;&gt;&quot;&amp;&quot;&lt;/a&gt; ' || replace(replace(replace(replace(replace(substr(text, 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS t FROM documents"),
+    "md_escape": (_docs(lambda: [("t", T.escape_markdown(_MARKED(_TEXT()))), ("level", T.title_level((F.col("doc_id") % 8 - 1).cast("int")))]), "SELECT doc_id, regexp_replace('*a* `b` ~c~ ' || text, '([*`~])', '\\\\\\1', 'g') AS t, CAST(CASE WHEN doc_id % 8 - 1 > 4 THEN 4 WHEN doc_id % 8 - 1 < 1 THEN 0 ELSE doc_id % 8 - 1 END AS INTEGER) AS level FROM documents"),
+    "normalize_text": (_docs(lambda: [("t", T.squeeze(F.concat(F.lit(" \t a  b\n"), "text")))]), "SELECT doc_id, trim(regexp_replace(' \t a  b\n' || text, '\\s+', ' ', 'g')) AS t FROM documents".replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '")),
+    "md_style": (_docs(lambda: [("t", T.style_markdown(_TEXT(), _STYLE()))]), f"SELECT doc_id, CASE WHEN text = '' THEN '' WHEN doc_id % 7 = 0 THEN '<u>' || {_STRIKE} || '</u>' ELSE {_STRIKE} END AS t FROM documents"),
+    "md_plain": (lambda s, d: table(s, d, "pages").select("page_id", T.plain_markdown(F.col("html")).alias("t"), T.has_content(F.col("html")).alias("has")), f"WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML}, '<[^>]*>', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', ' ', 'g'), '[#*_`~|>\\-\\[\\](){{}}:;.,!?/\\\\]+', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM pages) SELECT page_id, t, regexp_matches(t, '[A-Za-z0-9\u00c0-\uffff]') AS has FROM p"),
+    "space_rule": (_pairs(lambda: dict(v=T.needs_space(F.substring("ref", 1, 9), F.expr("substring(ref, 10)")))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, substr(ref, 1, 9) <> '' AND substr(ref, 10) <> '' AND NOT regexp_matches(right(substr(ref, 1, 9), 1), '[(\\[{{\"''`\\-]') AND NOT regexp_matches(left(substr(ref, 10), 1), '[)\\]}}\"''`.,;:!?%]') AS v FROM tp"),
+    "html_escape": (_docs(lambda: [("t", T.escape_html(F.concat(F.lit("<a href='x'>\"&\"</a> "), "text")))]), "SELECT doc_id, '&lt;a href=&#x27;x&#x27;&gt;&quot;&amp;&quot;&lt;/a&gt; ' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS t FROM documents"),
     "fence_strip": (_docs(lambda: [("t", T.strip_fence(F.concat(F.lit("```python\n"), F.regexp_extract("text", r"^(\w*)", 1), F.lit("\n```"))))]), "SELECT doc_id, regexp_extract(text, '^([0-9A-Za-z_]*)', 1) AS t FROM documents"),
     "path_parts": (_docs(lambda: [("stem", T.stem(_PATH())), ("suffix", T.suffix(F.split_part(_PATH(), F.lit("?"), F.lit(1)))), ("parent", T.parent(_PATH())), ("url", T.is_url(F.concat(F.lit("http"), _PATH())))]), f"SELECT doc_id, 'f' AS stem, '.' || lang AS suffix, 's3://bucket' || (doc_id % 5) || '/dir/' || source AS parent, false AS url FROM documents"),
     "parse_paths": (_docs(lambda: [*T.store_path(_PATH()).items()]), f"SELECT doc_id, 'bucket' || (doc_id % 5) AS bucket, 'dir/' || source || '/f.' || lang AS key, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS start, CASE WHEN doc_id % 2 = 0 THEN doc_id * 2 END AS length FROM documents"),
@@ -121,27 +124,22 @@ QUERIES = {
     "bround_trunc": (lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.bround(F.col("l_partkey") / 2.0, 0).cast("long").alias("even"), (-F.col("l_partkey") / 3.0).cast("long").alias("cut")), "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round_even(l_partkey / 2.0::DOUBLE, 0) AS BIGINT) AS even, CAST(trunc(-l_partkey / 3.0::DOUBLE) AS BIGINT) AS cut FROM lineitem"),
     "hashes": (hashes, "SELECT doc_id, upper(md5(text)) AS bytes_md5, md5(text) AS str_md5, sha256(text) AS sha256 FROM documents"),
     "config_key": (config_key, "SELECT md5('even=' || (doc_id % 2) || ';lang=' || lang || ';source=' || source) AS key, count(*) AS n FROM documents GROUP BY ALL"),
-    "edit_distance": (_pairs(lambda: dict(v=F.levenshtein("ref", "hyp"))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, CAST(levenshtein(ref, hyp) AS INTEGER) AS v FROM tp"),
-    "ned": (_pairs(lambda: dict(v=micro(T.edit_rate(F.col("ref"), F.col("hyp"))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, {micro_sql('CASE WHEN greatest(length(ref), length(hyp)) = 0 THEN 0 ELSE levenshtein(ref, hyp) / CAST(greatest(length(ref), length(hyp)) AS DOUBLE) END')} AS v FROM tp"),
-    "cer_wer": (
-        _pairs(lambda: dict(cer=micro(T.character_error_rate(F.col("ref"), F.col("hyp"))), wer=micro(T.word_error_rate(F.col("ref"), F.col("hyp"))))),
-        f"""WITH {TEXT_PAIRS}, w AS (SELECT *, list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(hyp, '\\s+'), lambda x: x <> '') AS b FROM tp),
-        k AS (SELECT *, list_distinct(list_concat(a, b)) AS known FROM w),
-        e AS (SELECT *, array_to_string(list_transform(a, lambda x: chr(33 + CAST(list_position(known, x) AS INTEGER))), '') AS ca, array_to_string(list_transform(b, lambda x: chr(33 + CAST(list_position(known, x) AS INTEGER))), '') AS cb FROM k)
-        SELECT doc_id, item_pos, {micro_sql('CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE levenshtein(ref, hyp) / CAST(length(ref) AS DOUBLE) END')} AS cer,
-        {micro_sql('CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0 ELSE 1 END ELSE levenshtein(ca, cb) / CAST(len(a) AS DOUBLE) END')} AS wer FROM e""",
-    ),
+    "edit_distance": (_pairs(lambda: dict(v=E.edits(F.col("ref"), F.col("hyp")).cast("int"))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, CAST({edits_sql('ref', 'hyp')} AS INTEGER) AS v FROM tp"),
+    "ned": (_pairs(lambda: dict(v=micro(E.edit_rate(F.col("ref"), F.col("hyp"))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, {micro_sql(ned_sql('ref', 'hyp'))} AS v FROM tp"),
+    # Words in SQL would need one byte for each distinct one: cer_wer has brute force, the first half has SQL too.
+    "cer_wer": (_pairs(lambda: dict(cer=micro(E.character_error_rate(F.col("ref"), F.col("hyp"))), wer=micro(E.word_error_rate(F.col("ref"), F.col("hyp"))))), None),
+    "cer": (_pairs(lambda: dict(v=micro(E.character_error_rate(F.col("ref"), F.col("hyp"))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, {micro_sql('CASE WHEN ref = hyp THEN 0 WHEN length(ref) = 0 THEN 1 ELSE levenshtein(' + one_byte('ref') + ', ' + one_byte('hyp') + ') / CAST(length(ref) AS DOUBLE) END')} AS v FROM tp"),
     "token_coverage": (_pairs(lambda: dict(v=micro(T.token_coverage(F.col("ref"), F.col("hyp"))))), f"WITH {TEXT_PAIRS}, w AS (SELECT *, list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: length(x) > 1) AS a, list_filter(regexp_split_to_array(hyp, '\\s+'), lambda x: length(x) > 1) AS b FROM tp) SELECT doc_id, item_pos, {micro_sql('CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_filter(a, lambda x: list_contains(b, x))) / CAST(len(a) AS DOUBLE) END')} AS v FROM w"),
-    "ordered_coverage": (_pairs(lambda: dict(v=micro(T.ordered_coverage(F.substring("ref", 1, 60), F.substring("ref", 1, 60))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, CAST(CASE WHEN regexp_matches(substr(ref, 1, 60), '[0-9A-Za-z]') THEN 1000000 ELSE 0 END AS BIGINT) AS v FROM tp"),
-    "latex_tokens": (_pairs(lambda: dict(a=T.normal_latex(F.lit(r"$\left( \dfrac{a}{b} \, x \right) \le \times \quad c$")), n=F.size(T.latex_tokens(_LATEX(F.substring("ref", 1, 20)))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, '(\\frac{{a}}{{b}}x)\\leq*c' AS a, CAST(12 + len(regexp_extract_all(replace(substr(ref, 1, 20), '$', ''), '(\\\\[a-zA-Z]+|\\\\.|[^ \\t\\n\\r\\f\\v])')) AS INTEGER) AS n FROM tp"),
-    "latex_ned": (lambda s, d: _pairs(lambda: dict(v=micro(T.tokens_rate(T.latex_tokens(_LATEX(F.col("ref"))), T.latex_tokens(_LATEX_HYP(F.col("hyp")))))))(s, Whole(d)), None),
-    "cell_text": (_docs(lambda: [("t", T.cell_text(_MIXED(_START(100))))]), "SELECT doc_id, regexp_replace(substr(text, 1, 100), '[ \\t\\n\\r\\f\\v]+', '', 'g') AS t FROM documents"),
+    "ordered_coverage": (_pairs(lambda: dict(v=micro(T.ordered_coverage(F.col("ref"), F.col("hyp"))))), _ORDERED),
+    "latex_tokens": (_pairs(lambda: dict(a=T.normal_latex(F.lit(r"$\left( \dfrac{a}{b} \, x \right) \le \times \quad c$")), n=F.size(T.latex_tokens(_LATEX(F.col("ref")))))), f"WITH {TEXT_PAIRS} SELECT doc_id, item_pos, '(\\frac{{a}}{{b}}x)\\leq*c' AS a, CAST(12 + len(regexp_extract_all(replace(ref, '$', ''), '(\\\\[a-zA-Z]+|\\\\.|[^ \\t\\n\\r\\f\\v])')) AS INTEGER) AS n FROM tp"),
+    "latex_ned": (_pairs(lambda: dict(v=micro(E.tokens_rate(T.latex_tokens(_LATEX(F.col("ref"))), T.latex_tokens(_LATEX_HYP(F.col("hyp"))))))), None),
+    "cell_text": (_docs(lambda: [("t", T.cell_text(_MIXED(_TEXT())))]), "SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g') AS t FROM documents"),
     "continuation": (_docs(lambda: [("v", T.is_continuation(_CAPTION()))]), "SELECT doc_id, doc_id % 7 IN (1, 2, 3, 4, 5) AS v FROM documents"),
     "cell_count": (_docs(lambda: [("n", T.cells(_TABLE()))]), f"SELECT doc_id, CAST(2 + 2 * (doc_id % 4 + 1) AS INTEGER) AS n FROM documents"),
     "row_cols": (_docs(lambda: [("cols", F.array_join(F.transform(T.table_rows(_TABLE()), lambda r: F.size(r).cast("string")), ","))]), "SELECT doc_id, '2' || repeat(',2', CAST(doc_id % 4 + 1 AS INTEGER)) AS cols FROM documents"),
     "table_to_md": (_docs(lambda: [("t", T.table_markdown(_TABLE()))]), "SELECT doc_id, '| part | qty |' || chr(10) || '| --- | --- |' || array_to_string(list_transform(range(1, doc_id % 4 + 2), lambda k: chr(10) || '| ' || doc_id || ' | ' || k || ' |'), '') AS t FROM documents"),
     "html_rewrite": (lambda s, d: table(s, d, "pages").select("page_id", F.md5(F.encode(F.regexp_replace("html", '<a href="/', '<a href="https://x/'), "UTF-8")).alias("h")), "SELECT page_id, md5(replace(html, '<a href=\"/', '<a href=\"https://x/')) AS h FROM pages"),
-    "data_uri": (_docs(lambda: [("uri", F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode(F.substring("text", 1, 30), "UTF-8")))), ("name", F.concat(F.sha2(F.substring("text", 1, 30), 256), F.lit(".png")))]), "SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(substr(text, 1, 30))) AS uri, sha256(substr(text, 1, 30)) || '.png' AS name FROM documents"),
+    "data_uri": (_docs(lambda: [("uri", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))), ("name", F.concat(F.sha2("text", 256), F.lit(".png")))]), "SELECT doc_id, 'data:image/png;base64,' || to_base64(encode(text)) AS uri, sha256(text) || '.png' AS name FROM documents"),
     "b64_roundtrip": (_docs(lambda: [("same", F.decode(F.unbase64(F.base64(F.encode("text", "UTF-8"))), "UTF-8") == F.col("text")), ("n", F.length(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")))]), "SELECT doc_id, true AS same, CAST((strlen(text) + 2) // 3 * 4 AS INTEGER) AS n FROM documents"),
     "label_group": (lambda s, d: table(s, d, "documents").groupBy(F.when(F.col("source").rlike("^src1"), "one").when(F.col("source").rlike("5$"), "five").otherwise("other").alias("label"), T.comparable(F.concat(F.upper("lang"), F.lit("--x"))).alias("key")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN regexp_matches(source, '^src1') THEN 'one' WHEN regexp_matches(source, '5$') THEN 'five' ELSE 'other' END AS label, lang || ' x' AS key, count(*) AS n FROM documents GROUP BY ALL"),
     "sniff_magic": (_docs(lambda: [("kind", T.magic_suffix(F.when(F.col("doc_id") % 3 == 0, F.encode(F.concat(F.lit("%PDF-1.7 "), "lang"), "UTF-8")).otherwise(F.encode("text", "UTF-8")), F.concat(F.lit("a/b."), F.upper("lang"))))]), "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pdf' ELSE lang END AS kind FROM documents"),

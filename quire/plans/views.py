@@ -7,11 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-class Whole(str):
-    """A directory of tables of which a query takes every row and whole texts. With a plain name the
-    views below cut as the given SQL does."""
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,21 +92,30 @@ ITEMS_B = f"""{ITEMS}, items_b AS (
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched items of the two systems: doc_id, item_pos, ref, hyp; all of them and whole if sf_dir
-    is Whole, else the ASCII ones, of at most 200 characters."""
+    """Matched items of the two systems: doc_id, item_pos, ref, hyp."""
     a, b = items(spark, sf_dir), items_b(spark, sf_dir)
     b = b.select(F.col("doc_id").alias("d"), F.col("item_pos").alias("p"), F.col("text").alias("hyp"))
     both = a.join(b, (F.col("doc_id") == F.col("d")) & (F.col("item_pos") == F.col("p")))
-    if isinstance(sf_dir, Whole):
-        return both.select("doc_id", "item_pos", F.col("text").alias("ref"), "hyp")
-    both = both.where(F.length("text") == F.octet_length("text"))
-    return both.select("doc_id", "item_pos", F.substring("text", 1, 200).alias("ref"), F.substring("hyp", 1, 200).alias("hyp"))
+    return both.select("doc_id", "item_pos", F.col("text").alias("ref"), "hyp")
+
+
+TEXT_PAIRS = f"{ITEMS_B}, tp AS (SELECT a.doc_id, a.item_pos, a.text AS ref, b.text AS hyp FROM items a JOIN items_b b ON a.doc_id = b.doc_id AND a.item_pos = b.item_pos)"
+
+#: DuckDB's levenshtein counts bytes: the letters beyond ASCII that the given tables hold stand as
+#: control characters, one byte each, where it compares.
+_WIDE = "éÉßÇçäÄóèñÑÊíêüÖÍÜÈöÓ"
+
+
+def one_byte(x: str) -> str:
+    return f"translate({x}, '{_WIDE}', " + " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 14 + len(_WIDE) - 8)]) + ")"
+
+
+def edits_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 0 ELSE levenshtein({one_byte(a)}, {one_byte(b)}) END"
 
 
-TEXT_PAIRS = f"""{ITEMS_B}, tp AS (
-    SELECT a.doc_id, a.item_pos, substr(a.text, 1, 200) AS ref, substr(b.text, 1, 200) AS hyp
-    FROM items a JOIN items_b b ON a.doc_id = b.doc_id AND a.item_pos = b.item_pos WHERE length(a.text) = strlen(a.text))"""
-WHOLE_PAIRS = f"{ITEMS_B}, tp AS (SELECT a.doc_id, a.item_pos, a.text AS ref, b.text AS hyp FROM items a JOIN items_b b ON a.doc_id = b.doc_id AND a.item_pos = b.item_pos)"
+def ned_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 0 ELSE levenshtein({one_byte(a)}, {one_byte(b)}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,9 +40,9 @@ def box(*v):
         (lambda: T.column_name(F.lit(702)), "AAA"),
         (lambda: T.roman_number(F.lit(1994)), "MCMXCIV"),
         (lambda: T.excel_date(F.lit(45000.0)), "2023-03-15"),
-        (lambda: T.edit_rate(F.lit("kitten"), F.lit("sitting")), 3 / 7),
-        (lambda: T.character_error_rate(F.lit("hello world"), F.lit("hello wurld")), 1 / 11),
-        (lambda: T.word_error_rate(F.lit("the quick brown fox"), F.lit("the quick brown dog")), 0.25),
+        (lambda: E.edit_rate(F.lit("kitten"), F.lit("sitting")), 3 / 7),
+        (lambda: E.character_error_rate(F.lit("hello world"), F.lit("hello wurld")), 1 / 11),
+        (lambda: E.word_error_rate(F.lit("the quick brown fox"), F.lit("the quick brown dog")), 0.25),
         (lambda: T.normal_latex(F.lit("$\\dfrac{a}{b}$")), "\\frac{a}{b}"),
         (lambda: T.ordered_coverage(F.lit("a b c d"), F.lit("b d a")), 0.5),
         (lambda: T.is_continuation(F.lit("Table 2 (continued)")), True),

@@ -1,4 +1,4 @@
-"""The whole forms of queries take every row."""
+"""Queries take every row and whole texts, against brute force."""
 
 import os
 
@@ -6,8 +6,7 @@ import pytest
 
 from quire.operators import evaluation as E
 from quire.plans import catalog
-from quire.plans.joins import crowded, dense
-from quire.plans.views import Whole
+from quire.plans.joins import dense
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,12 +24,12 @@ def far(spark, tmp_path_factory):
 
 def test_crowded_pages_hold_all_boxes(spark, far):
     n = spark.read.parquet(f"{far}/lineitem.parquet").count()
-    d = dense(spark, Whole(far))
+    d = dense(spark, far)
     assert d.count() == n == d.select("page", "pos").distinct().count()
     assert {r.page for r in d.select("page").distinct().collect()} == {0, 1, 2, 3000, 3001, 3002}
 
 
-@pytest.mark.parametrize("name", ["low_score_text_whole", "dense_line_index_whole", "content_list_whole", "xycut", "sorted_boxes", "nms"])
+@pytest.mark.parametrize("name", ["low_score_text", "dense_line_index", "content_list", "xycut", "sorted_boxes", "nms"])
 def test_far_pages_read_like_near_ones(spark, far, name):
     df = catalog.queries()[name](spark, far)
     rows = df.select("page", *sorted(set(df.columns) - {"page"})).collect()
@@ -39,8 +38,8 @@ def test_far_pages_read_like_near_ones(spark, far, name):
 
 
 def test_char_in_span_takes_all_pages(spark, far):
-    pages = {r.page for r in catalog.queries()["char_in_span_whole"](spark, far).select("page").distinct().collect()}
-    assert pages == {r.page for r in crowded(spark, far).where("pos % 3 = 0").select("page").distinct().collect()}
+    pages = {r.page for r in catalog.queries()["char_in_span"](spark, far).select("page").distinct().collect()}
+    assert pages == {r.page for r in dense(spark, far).where("pos % 3 = 0").select("page").distinct().collect()}
 
 
 LINES = [" ".join(f"w{k}é" for k in range(300)), "e" + "x" * 250 + "e", "Größe der Dinge, e und a", "plain e text", " ".join(f"t{k % 7}" for k in range(90)), "señor e ñu"]
@@ -71,35 +70,33 @@ def _micro(x):
 
 def test_pairs_are_scored_whole(spark, papers):
     q = lambda name: catalog.queries()[name](spark, papers).collect()
-    _scored(q("edit_distance_whole"), lambda a, b: (E.levenshtein(a, b),))
-    _scored(q("ned_whole"), lambda a, b: (_micro(E.rate(a, b)),))
-    _scored(q("cer_wer_whole"), lambda a, b: (_micro(E.levenshtein(a, b) / len(a)), _micro(E.levenshtein(a.split(), b.split()) / len(a.split()))))
+    _scored(q("edit_distance"), lambda a, b: (E.levenshtein(a, b),))
+    _scored(q("ned"), lambda a, b: (_micro(E.rate(a, b)),))
+    _scored(q("cer_wer"), lambda a, b: (_micro(E.levenshtein(a, b) / len(a)), _micro(E.levenshtein(a.split(), b.split()) / len(a.split()))))
 
 
 def test_many_distinct_words_do_not_collide(spark):
     from pyspark.sql import functions as F
 
-    from quire.functions import text as T
-
     a = " ".join(f"w{k}" for k in range(600))
     b = " ".join(f"w{(k + 256) % 600}" for k in range(600))
-    found = spark.range(1).select(T.word_error_rate(F.lit(a), F.lit(b)), T.tokens_rate(F.split(F.lit(a), " "), F.split(F.lit(b), " "))).first()
+    found = spark.range(1).select(E.word_error_rate(F.lit(a), F.lit(b)), E.tokens_rate(F.split(F.lit(a), " "), F.split(F.lit(b), " "))).first()
     expected = E.levenshtein(a.split(), b.split()) / 600
     assert tuple(found) == (expected, expected)
 
 
-def test_strata_of_whole_documents(spark, papers):
-    rows = catalog.queries()["strata_report_whole"](spark, papers).collect()
+def test_strata_of_whole_items(spark, papers):
+    rows = catalog.queries()["strata_report"](spark, papers).collect()
     total = next(r for r in rows if r.lang == r.source == "*")
-    texts = ["\n".join(LINES[k:] + LINES[:k]) for k in range(len(LINES))]
-    assert (total.n, total.total) == (len(texts), sum(_micro(E.rate(t, t.replace("e", "a"))) for t in texts))
+    texts = [(t, t.replace("e", "a") if p % 5 == 0 else t) for k in range(len(LINES)) for p, t in enumerate(LINES[k:] + LINES[:k])]
+    assert (total.n, total.total) == (len(texts), sum(_micro(E.rate(*t)) for t in texts))
 
 
 def test_coverage_of_whole_lines(spark, papers):
-    rows = {(r.doc_id, r.item_pos): r.v for r in catalog.queries()["ordered_coverage_whole"](spark, papers).collect()}
+    rows = {(r.doc_id, r.item_pos): r.v for r in catalog.queries()["ordered_coverage"](spark, papers).collect()}
     assert len(rows) == 36 and rows[(0, 0)] == 1000000  # 300 words, no e: the é stays
     assert rows[(2, 0)] < 1000000
-    n = {(r.doc_id, r.item_pos): r.n for r in catalog.queries()["latex_tokens_whole"](spark, papers).collect()}
+    n = {(r.doc_id, r.item_pos): r.n for r in catalog.queries()["latex_tokens"](spark, papers).collect()}
     assert n[(1, 0)] == 12 + 252
 
 
@@ -113,7 +110,7 @@ def test_every_page_of_every_document_is_aligned(spark, tmp_path, name):
         assert sum(r.pos_a is not None for r in rows) == 3 * 70
 
 
-@pytest.mark.parametrize("name", ["teds", "header_prefix", "table_grid_whole"])
+@pytest.mark.parametrize("name", ["teds", "header_prefix", "table_grid"])
 def test_tables_of_far_orders(spark, far, name):
     df = catalog.queries()[name](spark, far)
     rows = df.select("page", *sorted(set(df.columns) - {"page"})).collect()
@@ -127,12 +124,12 @@ def test_long_documents_keep_all_items(spark, tmp_path):
     q = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
     gone = [k for k in range(70) if k % 7 == 6]
     costs = [1.0 if k % 7 == 6 or k % 11 == 10 else E.rate(t, t.replace("e", "a") if k % 5 == 0 else t) for k, t in enumerate(lines)]
-    score = q("gt_score_whole")[0]
+    score = q("gt_score")[0]
     assert (score.n_gt, score.only_gt, score.cost) == (70, len(gone), sum(map(_micro, costs)))
-    assert {r.page_idx for r in q("content_list_v2_whole")} == {0, 1, 2, 3}
-    assert q("middle_json_whole")[0].pdf_info.count('"index"') == 70
-    assert len(q("resume_offset_whole")) == len(q("toc_semi_whole")) == 70
-    assert all(len(r.text) >= 120 for r in q("chars_to_text_whole")) and len(q("chars_to_text_whole")) == 70
+    assert {r.page_idx for r in q("content_list_v2")} == {0, 1, 2, 3}
+    assert q("middle_json")[0].pdf_info.count('"index"') == 70
+    assert len(q("resume_offset")) == len(q("toc_semi")) == 70
+    assert all(len(r.text) >= 120 for r in q("chars_to_text")) and len(q("chars_to_text")) == 70
 
 
 def test_models_and_costs_take_whole_texts(spark, tmp_path):
@@ -141,10 +138,30 @@ def test_models_and_costs_take_whole_texts(spark, tmp_path):
     texts = {1: "straße e " * 60, 2: "plain e text " * 400}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     q = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
-    assert {r.doc_id: r.out for r in q("custom_model_whole")} == {k: t.upper() for k, t in texts.items()}
-    assert {r.doc_id: r.page for r in q("stage_chain_whole")} == {k: hashlib.md5(t.upper().encode()).hexdigest() for k, t in texts.items()}
+    assert {r.doc_id: r.out for r in q("custom_model")} == {k: t[::-1] for k, t in texts.items()}
+    assert {r.doc_id: r.page for r in q("stage_chain")} == {k: hashlib.md5(t[::-1].encode()).hexdigest() for k, t in texts.items()}
     ends = lambda t: f"{t[:160]}\n{t[-160:]}"
-    assert {r.doc_id: r.v for r in q("sketch_cost_whole")} == {k: _micro(E.rate(ends(t), ends(t.replace("e", "a"))) * 0.8) for k, t in texts.items()}
+    cost = lambda a, b: E.rate(ends(a), ends(b)) * 0.8 + abs(len(a) - len(b)) / max(len(a), len(b)) * 0.2
+    assert {r.doc_id: r.v for r in q("sketch_cost")} == {k: _micro(cost(t, t.replace("e", "a") + "e" * k)) for k, t in texts.items()}
+
+
+def test_distance_of_any_sequences():
+    import random
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abé") for _ in range(rng.randrange(90))) for _ in range(2))
+        assert E.levenshtein(a, b) == table(a, b)
+    words = [f"w{k}" for k in range(1000)]
+    assert E.levenshtein(words, words[:500] + ["x", *words[500:990]]) == 11
 
 
 def test_text_functions_reach_the_end(spark, tmp_path):
@@ -152,6 +169,6 @@ def test_text_functions_reach_the_end(spark, tmp_path):
     spark.createDataFrame([(6, end, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, end)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     t = lambda name: catalog.queries()[name](spark, str(tmp_path)).first().t
-    assert t("full_to_half_whole") == end and t("cell_text_whole") == end.replace(" ", "")
-    assert t("md_escape_whole").endswith("\\*a\\* <b> & aC0,") and t("html_escape_whole").endswith(" *a* &lt;b&gt; &amp; aC0,")
-    assert t("ligatures_whole").endswith(end) and t("md_style_whole") == f"***{end}***" and t("md_plain_whole").endswith("x a & aC0")
+    assert t("full_to_half") == end and t("cell_text") == end.replace(" ", "")
+    assert t("md_escape").endswith("\\*a\\* <b> & aC0,") and t("html_escape").endswith(" *a* &lt;b&gt; &amp; aC0,")
+    assert t("ligatures").endswith(end) and t("md_style") == f"***{end}***" and t("md_plain").endswith("x a & aC0")
