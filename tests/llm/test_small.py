@@ -235,7 +235,7 @@ def test_crowded_bands_lose_no_link(spark, monkeypatch):
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert neardup.link(docs(spark, [])).collect() == []
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
-    assert sorted((r.doc_id is None, r.component_id, r.kept) for r in neardup.link(df).collect()) == [(False, 3, True), (True, None, True), (True, None, True)] or True
+    assert sorted((r.doc_id is None, r.component_id, r.kept) for r in neardup.link(df).collect()) == [(False, 3, True), (True, None, True), (True, None, True)]
     assert [r.component_id for r in neardup.link(df).collect() if r.doc_id == 3] == [3]
 
 
@@ -285,21 +285,79 @@ def test_fingerprints_estimate_likeness(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(full)], "doc_id long, text string")
     got = {r.doc_id: r.f for r in fingerprint.with_fingerprint(df, "text", "f").collect()}
     assert len(got[0]) == fingerprint.BINS * 2 and got[0] == got[40] == got[41] and got[42] == got[43 if texts[43] == "" else 42] == ""
-    pairs = [(full[0], " ".join(full[0].split()[: len(full[0].split()) * k // 6])) for k in range(1, 7)]
-    both = fingerprint.with_fingerprint(fingerprint.with_fingerprint(spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string"), "a", "fa"), "b", "fb")
+    # Texts of 300 words that share a prefix: the estimate's deviation is at most 0.04.
+    rng = random.Random(8)
+    some = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(2)]
+    pairs = [(" ".join(some[0]), " ".join(some[0][: 50 * k] + some[1][50 * k :])) for k in range(7)]
+    both = fingerprint.with_bins(fingerprint.with_bins(spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string"), "a", "fa"), "b", "fb")
     for r in both.select("k", fingerprint.likeness(F.col("fa"), F.col("fb")).alias("v")).collect():
         a, b = map(shingles, pairs[r.k])
-        assert r.v == pytest.approx(len(a & b) / len(a | b), abs=0.17)
+        assert r.v == pytest.approx(len(a & b) / len(a | b), abs=0.12)
+
+
+def test_fingerprints_of_short_texts(spark):
+    """Bins by hand: the smallest hash of each, and borrowed values only from full bins."""
+    short = ["a b c d e f g", "a b c", "one", " one\t", "a b c d e f g h i j k l m n o p"]
+    got = [r.b for r in fingerprint.with_bins(spark.createDataFrame([(i, t) for i, t in enumerate(short)], "i int, t string"), "t", "b").orderBy("i").collect()]
+    assert all([v // 256 for v in b] == list(range(256)) for b in got)
+    assert [len({v % 256 for v in b}) for b in got[:4]] == [3, 1, 1, 1] and got[2] == got[3] and got[1] != got[2]
+    assert 8 <= len({v % 256 for v in got[4]}) <= 12
 
 
 def test_next_rows_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(fingerprint, "GROUP", 4)
     ids = sorted(random.Random(4).sample(range(10**9), 60))
     df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(ids[3], "t"), (None, "null")], "doc_id long, text string")
-    want = sorted([(i, f"t{i}") for i in ids] + [(ids[3], "t")])
-    want = [(None, "null"), *want]
-    got = fingerprint.with_next(df, "doc_id", ["text"], ["text"], 400).collect()
-    assert sorted((r.doc_id or -1, r.text, r.next_text) for r in got) == sorted((a[0] or -1, a[1], b[1]) for a, b in zip(want, want[1:] + want[:1]))
+    salt = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    for size in (1, 400, 40_000):
+        want = sorted([(i, salt[f"t{i}"], f"t{i}") for i in ids] + [(ids[3], salt["t"], "t")])
+        want = [(None, 0, "null"), *want]
+        got = fingerprint.with_next(df, "doc_id", "text", ["text"], size).collect()
+        assert sorted((r.doc_id or -1, r.text, r.next_text) for r in got) == sorted((a[0] or -1, a[2], b[2]) for a, b in zip(want, want[1:] + want[:1]))
+
+
+@pytest.mark.parametrize("heavy", [None, 7, -(2**63), 2**63 - 1])
+def test_next_rows_of_one_heavy_id(spark, monkeypatch, heavy):
+    monkeypatch.setattr(fingerprint, "BUCKET_BYTES", 40)
+    rows = [(heavy, f"t{i}") for i in range(50)] + [(i, f"o{i}") for i in range(5, 10)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang int, first int")
+    salt = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, salt[r[1]]))
+    got = fingerprint.with_next(df, "doc_id", "text", ["text"], 2000).collect()
+    assert {r.text: r.next_text for r in got} == {a[1]: b[1] for a, b in zip(want, want[1:] + want[:1])}
+    buckets = df.select(fingerprint._ranges(df, "doc_id", 2000, F.xxhash64("text")).alias("b")).groupBy("b").count().collect()
+    assert max(r["count"] for r in buckets) <= 12
+    with pytest.raises(TypeError):
+        fingerprint.with_next(df.withColumn("doc_id", F.lit("a")), "doc_id", "text", ["text"], 1)
+
+
+def test_fingerprint_query_by_brute_force(spark, texts, tmp_path):
+    rng = random.Random(9)
+    long = [" ".join(f"ü{rng.randrange(10**4)}" for _ in range(200)) for _ in range(3)]
+    rows = [(3 * i, t, "en") for i, t in enumerate([*texts, *long])] + [(None, "no id", None), (6, texts[2], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, bins string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprint.op9_fingerprints(spark, str(tmp_path)).collect()
+    order = sorted(((-1 if i is None else i, t or "") for i, t, _ in rows))
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[-1 if r.doc_id is None else r.doc_id].append(r)
+    prints = {}
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        other = t[: len(t) - half] + n[:half]
+        sha = hashlib.sha256(other.encode()).hexdigest()
+        r = next(r for r in by[i] if r.edited_sha256 == sha)
+        assert r.n_chars == len(t)
+        for text, mark, near in ((other, r.edited_fingerprint, r.near_edited), (n, None, r.near_next)):
+            a, b = shingles(t), shingles(text)
+            true = len(a & b) / len(a | b) if a | b else 1.0
+            assert near == 1.0 if a == b else near == pytest.approx(true, abs=0.04 + 1.2 / (1 + min(len(a), len(b))) ** 0.5 + 0.15)
+            assert prints.setdefault(text, mark or prints.get(text)) in (mark, None, prints[text])
+        assert prints.setdefault(t, r.fingerprint) in (None, r.fingerprint)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert fingerprint.op9_fingerprints(spark, f"{tmp_path}/none").collect() == []
 
 
 # --- WARC
@@ -368,7 +426,30 @@ def test_budgets_fill_siblings_before_ancestors(spark):
     a, b = water(top["A"], {"en": (1.0, 1100), "de": (1.0, 10)}), water(top["B"], {"en": (1.0, 50), None: (1.0, 5000)})
     en = water(a["en"], {"s1": (1.0, 100), "s2": (0.5, 1000)})
     want = {("A", "en", "s1"): en["s1"], ("A", "en", "s2"): en["s2"], ("A", "de", "s3"): a["de"], ("B", "en", "s4"): b["en"], ("B", None, None): b[None]}
-    assert got == {k: int(v) for k, v in want.items()} and abs(sum(got.values()) - 1600) < 5
+    assert all(abs(got[k] - v) < 3 for k, v in want.items()) and sum(got.values()) == 1600
+
+
+def test_budgets_without_weight_are_dealt_to_siblings(spark):
+    leaves = [("A", "en", "s1", 1000), ("A", "de", "s2", 1000), ("B", "en", "s3", 1000), ("C", "en", "s1", 70)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, supply long")
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(df, F.lit(1201), {"source": {"s1": 0.0}}, 1).collect()}
+    top = water(1201, {"A": (1.0, 1000), "B": (1.0, 1000)})
+    assert sum(got.values()) == 1201 and set(got) == {("A", "de", "s2"), ("B", "en", "s3")}
+    assert all(abs(got[k] - top[k[0]]) < 1 for k in got)
+    none = mixing.budgets(df, F.lit(1200), {"domain": {"A": 0.0, "B": 0.0}, "source": {"s1": -1.0}}, 1)
+    assert none.collect() == []
+
+
+def test_budgets_are_whole_and_complete(spark):
+    rng = random.Random(6)
+    leaves = [(f"d{i % 3}", f"l{i % 4}", f"s{i}", rng.randrange(1, 500)) for i in range(40)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, supply long")
+    weights = {"domain": {"d1": 0.3}, "lang": {"l2": 0.0}, "source": {f"s{i}": rng.random() for i in range(0, 40, 3)}}
+    most = sum(2 * n for _, l, _, n in leaves if l != "l2")
+    for total in (0, 1, 997, most - 1, most, most + 50):
+        rows = mixing.budgets(df, F.lit(total), weights, 2).collect()
+        room = {(d, l, s): 2 * n for d, l, s, n in leaves}
+        assert sum(r.budget for r in rows) == min(total, most) and all(0 <= r.budget <= room[r.domain, r.lang, r.source] for r in rows)
 
 
 def test_mix_takes_prefixes_of_seeded_epochs(spark, texts):
@@ -384,7 +465,7 @@ def test_mix_takes_prefixes_of_seeded_epochs(spark, texts):
         assert last < 3 and sum(r.taken < r.tokens for r in rows) <= 1
         for e in range(last):
             assert all(r.taken == r.tokens for r in rows if r.epoch == e)
-        order = sorted((r for r in rows if r.epoch == last), key=lambda r: hashlib.md5(f"17|{last}|{r.doc_id}".encode()).hexdigest())
+        order = sorted((r for r in rows if r.epoch == last), key=lambda r: hashlib.md5(f"17|{last}|{r.doc_id}|{hashlib.md5(texts[r.doc_id].encode()).hexdigest()}".encode()).hexdigest())
         assert all(r.taken == r.tokens for r in order[:-1])
     assert sum(r.taken for r in got) <= 0.7 * sum(tokens.values())
     assert mixing.mix(df.limit(0), {}).collect() == []
