@@ -268,3 +268,26 @@ def teds_column(a: Column, b: Column, texts: bool = True) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([teds(p, q, texts) for p, q in zip(x, y)])
     return run(a, b)
+
+
+def align_documents(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two systems' content lists (doc_id, page_idx, item_pos, type, text) compared by document:
+    matched, only_a, only_b, precision, recall, f1, and of matched text and equations the mean edit
+    rate, character and word error rates against b (null without pairs)."""
+    pairs = align_pages(a, b)
+    left = a.select(F.col("doc_id").alias("d1"), F.col("item_pos").alias("pos_a"), F.col("type").alias("type_a"), F.col("text").alias("text_a"))
+    right = b.select(F.col("doc_id").alias("d2"), F.col("item_pos").alias("pos_b"), F.col("type").alias("type_b"), F.col("text").alias("text_b"))
+    j = pairs.join(left, (F.col("doc_id") == F.col("d1")) & (pairs.pos_a == left.pos_a), "left").join(right, (F.col("doc_id") == F.col("d2")) & (pairs.pos_b == right.pos_b), "left")
+    flat = lambda c: F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    j = j.select("doc_id", pairs.pos_a, pairs.pos_b, "type_a", flat("text_a").alias("x"), flat("text_b").alias("y"))
+    both = F.col("pos_a").isNotNull() & F.col("pos_b").isNotNull()
+    j = j.withColumn("both", both).withColumn("ned", edit_rate(F.col("x"), F.col("y"))).withColumn("cer", character_error_rate(F.col("y"), F.col("x"))).withColumn("wer", word_error_rate(F.col("y"), F.col("x")))
+    scored = F.col("both") & F.col("type_a").isin("text", "equation")
+    g = j.groupBy("doc_id").agg(
+        F.count_if("both").alias("matched"), F.count_if(F.col("pos_b").isNull()).alias("only_a"), F.count_if(F.col("pos_a").isNull()).alias("only_b"),
+        *(F.avg(F.when(scored, F.col(c))).alias(f"mean_{c}") for c in ("ned", "cer", "wer")),
+    )
+    share = lambda n, m: F.when(m > 0, n / F.when(m > 0, m)).otherwise(F.lit(0.0))
+    m = F.col("matched")
+    g = g.withColumn("precision", share(m, m + F.col("only_a"))).withColumn("recall", share(m, m + F.col("only_b")))
+    return g.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))

@@ -166,21 +166,6 @@ def resume_offset(spark, sf_dir):
     return items(spark, sf_dir).join(d, "doc_id").select("doc_id", "item_pos", (F.col("page_idx") + F.col("last") + 1).cast("int").alias("page_idx"))
 
 
-def html_rows(spark, sf_dir):
-    """Cells of a table's rows and the widest row."""
-    h = _html("h", 9)(spark, sf_dir)
-    rows = T.table_rows(F.col("h"))
-    return h.select("page", F.size(rows).alias("rows"), F.array_max(F.transform(rows, lambda r: F.size(r))).alias("cols"))
-
-
-def header_prefix(spark, sf_dir):
-    """Leading rows that two tables share."""
-    a, b = _html("a", 9)(spark, sf_dir), _html("b", 3)(spark, sf_dir)
-    j = a.join(b, "page").select("page", T.table_rows(F.col("a")).alias("a"), T.table_rows(F.col("b")).alias("b"))
-    same = F.zip_with(F.slice("a", 1, 5), F.slice("b", 1, 5), lambda x, y: F.coalesce(F.array_join(x, "|") == F.array_join(y, "|"), F.lit(False)))
-    return j.select("page", F.aggregate(same, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & x).alias("on"), F.when(s["on"] & x, s["n"] + 1).otherwise(s["n"]).alias("n")), lambda s: s["n"]).alias("rows"))
-
-
 def greedy(step):
     return lambda spark, sf_dir: _boxes(step(_labelled(spark, sf_dir)))
 
@@ -188,18 +173,52 @@ def greedy(step):
 _MD = "CASE WHEN item_pos % 20 = 0 THEN repeat('#', CAST(CASE WHEN doc_id % 7 - 1 > 4 THEN 4 WHEN doc_id % 7 - 1 < 1 THEN 0 ELSE doc_id % 7 - 1 END AS INTEGER)) || ' ' || body WHEN item_pos % 5 = 4 THEN '- ' || body ELSE body END"
 _NORM = "md5(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')))"
 
+_W, _H = "least(a.x1, b.x1) - greatest(a.x0, b.x0)", "least(a.y1, b.y1) - greatest(a.y0, b.y0)"
+_MEET = f"(greatest({_W}, 0) * greatest({_H}, 0))"
+_AREA = lambda t: f"(({t}.x1 - {t}.x0) * ({t}.y1 - {t}.y0))"
+_MEET1 = f"(greatest({_W} + 1, 0) * greatest({_H} + 1, 0))"
+_AREA1 = lambda t: f"(({t}.x1 - {t}.x0 + 1) * ({t}.y1 - {t}.y0 + 1))"
+# What stays depends on what stayed before: a step for each box, or for each pair, in order.
+_NMS = f"""WITH {DENSE}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, pos DESC) AS k FROM dense),
+rv AS (SELECT a.page, a.k, list(b.k) FILTER (b.k IS NOT NULL) AS rivals FROM o a LEFT JOIN o b ON a.page = b.page AND b.k < a.k AND {_MEET1} / ({_AREA1('a')} + {_AREA1('b')} - {_MEET1}) >= CASE WHEN a.category_id = b.category_id THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END GROUP BY ALL),
+st AS (SELECT page, list({{'k': k, 'rv': coalesce(rivals, CAST([] AS BIGINT[])), 'kept': CAST([] AS BIGINT[])}} ORDER BY k) AS steps FROM rv GROUP BY page),
+e AS (SELECT page, list_reduce(steps, lambda s, x: CASE WHEN list_has_any(s.kept, x.rv) THEN s ELSE {{'k': CAST(0 AS BIGINT), 'rv': CAST([] AS BIGINT[]), 'kept': list_append(s.kept, x.k)}} END, {{'k': CAST(0 AS BIGINT), 'rv': CAST([] AS BIGINT[]), 'kept': CAST([] AS BIGINT[])}}).kept AS kept FROM st)
+SELECT o.page, pos, x0, y0, x1, y1 FROM o JOIN e ON o.page = e.page AND list_contains(kept, k)"""
+
+
+def _pairwise(name: str, source: str, hit: str, first_goes: str, each: str) -> str:
+    """Pairs of `source` in order; of one whose boxes both are there, one goes."""
+    return f"""{name}_p AS (SELECT a.page, list({{'i': a.pos, 'j': b.pos, 'f': {first_goes}, 'gone': CAST([] AS INTEGER[])}} ORDER BY a.pos, b.pos) AS steps FROM {source} a JOIN {source} b ON a.page = b.page AND {each} AND {hit} GROUP BY a.page),
+{name}_g AS (SELECT page, list_reduce(steps, lambda s, x: CASE WHEN list_contains(s.gone, x.i) OR list_contains(s.gone, x.j) THEN s ELSE {{'i': 0, 'j': 0, 'f': false, 'gone': list_append(s.gone, CASE WHEN x.f THEN x.i ELSE x.j END)}} END, {{'i': 0, 'j': 0, 'f': false, 'gone': CAST([] AS INTEGER[])}}).gone AS gone FROM {name}_p),
+{name} AS (SELECT s.* FROM {source} s LEFT JOIN {name}_g g ON s.page = g.page WHERE g.page IS NULL OR NOT list_contains(gone, s.pos))"""
+
+
+_OVERLAPS = f"""WITH {DENSE}, {_pairwise('kept', 'dense', f"{_MEET} / least({_AREA('a')}, {_AREA('b')}) > 0.5::DOUBLE AND (a.category_id = b.category_id OR NOT (a.category_id = 3 OR b.category_id = 3))", f"{_AREA('a')} < {_AREA('b')}", 'a.pos < b.pos')}
+SELECT page, pos, x0, y0, x1, y1 FROM kept"""
+_TWINS = f"""WITH {DENSE}, {_pairwise('one', 'dense', f"{_MEET} / ({_AREA('a')} + {_AREA('b')} - {_MEET}) > 0.5::DOUBLE", 'a.score < b.score', 'a.pos <> b.pos')},
+{_pairwise('kept', 'one', f"{_MEET} / least({_AREA('a')}, {_AREA('b')}) > 0.5::DOUBLE", f"{_AREA('a')} <= {_AREA('b')}", 'a.pos <> b.pos')} SELECT page, pos, x0, y0, x1, y1 FROM kept"""
+_FAR = "sqrt(pow(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + pow(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2))"
+_CAPTIONS = f"""WITH RECURSIVE {DENSE}, p AS (SELECT a.page, a.pos AS i, b.pos AS j, {_FAR} AS far, row_number() OVER (PARTITION BY a.page ORDER BY {_FAR}, a.pos, b.pos) AS k FROM dense a JOIN dense b ON a.page = b.page AND a.category_id = 1 AND b.category_id = 3),
+r AS (SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS c, CAST([] AS INTEGER[]) AS f FROM p GROUP BY page UNION ALL
+    SELECT r.page, r.k + 1, CASE WHEN list_contains(c, i) OR list_contains(f, j) THEN c ELSE list_append(c, i) END, CASE WHEN list_contains(c, i) OR list_contains(f, j) THEN f ELSE list_append(f, j) END FROM r JOIN p ON p.page = r.page AND p.k = r.k + 1),
+e AS (SELECT page, arg_max(c, k) AS c, arg_max(f, k) AS f FROM r GROUP BY page), n AS (SELECT page, i, arg_min(j, (far, j)) AS nearest FROM p GROUP BY ALL)
+SELECT n.page, n.i AS pos, coalesce(f[list_position(c, i)], nearest) AS subject_pos FROM n JOIN e USING (page)"""
+# The second table has some rows of the first: what differs is left out, three nodes a row.
+_TEDS = f"""WITH {DENSE}, n AS (SELECT page, count(*) FILTER (pos % 9 <> 1) AS a, count(*) FILTER (pos % 3 <> 1) AS b FROM boxes GROUP BY page)
+SELECT page, {micro_sql('1 - 3 * (a - b) / CAST(5 + 3 * a AS DOUBLE)')} AS teds, {micro_sql('1 - 3 * (a - b) / CAST(5 + 3 * a AS DOUBLE)')} AS teds_struct FROM n WHERE a > 0 AND b > 0"""
+
 QUERIES = {
-    "nms": (greedy(lambda d: Y.suppress(d, 0.3, 0.5)), None),
-    "overlap_filter": (greedy(lambda d: Y.drop_overlaps(d, 0.5)), None),
-    "greedy_spans": (greedy(lambda d: Y.drop_twins(d, 0.5, 0.5)), None),
+    "nms": (greedy(lambda d: Y.suppress(d, 0.3, 0.5)), _NMS),
+    "overlap_filter": (greedy(lambda d: Y.drop_overlaps(d, 0.5)), _OVERLAPS),
+    "greedy_spans": (greedy(lambda d: Y.drop_twins(d, 0.5, 0.5)), _TWINS),
     "absorb": (greedy(lambda d: Y.absorb(d, 0.5)), None),
     "xycut": (lambda s, d: Y.reading_order(dense(s, d)), None),
     "sorted_boxes": (lambda s, d: Y.row_order(dense(s, d)), None),
     "merge_adjacent": (lambda s, d: Y.merge_words(dense(s, d)), None),
-    "knn_caption": (lambda s, d: Y.pair_captions(dense(s, d).where("category_id = 1"), dense(s, d).where("category_id = 3")), None),
+    "knn_caption": (lambda s, d: Y.pair_captions(dense(s, d).where("category_id = 1"), dense(s, d).where("category_id = 3")), _CAPTIONS),
     "align_page": (lambda s, d: E.align_pages(items(s, d), items_b(s, d)), None),
     "order_corr": (lambda s, d: E.match_orders(items(s, d), items_b(s, d)), None),
-    "teds": (teds, None),
+    "teds": (teds, _TEDS),
     "custom_model": (custom_model, f"WITH {ITEMS} SELECT doc_id, item_pos, reverse(text) AS out FROM items"),
     "stage_chain": (stage_chain, f"WITH {ITEMS} SELECT doc_id, page_idx, md5(string_agg(CASE WHEN item_pos % 2 = 0 THEN reverse(text) ELSE text END, chr(10) ORDER BY item_pos)) AS page FROM items GROUP BY ALL"),
     "to_markdown": (to_markdown, f"WITH {ITEMS}, b AS (SELECT *, regexp_replace(text, '([*`~])', '\\\\\\1', 'g') AS body FROM items) SELECT doc_id, item_pos, CASE WHEN item_pos % 20 = 0 THEN 'title' WHEN item_pos % 5 = 4 THEN 'list' ELSE 'text' END AS type, md5({_MD}) AS md FROM b"),
@@ -219,7 +238,5 @@ QUERIES = {
     "sheet_bounds": (sheet_bounds, f"WITH {DENSE}, c AS (SELECT DISTINCT page % 50 AS sheet, CAST(floor(x0 / 10) AS INTEGER) AS c, CAST(floor(y0 / 10) AS INTEGER) AS r FROM boxes) SELECT sheet, min(r) AS top, max(r) AS bottom, min(c) AS first_col, max(c) AS last_col, count(*) AS cells FROM c GROUP BY sheet"),
     "recover_rows": (recover_rows, f'WITH {DENSE}, l AS (SELECT *, lag(y0) OVER (PARTITION BY page ORDER BY y0, pos) AS b FROM dense), g AS (SELECT *, CAST(sum(CASE WHEN b IS NULL OR y0 - b > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, pos ROWS UNBOUNDED PRECEDING) AS INTEGER) AS "row" FROM l) SELECT page, "row", count(*) AS cells, min(y0) AS top FROM g GROUP BY ALL'),
     "union_routes": (union_routes, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'office' ELSE 'pipeline' END AS route FROM documents"),
-    "table_grid": (html_rows, f"WITH {DENSE} SELECT page, CAST(1 + count(*) AS INTEGER) AS rows, CAST(2 AS INTEGER) AS cols FROM boxes WHERE pos % 9 <> 1 GROUP BY page"),
-    "header_prefix": (header_prefix, None),
     "csv_export": (lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.encode(files.csv_row(F.col("doc_id"), F.col("source"), F.concat(F.lit('"'), "text")), "UTF-8")).alias("row")), """SELECT doc_id, md5('"' || doc_id || '","' || source || '","' || replace('"' || text, '"', '""') || '"') AS row FROM documents"""),
 }
