@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, mixing, neardup, quality
-from quire.llm.common import WORD, spill, table
+from quire.llm.common import WORD, drop_since, mark, spill, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The mixture: these weights (1 where not named), four fifths of the tokens there are, and no text
@@ -17,7 +17,9 @@ SHARE, EPOCHS = 0.8, 2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score at least 0.7)."""
+    """Documents that the quality classifier does not reject (score at least 0.7). It learns from
+    the labelled rows that are left in docs. A null text counts as empty; null and repeated ids are
+    judged each by its text; without labels every score is one half and nothing stays."""
     model = quality.train(quality.sample(docs, table(spark, sf_dir, "labels")))
     scored = quality.score(docs, model, keep=("text", "lang", "source", "n_chars"))
     return scored.where(F.col("score") >= 0.7).select(*COLUMNS)
@@ -45,7 +47,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to it."""
+    """Digests of each document's token ids and of what they decode to; a row for each row, a null
+    text counts as empty."""
     given = docs.withColumn("text", F.coalesce("text", F.lit("")))
     out = bpe.encode(given, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -63,9 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, began = table(spark, sf_dir, "documents"), mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = spill(docs, f"pipeline-{name}")
+            drop_since(spark, began, docs)  # nothing that follows reads them
     return docs

@@ -21,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_bytes, small_batches, table
 
 #: Characters of a text up to which its pieces are listed at once; longer ones come in blocks.
 WHOLE = 1 << 20
 BLOCK = 1 << 16
+#: Bytes of text that become one batch of results.
+SLICE = 2 << 20
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -51,7 +53,8 @@ class Pieces(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        self[piece] = out
+        if len(piece) <= 64:  # longer ones seldom come again
+            self[piece] = out
         return out
 
 
@@ -61,7 +64,7 @@ class ByteBPE:
     kept bounds the entries of each of the two memos (pieces, pairs).
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = 1 << 17):
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.text = {rank: token for token, rank in self.ids.items()}
         self.bytes = {rank: token for token, rank in ranks.items()}
@@ -195,12 +198,14 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     most 64 MB, else ValueError). Returns id_col, ids (binary: little-endian unsigned 32-bit
     integers) and, with decode, decoded (binary). One row for each row of df, in no order: a null
     or empty text has no ids and decodes to nothing; null and repeated ids stay as they are; other
-    columns are dropped. No shuffle; a task holds one Arrow batch and its memos.
+    columns are dropped; nothing comes from an empty table. No shuffle; a task holds one Arrow
+    batch, the results of SLICE bytes of text and its memos.
     """
     with open(vocabulary, "rb") as f:
         raw = f.read()
     if len(raw) > 64 << 20:
         raise ValueError("a vocabulary is at most 64 MB")
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(raw)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -208,9 +213,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
         bpe = _encoder(shared.value, pattern)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 256):
-                packed = [bpe.encode(t.as_py() or "") for t in texts[lo : lo + 256]]
-                out = [ids[lo : lo + 256], pa.array(packed, pa.binary())]
+            for lo, hi in by_bytes(texts, SLICE):
+                packed = [bpe.encode(t.as_py() or "") for t in texts[lo:hi]]
+                out = [ids[lo:hi], pa.array(packed, pa.binary())]
                 if decode:
                     out.append(pa.array([bpe.decode(p) for p in packed], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, [id_col, "ids", "decoded"][: len(out)])
@@ -220,6 +225,8 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of what they decode to; a null text counts as
+    empty, and null and repeated ids get a row each."""
     import public_tokenizers
 
     out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,36 +19,98 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: the one the cluster names in
+    spark.checkpoint.dir.
 
-    It is the one the cluster names in spark.checkpoint.dir; a folder of this machine stands in
-    only where that is unset, as in tests on one machine.
+    A folder of this machine stands in only where that is unset and all tasks run in this one
+    process, as in tests; elsewhere its lack is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "quire-shared")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+#: Tables written by this driver, in order; those not dropped before go when it ends.
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path for a table or for files in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder; computed at once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _files(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
 
+def few_files(rows: int, each: int) -> int:
+    """Tasks (and so files) for a table of small rows, `each` of them for one; twelve at least."""
+    return max(12, -(-rows // each))
 
-def spill(df: DataFrame, what: str) -> DataFrame:
-    """df written as a compressed table in the shared folder and read from there; computed at once."""
-    path = scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def spill(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """df written as a compressed table in the shared folder and read from there; computed at once.
+
+    files: as many tasks at most write it, for tables of small rows that would else be spread over
+    many tiny files (a local file system starts a process for each file it creates). Row groups are
+    small, so that a task's writer holds little. The table is deleted by drop_since, or when the
+    driver ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    df = df if files is None else df.coalesce(files)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    files, made = _files(spark, path)
+    files.deleteOnExit(made)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spilled = path
+    return out
+
+
+def mark() -> int:
+    """A place among the tables written, for drop_since."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
+    """Delete the tables written since `place` but `keep`, which spill returned. For callers whose
+    later plans read nothing else."""
+    held = {df._spilled for df in keep}
+    for path in _written[place:]:
+        if path not in held:
+            files, made = _files(spark, path)
+            files.delete(made, True)
+            _written.remove(path)
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let no batch that goes to a Python worker hold more bytes than this (or one row), whatever
+    the length of texts: the session's setting, unless it is smaller already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "2147483646")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
+def by_bytes(texts, most: int):
+    """Ranges (lo, hi) of an Arrow string array that hold at most `most` bytes each, or one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the bag of its words (runs of anything but white space, case kept), of the 3- to
-5-byte grams of each word between `<` and `>`, and of its word pairs; a pair of equal neighbours
-counts as the one feature "repeated". Each feature hashes to a bucket with a learned vector; the
-average of a document's vectors goes through a linear layer and a softmax. Trained by stochastic
+A document is the bag of its words (runs of anything but white space, case kept), of the grams of
+3 to 5 characters of each word between `<` and `>`, and of its word pairs. Each feature hashes to
+a bucket with a learned vector; pairs of one word with itself share a bucket, so that what is
+learned of one such pair holds for words never seen (without that, texts of one word over and over
+pass for good ones). The average of a document's vectors goes through a linear layer and a softmax. Trained by stochastic
 gradient descent in numpy on a bounded sample of labelled rows, on the driver.
 
 As the layer is linear, scoring needs one number for each bucket (its vector's difference in
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import by_bytes, crc_mod, small_batches, table
 
 BITS = 17
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers have inverses modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 GRAMS = (3, 4, 5)
-REPEATED = 0  # bucket of a pair of equal neighbours
+TWICE = 0  # bucket of a word's pair with itself
 #: Bytes of text whose features are made at once.
 BLOCK = 2 << 20
 
@@ -54,10 +55,11 @@ class Words:
             rows.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
         self.at = np.concatenate([*rows, np.empty(0, np.int32)])
         self.starts.append(n)
-        joined = b"".join(b"<%b>" % w for w in known)
-        self.size = np.fromiter((len(w) + 2 for w in known), np.int64, len(known))
+        # A word's characters; words are cut at ASCII spaces, so each is valid UTF-8.
+        joined = b"".join(b"<%b>" % w for w in known).decode("utf-8", "surrogatepass")
+        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.size = np.fromiter((len(w) + 2 if w.isascii() else len(w.decode("utf-8", "surrogatepass")) + 2 for w in known), np.int64, len(known))
         self.begin = np.cumsum(self.size) - self.size
-        raw = np.frombuffer(joined, np.uint8).astype(np.uint64)
         self.back = _powers(INVERSE, len(raw) + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * _powers(BASE, len(raw)), dtype=np.uint64)])
         end = self.begin + self.size
@@ -75,7 +77,7 @@ class Words:
         """Buckets of all neighbours, and the documents' first places in them."""
         h = self.hash[self.at]
         left, right = h[:-1], h[1:]
-        out = np.where(left == right, REPEATED, _bucket(left * BASE + right, 2))
+        out = np.where(left == right, TWICE, _bucket(left * BASE + right, 2))
         within = np.ones(len(out), bool)
         cuts = np.asarray(self.starts[1:-1], np.int64) - 1
         within[cuts[(cuts >= 0) & (cuts < len(out))]] = False
@@ -165,29 +167,34 @@ def train(rows: list[tuple[str, int]], dims: int = 8, steps: int = 600, rate: fl
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_bytes: int = 32 << 20, held_out: bool = True) -> list[tuple[str, int]]:
-    """At most max_rows labelled texts of at most max_bytes in all, in order of a hash of the id.
+    """At most max_rows labelled texts (text, label) of at most max_bytes in all, in order of a hash of the id.
 
-    Ids are chosen from the labels alone; then only their texts are read. held_out: leave out the
-    rows whose crc32(doc_id) mod 4 is 2. Null labels and ids are left out; an id with several
-    labels or texts gives them all.
+    Ids are chosen from the labels alone; then only their texts are read, and of these no more
+    than max_rows rows and max_bytes come to the driver: texts over a sixteenth of max_bytes are
+    not learned from, and of those left the first in order count. held_out: leave out the rows
+    whose crc32(doc_id) mod 4 is 2. Null labels and ids are left out; an id with several labels or
+    texts gives them all, and equal rows count each. Nothing is learned from empty tables.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("y"))
     if held_out:
         marked = marked.where(crc_mod(F.col("doc_id"), 4) != 2)
     ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    size = F.sum("n").over(_ordered())
     found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    found = found.select("doc_id", "y", "text", F.octet_length("text").cast("long").alias("n"))
-    small = found.select("doc_id", "y", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "n").limit(max_rows).withColumn("to", size).where(F.col("to") <= max_bytes)
-    kept = {(r.doc_id, r.y, r.n) for r in small.collect()}
-    rows = [(r.doc_id, r.y, r.text) for r in found.collect() if (r.doc_id, r.y, r.n) in kept]
-    return [(text, y) for _, y, text in sorted(rows, key=lambda r: (r[0], r[1], r[2]))]
-
-
-def _ordered():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "n").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("n", F.octet_length("text").cast("long")).where(F.col("n") <= max_bytes // 16).withColumn("h", F.xxhash64("text"))
+    keys = found.groupBy("doc_id", "y", "n", "h").agg(F.count(F.lit(1)).alias("times"))  # at most max_rows are looked at below
+    chosen, rows, size = [], 0, 0
+    for r in keys.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "n", "h").limit(max_rows).collect():
+        times = min(r.times, max_rows - rows, (max_bytes - size) // max(r.n, 1))
+        if times <= 0:
+            break
+        chosen.append((r.doc_id, r.y, r.n, r.h, times))
+        rows, size = rows + times, size + times * r.n
+    if not chosen:
+        return []
+    kind = found.schema["doc_id"].dataType.simpleString()
+    few = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, y int, n long, h long, times long")
+    texts = found.join(F.broadcast(few), ["doc_id", "y", "n", "h"]).groupBy("doc_id", "y", "n", "h", "times").agg(F.min("text").alias("text"))
+    return [(r.text, r.y) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.y, r.n, r.h)) for _ in range(r.times)]
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -196,6 +203,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty; an empty one gets the bias alone. Rows stay as they are, repeated
     ones too. The model has a fixed size (half a MB) and is broadcast. No shuffle.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     columns = [id_col, *keep]
     picked = df.select(*columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
@@ -203,19 +211,18 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for batch in batches:
-            texts, done = batch.column(len(columns)), 0
-            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.empty(0)
-            while done < batch.num_rows:
-                upto = done + max(1, int(np.searchsorted(np.cumsum(sizes[done:]), BLOCK, "right")))
-                z = shared.value.logits(texts[done:upto].to_pylist())
+            texts = batch.column(len(columns))
+            for lo, hi in by_bytes(texts, BLOCK):
+                z = shared.value.logits(texts[lo:hi].to_pylist())
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[done:upto] for k in range(len(columns))), pa.array(p, pa.float64())], [*columns, "score"])
-                done = upto
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in range(len(columns))), pa.array(p, pa.float64())], [*columns, "score"])
 
     return picked.mapInArrow(run, f"{fields}, score double")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the classifier of the rows that are not held out; a null text
+    counts as empty, and repeated rows and null ids get a row each."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(sample(docs, table(spark, sf_dir, "labels"))))
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
