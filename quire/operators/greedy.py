@@ -75,6 +75,27 @@ def drop_overlaps(df: DataFrame, ratio: float = 0.7, least: float = 6.0, free: t
     return by_page(df, run)
 
 
+def drop_smaller(df: DataFrame, ratio: float = 0.65, smaller: bool = True, picture: str | None = "image") -> DataFrame:
+    """Of two boxes that share more than ratio of the smaller, one goes: the picture if just one is
+    (with `picture`), else the smaller or, if not `smaller`, the larger (of equals the first). What
+    is gone drops nothing any more."""
+    def run(pdf):
+        b, label = pdf[FIELDS].to_numpy(float), pdf["label"].tolist()
+        area = _areas(b)
+        over = _share(meets(b), np.minimum(area[:, None], area[None, :])) > ratio
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b)):
+            for j in np.flatnonzero(over[i, i + 1 :]) + i + 1:
+                if gone[i]:
+                    break
+                if not gone[j]:
+                    pictures = [picture is not None and label[k] == picture for k in (i, j)]
+                    first = pictures[0] if pictures[0] != pictures[1] else (area[i] <= area[j] if smaller else area[i] >= area[j])
+                    gone[i if first else j] = True
+        return pdf[~gone]
+    return by_page(df, run)
+
+
 def drop_twins(df: DataFrame, ratio: float = 0.9, covered: float = 0.65) -> DataFrame:
     """First, of spans that all but coincide (IoU above ratio) the one of lower score goes (the
     later of equals); then, of what is left, a span covered by more than `covered` of the smaller."""

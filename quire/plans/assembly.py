@@ -195,6 +195,9 @@ def _pairwise(name: str, source: str, hit: str, first_goes: str, each: str) -> s
 
 _OVERLAPS = f"""WITH {DENSE}, {_pairwise('kept', 'dense', f"{_MEET} / least({_AREA('a')}, {_AREA('b')}) > 0.5::DOUBLE AND (a.category_id = b.category_id OR NOT (a.category_id = 3 OR b.category_id = 3))", f"{_AREA('a')} < {_AREA('b')}", 'a.pos < b.pos')}
 SELECT page, pos, x0, y0, x1, y1 FROM kept"""
+_SHARE = f"{_MEET} / least({_AREA('a')}, {_AREA('b')}) > 0.5::DOUBLE"
+_SMALLER = f"""WITH {DENSE}, {_pairwise('kept', 'dense', _SHARE, f"CASE WHEN (a.category_id = 3) <> (b.category_id = 3) THEN a.category_id = 3 ELSE {_AREA('a')} <= {_AREA('b')} END", 'a.pos < b.pos')} SELECT page, pos, x0, y0, x1, y1 FROM kept"""
+_LARGER = f"""WITH {DENSE}, {_pairwise('kept', 'dense', _SHARE, f"{_AREA('a')} >= {_AREA('b')}", 'a.pos < b.pos')} SELECT page, pos, x0, y0, x1, y1 FROM kept"""
 _TWINS = f"""WITH {DENSE}, {_pairwise('one', 'dense', f"{_MEET} / ({_AREA('a')} + {_AREA('b')} - {_MEET}) > 0.5::DOUBLE", 'a.score < b.score', 'a.pos <> b.pos')},
 {_pairwise('kept', 'one', f"{_MEET} / least({_AREA('a')}, {_AREA('b')}) > 0.5::DOUBLE", f"{_AREA('a')} <= {_AREA('b')}", 'a.pos <> b.pos')} SELECT page, pos, x0, y0, x1, y1 FROM kept"""
 _FAR = "sqrt(pow(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + pow(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2))"
@@ -210,6 +213,8 @@ SELECT page, {micro_sql('1 - 3 * (a - b) / CAST(5 + 3 * a AS DOUBLE)')} AS teds,
 QUERIES = {
     "nms": (greedy(lambda d: Y.suppress(d, 0.3, 0.5)), _NMS),
     "overlap_filter": (greedy(lambda d: Y.drop_overlaps(d, 0.5)), _OVERLAPS),
+    "overlap_blocks": (greedy(lambda d: Y.drop_smaller(d, 0.5)), _SMALLER),
+    "overlap_boxes": (greedy(lambda d: Y.drop_smaller(d, 0.5, False, None)), _LARGER),
     "greedy_spans": (greedy(lambda d: Y.drop_twins(d, 0.5, 0.5)), _TWINS),
     "absorb": (greedy(lambda d: Y.absorb(d, 0.5)), None),
     "xycut": (lambda s, d: Y.reading_order(dense(s, d)), None),

@@ -13,6 +13,7 @@ from quire.operators import decoding as D
 from quire.operators import evaluation as E
 from quire.operators import paragraphs as P
 from quire.operators import tables as H
+from quire.sources import office as O
 from quire.plans.joins import DENSE, dense
 from quire.plans.views import BOXES, ITEMS, ITEMS_B, boxes, items, items_b, micro, micro_sql, table
 
@@ -427,7 +428,101 @@ _POLY = f"""WITH {DENSE}, n AS (SELECT *, lead(x0) OVER w AS p0, lead(y0) OVER w
 c AS (SELECT page, pos, greatest(0.0::DOUBLE, least(x1, p1) - greatest(x0, p0)) * greatest(0.0::DOUBLE, least(y1, q1) - greatest(y0, q0)) AS c, (x1 - x0) * (y1 - y0) AS a, (p1 - p0) * (q1 - q0) AS b FROM n WHERE p0 IS NOT NULL)
 SELECT page, pos, {micro_sql('c / (a + b - c)')} AS over_union, {micro_sql('c / least(a, b)')} AS over_small, {micro_sql('c / greatest(a, b)')} AS over_large FROM c"""
 
+# --- office files made of the tables, and read again
+
+
+def _packed(spark, sf_dir, write):
+    kind = F.when(F.col("item_pos") % 20 == 0, "title").when(F.col("item_pos") % 5 == 4, "list").otherwise("text")
+    rows = F.array_sort(F.collect_list(F.struct("item_pos", kind.alias("kind"), "text")))
+    g = items(spark, sf_dir).groupBy("doc_id").agg(rows.alias("r"))
+    return O.office_rows(g.select("doc_id", O.packed(write, F.transform("r", lambda x: x["kind"]), F.transform("r", lambda x: x["text"])).alias("content")), "doc_id")
+
+
+def docx_rows(spark, sf_dir):
+    """Documents as Word files and back: titles, items of lists and paragraphs in order."""
+    out = _packed(spark, sf_dir, lambda kinds, texts: O.write_word(list(zip(kinds, texts))))
+    return out.select("doc_id", "pos", "type", F.col("level"), F.md5(F.encode("text", "UTF-8")).alias("text"))
+
+
+def pptx_rows(spark, sf_dir):
+    """Documents as slides of twenty items and back: order by place, not by file."""
+    cut = lambda a: [a[k : k + 20] for k in range(0, len(a), 20)]
+    out = _packed(spark, sf_dir, lambda kinds, texts: O.write_slides(cut(list(zip(kinds, texts)))))
+    return out.select("doc_id", "part", "pos", "type", F.md5(F.encode("text", "UTF-8")).alias("text"))
+
+
+def xlsx_rows(spark, sf_dir):
+    """Orders as sheets and back: one table for each."""
+    g = boxes(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("x0").cast("long").cast("string").alias("a"), F.col("category_id").cast("string").alias("b")))).alias("r"))
+    made = g.select("page", O.packed(lambda a, b: O.write_sheet([list(p) for p in zip(a, b)]), F.transform("r", lambda x: x["a"]), F.transform("r", lambda x: x["b"])).alias("content"))
+    return O.office_rows(made, "page").select("page", "part", "type", F.col("text").alias("sheet"), "html")
+
+
+_KIND = "CASE WHEN item_pos % 20 = 0 THEN 'title' WHEN item_pos % 5 = 4 THEN 'list' ELSE 'text' END"
+_DOCX = f"WITH {ITEMS} SELECT doc_id, CAST(item_pos AS INTEGER) AS pos, {_KIND} AS type, CAST(CASE WHEN item_pos % 20 = 0 THEN 1 WHEN item_pos % 5 = 4 THEN 0 END AS INTEGER) AS level, md5(text) AS text FROM items"
+_PPTX = f"WITH {ITEMS} SELECT doc_id, page_idx AS part, CAST(item_pos % 20 AS INTEGER) AS pos, CASE WHEN item_pos % 20 = 0 THEN 'title' ELSE 'text' END AS type, md5(text) AS text FROM items"
+_XLSX = f"WITH {BOXES} SELECT page, CAST(0 AS INTEGER) AS part, 'table' AS type, 'Sheet1' AS sheet, '<table>' || string_agg('<tr><td>' || CAST(x0 AS BIGINT) || '</td><td>' || category_id || '</td></tr>', '' ORDER BY pos) || '</table>' AS html FROM boxes GROUP BY page"
+
+
+def table_ocr_bbox(spark, sf_dir):
+    """Corners of a box on the page as those of a box in a table's picture: scaled, pasted, cut."""
+    d, scale = boxes(spark, sf_dir), 200 / 72
+    x = lambda c: micro(F.col(c) * scale + (F.col("category_id") * 3 - 7))
+    return d.select("page", "pos", *(x(c).alias(f"p{k}") for k, c in enumerate(("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1"))))
+
+
+_CORNERS = f"WITH {BOXES} SELECT page, pos, " + ", ".join(f"{micro_sql(f'{c} * (CAST(200 AS DOUBLE) / 72) + (category_id * 3 - 7)')} AS p{k}" for k, c in enumerate(("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1"))) + " FROM boxes"
+
+
+def progress(spark, sf_dir):
+    """Progress over weighted stages: what is done of all the weight there is, 95 at most before the end."""
+    weight = F.when(F.col("event_type") == "click", 0.22).when(F.col("event_type") == "view", 0.12).otherwise(0.05)
+    e = table(spark, sf_dir, "events").withColumn("weight", weight).withColumn("done", (F.col("event_id") % 4 != 0).cast("int"))
+    s = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("total"), F.sum("done").alias("done"), F.first("weight").alias("weight"))
+    share = F.least(F.lit(95.0), F.sum(F.col("done") * F.col("weight")) / F.sum(F.col("total") * F.col("weight")) * 100)
+    return s.groupBy("user_id").agg(F.floor(share * 1000 + 0.5).cast("long").alias("percent"), F.sum("total").alias("units"))
+
+
+_PROGRESS = """WITH s AS (SELECT user_id, event_type, count(*) AS total, count(*) FILTER (event_id % 4 <> 0) AS done, CASE event_type WHEN 'click' THEN 0.22::DOUBLE WHEN 'view' THEN 0.12::DOUBLE ELSE 0.05::DOUBLE END AS w FROM events GROUP BY ALL)
+SELECT user_id, CAST(floor(least(95, sum(done * w) / sum(total * w) * 100) * 1000 + 0.5) AS BIGINT) AS percent, CAST(sum(total) AS BIGINT) AS units FROM s GROUP BY user_id"""
+
+
+def ocr_post(spark, sf_dir):
+    """Recognised texts: those not sure enough are emptied, scores have three places."""
+    d = items(spark, sf_dir).withColumn("score", (F.col("item_pos") * 37 % 101) / 100.0)
+    sure = F.col("score") > 0.5
+    return d.select("doc_id", "item_pos", F.when(sure, F.col("text")).otherwise(F.lit("")).alias("text"), F.when(sure, F.floor(F.col("score") * 1000 + 0.5)).otherwise(F.lit(0)).cast("long").alias("score"))
+
+
+def poly_sort(spark, sf_dir):
+    """Polygons from the top: by their least height."""
+    w = Window.partitionBy("page").orderBy(F.least("y0", "y1"), "pos")
+    return dense(spark, sf_dir).select("page", "pos", (F.row_number().over(w) - 1).alias("place"))
+
+
+def env_int(spark, sf_dir):
+    """Settings that are positive whole numbers, else the default."""
+    given = F.element_at(F.array(*map(F.lit, ["8", "0", "-3", "x", "", "12", "1.5"])), (F.col("doc_id") % 7 + 1).cast("int"))
+    number = F.expr("try_cast(g AS int)")
+    return table(spark, sf_dir, "documents").select("doc_id", given.alias("g")).select("doc_id", F.when(F.col("g").rlike(r"^\s*[+-]?\d+\s*$") & (number > 0), number).otherwise(F.lit(64)).alias("v"))
+
+
+def source_order(spark, sf_dir):
+    """Source blocks by page, model order and index."""
+    w = Window.partitionBy("doc_id").orderBy("page_idx", (F.col("item_pos") * 7) % 20, "item_pos")
+    return items(spark, sf_dir).select("doc_id", "item_pos", (F.row_number().over(w) - 1).alias("place"))
+
+
 QUERIES = {
+    "docx_rows": (docx_rows, _DOCX),
+    "pptx_rows": (pptx_rows, _PPTX),
+    "xlsx_rows": (xlsx_rows, _XLSX),
+    "table_ocr_bbox": (table_ocr_bbox, _CORNERS),
+    "progress": (progress, _PROGRESS),
+    "ocr_post": (ocr_post, f"WITH {ITEMS}, s AS (SELECT *, (item_pos * 37 % 101) / CAST(100 AS DOUBLE) AS score FROM items) SELECT doc_id, item_pos, CASE WHEN score > 0.5::DOUBLE THEN text ELSE '' END AS text, CAST(CASE WHEN score > 0.5::DOUBLE THEN floor(score * 1000 + 0.5) ELSE 0 END AS BIGINT) AS score FROM s"),
+    "poly_sort": (poly_sort, f"WITH {DENSE} SELECT page, pos, CAST(row_number() OVER (PARTITION BY page ORDER BY least(y0, y1), pos) - 1 AS INTEGER) AS place FROM dense"),
+    "env_int": (env_int, "SELECT doc_id, CAST([8, 64, 64, 64, 64, 12, 64][doc_id % 7 + 1] AS INTEGER) AS v FROM documents"),
+    "source_order": (source_order, f"WITH {ITEMS} SELECT doc_id, item_pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, item_pos * 7 % 20, item_pos) - 1 AS INTEGER) AS place FROM items"),
     "list_classify": (list_classify, f"WITH {_CLASSES} SELECT doc_id, item_pos, line, kind, begins, ends FROM kinds"),
     "para_merge": (para_merge, _PARAS),
     "table_merge": (table_merge, _MERGE),

@@ -47,3 +47,13 @@ def write_discard(df: DataFrame) -> None:
 def write_markdown(df: DataFrame, path: str) -> None:
     """One text for each document, below doc=<id>."""
     df.select(F.col("doc_id").alias("doc"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc").option("lineSep", "\n").text(path)
+
+
+def fan_out(df: DataFrame, *writers) -> None:
+    """The same rows to several sinks, worked out once: each writer takes the DataFrame."""
+    held = df.persist()
+    try:
+        for write in writers:
+            write(held)
+    finally:
+        held.unpersist()
