@@ -12,7 +12,10 @@ stops, exactly, at the first whose bound is under the k-th best score found so f
 Pivots, and the rows that give each query its first k-th best, are fitted on a bounded sample
 (`pivots`, `sample` rows); both are real candidates, so every answer stays exact. The stated query
 set meets all candidates in blocks of packed rows (query blocks x candidate blocks): a task holds
-one block of either and the best k of the queries it has met.
+one block of either and the best k of the queries it has met. Rows of a block are near one another
+(those of a batch in order of the pivots near them), and a block knows the least and the largest
+distance of its rows to each pivot: a pair of blocks whose bound lies under what k candidates of
+each of its queries are known to reach is dropped before it is formed.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 EXACT = float(1 << 53)
 
@@ -79,22 +82,57 @@ def choose(rows: np.ndarray, pivots: int) -> np.ndarray:
     return np.array(out)
 
 
-def _pack(df: DataFrame, rows: int, scale: float, pivots: np.ndarray | None) -> DataFrame:
-    """Blocks of up to `rows` vectors: ids, width, integers and, with pivots, distances to them."""
+def known_floor(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th best score among some real candidates; -inf if there are fewer."""
+    out = np.full(len(q), -np.inf)
+    if len(ids) > k:  # the query itself may be one of them
+        known = np.where(q_ids[:, None] == ids[None, :], np.iinfo(np.int64).min, dots(q, rows))
+        out = np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k].astype(np.float64)
+    return out
+
+
+def by_cell(far: np.ndarray) -> np.ndarray:
+    """Rows in an order that keeps near ones together: by the nearest of the first two pivots, then
+    of the first four, and so on; the first of pivots far from one another are the coarsest cover."""
+    keys, n = [np.zeros(len(far), np.int64)], 2
+    while n < 2 * far.shape[1]:
+        keys.append(far[:, :n].argmin(1))
+        n *= 2
+    return np.lexsort(keys[::-1])
+
+
+_PACKED = ["ids", "width", "vectors", "far", "floor", "lo", "hi", "norm", "least"]
+
+
+def _pack(df: DataFrame, rows: int, scale: float, pivots: np.ndarray, floors: tuple | None = None) -> DataFrame:
+    """Blocks of up to `rows` vectors: ids, width, integers, distances to the pivots; the block's
+    least and largest ones (lo, hi), its largest norm and, with floors (vectors, ids, k), what each
+    query is known to reach and the least of that."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
-                m = _matrix(part.column(1), scale)
-                far = distances(m, pivots) if pivots is not None else np.empty((len(m), 0))
-                ids = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()], pa.binary()), pa.array([far.tobytes()], pa.binary())],
-                    ["ids", "width", "vectors", "far"],
-                )
-
-    return df.mapInArrow(run, "ids binary, width int, vectors binary, far binary")
+            m = _matrix(batch.column(1), scale)
+            ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            far = distances(m, pivots) if len(pivots) else np.zeros((len(m), 0))
+            order = by_cell(far)
+            for lo in range(0, len(m), rows):
+                at = order[lo : lo + rows]
+                x, f = m[at], far[at]
+                floor = known_floor(x, ids[at], *floors) if floors is not None else np.full(len(at), -np.inf)
+                raw = [ids[at].tobytes(), x.shape[1], x.tobytes(), f.tobytes(), floor.tobytes(), f.min(0).tolist(), f.max(0).tolist(), float((x * x).sum(1).max(initial=0)), float(floor.min())]
+                kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(raw, kinds)], _PACKED)
+
+    return df.mapInArrow(run, "ids binary, width int, vectors binary, far binary, floor binary, lo array<double>, hi array<double>, norm double, least double")
+
+
+def may_reach() -> Column:
+    """Whether any query of a block can reach its floor with any candidate of another (c_...): the
+    triangle inequality between the ranges of their distances to each pivot. Rounding is allowed for."""
+    gaps = F.zip_with(F.zip_with("lo", "c_hi", lambda a, b: a - b), F.zip_with("c_lo", "hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    apart = F.coalesce(F.array_max(gaps), F.lit(0.0))
+    upper = (F.col("norm") + F.col("c_norm") - apart * apart) / 2
+    return upper + F.abs(upper) * 1e-9 + (F.col("norm") + F.col("c_norm")) * 1e-9 + 1 >= F.col("least")
 
 
 def _unpack(ids, width, vectors, far, pivots: int):
@@ -136,7 +174,7 @@ def search_block(q, q_far, q_ids, x, x_far, x_ids, best: list, floor: np.ndarray
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding",
-          pivots: int = 32, sample: int = 1024, query_rows: int = 512, rows: int = 4096) -> DataFrame:
+          pivots: int = 32, sample: int = 1024, query_rows: int = 512, rows: int = 2048) -> DataFrame:
     """The k highest integer inner products of each query row with all rows of other ids.
 
     queries: a condition on id_col that marks the query rows. Returns query_id, rank (from 1),
@@ -152,8 +190,8 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_c
     chosen = floor_rows[choose(floor_rows, pivots)]
     n_pivots = len(chosen)
     asked = rowset.where(queries).groupBy("id").agg(F.min("v").alias("v"))
-    left = _pack(asked, query_rows, scale, chosen)
-    right = _pack(rowset, rows, scale, chosen).toDF("c_ids", "c_width", "c_vectors", "c_far")
+    left = _pack(asked, query_rows, scale, chosen, (floor_rows, floor_ids, k))
+    right = _pack(rowset, rows, scale, chosen).toDF(*(f"c_{c}" for c in _PACKED))
 
     def run(batches):
         held: dict[bytes, list] = {}
@@ -167,24 +205,23 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_c
 
         for batch in batches:
             for j in range(batch.num_rows):
-                value = [batch.column(c)[j].as_py() for c in range(8)]
+                value = [batch.column(c)[j].as_py() for c in range(9)]
                 q_ids, q, q_far = _unpack(*value[:4], n_pivots)
-                x_ids, x, x_far = _unpack(*value[4:], n_pivots)
+                x_ids, x, x_far = _unpack(*value[5:], n_pivots)
+                floor = np.frombuffer(value[4], np.float64)
                 width = max(q.shape[1], x.shape[1])
                 q, x = _wide(q, width), _wide(x, width)
                 if value[0] not in held:
                     if len(held) >= 16:
                         yield emit()
                     held[value[0]] = (q_ids, [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q_ids])
-                known = np.where(q_ids[:, None] == floor_ids[None, :], np.iinfo(np.int64).min, dots(q, floor_rows)) if len(floor_ids) else np.empty((len(q), 0), np.int64)
-                floor = np.full(len(q), -np.inf)
-                if known.shape[1] > k:  # the query itself may be one of them
-                    floor = np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k].astype(np.float64)
                 search_block(q, q_far, q_ids, x, x_far, x_ids, held[value[0]][1], floor, k)
         if held:
             yield emit()
 
-    found = right.crossJoin(left).select("ids", "width", "vectors", "far", "c_ids", "c_width", "c_vectors", "c_far").mapInArrow(run, "query_id long, vec_id long, score long")
+    small_batches(df.sparkSession)
+    near = right.crossJoin(left).where(may_reach())  # blocks, and the stated queries on one side
+    found = near.select("ids", "width", "vectors", "far", "floor", "c_ids", "c_width", "c_vectors", "c_far").mapInArrow(run, "query_id long, vec_id long, score long")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -192,6 +229,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_c
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector; nulls and repeated rows as in top_k."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 

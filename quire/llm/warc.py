@@ -368,12 +368,16 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the archives, read them back; a response's digest and length are those of the payload
-    that was read, a revisit's those in its headers."""
+    """Write the archives, read them back: responses by their pushed record type with payloads, whose
+    digest and length are worked out anew, and revisits without any payload, whose digest and length
+    are those in their headers. A null html is an empty payload; a null page_id names its record so;
+    repeated rows are records each; nothing comes from an empty table."""
     register(spark)
     path = scratch(spark, "warc")
     records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").load(path)
+    found = spark.read.format("warc").load(path).where("record_type = 'response'")
+    again = spark.read.format("warc").option("payload", "false").load(path).where("record_type = 'revisit'")
+    back = found.unionByName(again)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     whole = F.col("record_type") == "response"
     return back.select(
