@@ -91,12 +91,13 @@ SELECT doc_id, pos, "group", para, bool_or(joins AND page_idx <> page_b) OVER (P
 
 
 def _table_rows(spark, sf_dir):
-    cell = F.concat(F.lit("<tr><td>"), F.col("x0").cast("long"), F.lit("</td><td>"), F.col("category_id"), F.lit("</td></tr>"))
-    return boxes(spark, sf_dir).select("page", "pos", cell.alias("r"), F.concat(F.lit('<tr><td colspan="2">'), F.col("x0").cast("long"), F.lit("</td></tr>")).alias("s"))
+    name = F.concat(F.col("pos").cast("string"), F.lit("-"), F.col("x0").cast("long"))  # no two rows are alike
+    cell = F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), F.col("category_id"), F.lit("</td></tr>"))
+    return boxes(spark, sf_dir).select("page", "pos", cell.alias("r"), F.concat(F.lit('<tr><td colspan="2">'), name, F.lit("</td></tr>")).alias("s"))
 
 
 _HEAD = "<tr><th>part</th><th>qty</th></tr>"
-_ROWS = f"""{BOXES}, rws AS (SELECT page, pos, '<tr><td>' || CAST(x0 AS BIGINT) || '</td><td>' || category_id || '</td></tr>' AS r, '<tr><td colspan="2">' || CAST(x0 AS BIGINT) || '</td></tr>' AS s FROM boxes)"""
+_ROWS = f"""{BOXES}, rws AS (SELECT page, pos, '<tr><td>' || pos || '-' || CAST(x0 AS BIGINT) || '</td><td>' || category_id || '</td></tr>' AS r, '<tr><td colspan="2">' || pos || '-' || CAST(x0 AS BIGINT) || '</td></tr>' AS s FROM boxes)"""
 
 
 def _joined(column: str, where: str = "true"):
