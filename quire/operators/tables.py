@@ -2,7 +2,7 @@
 
 A table is rows of cells; a cell covers `rows` x `cols` places of the grid, from the first place of
 its row that no cell above covers. Tables are the unit of work: string columns through pandas
-functions, and chains of tables that may be one through one call each.
+functions, and chains of tables that may be one in sorted runs.
 """
 
 from __future__ import annotations
@@ -318,9 +318,12 @@ def merge_tables(blocks: DataFrame) -> DataFrame:
     df = df.withColumn("__alone", alone)
     kind = blocks.schema["doc_id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    columns = ["doc_id", "page_idx", "pos", "html", "pages"]
+
+    def folded(rows: list) -> list[dict]:
+        """One chain, from its last table back."""
         out, current = [], None
-        for r in pdf.sort_values(["page_idx", "pos"], ascending=False).itertuples():
+        for r in rows:
             here = Table(read_rows(r.html), r.x0, r.x1)
             row = {"doc_id": r.doc_id, "page_idx": r.page_idx, "pos": r.pos, "html": r.html, "pages": 1}
             if current is not None:
@@ -332,12 +335,27 @@ def merge_tables(blocks: DataFrame) -> DataFrame:
                 else:
                     out.append(kept)
             current = (here, r, row)
-        return pd.DataFrame([*out, current[2]])
+        return [*out, current[2]]
+
+    def run(batches):
+        """Rows come sorted, chain by chain; a call takes many chains."""
+        chain: list = []
+        for pdf in batches:
+            out: list[dict] = []
+            for r in pdf.rename(columns={"__chain": "chain"}).itertuples(index=False):
+                if chain and (chain[0].doc_id, chain[0].chain) != (r.doc_id, r.chain):
+                    out += folded(chain)
+                    chain = []
+                chain.append(r)
+            yield pd.DataFrame(out, columns=columns)
+        if chain:
+            yield pd.DataFrame(folded(chain), columns=columns)
 
     schema = f"doc_id {kind}, page_idx int, pos int, html string, pages int"
     # A table that no other can join needs no call.
     single = df.where("__alone").select("doc_id", F.col("page_idx").cast("int").alias("page_idx"), F.col("pos").cast("int").alias("pos"), "html", F.lit(1).alias("pages"))
-    return single.unionByName(df.where("NOT __alone").groupBy("doc_id", "__chain").applyInPandas(run, schema))
+    several = df.where("NOT __alone").drop("__alone").repartition("doc_id", "__chain").sortWithinPartitions("doc_id", "__chain", F.desc("page_idx"), F.desc("pos"))
+    return single.unionByName(several.mapInPandas(run, schema))
 
 
 def shape(html: Column) -> Column:
