@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-#: Tables written by this driver, in order; those not dropped before go when it ends.
-_written: list[str] = []
+class _Written(threading.local):
+    """Tables that this thread of the driver wrote, in order: queries side by side keep apart."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -69,7 +76,7 @@ def spill(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     files, made = _files(spark, path)
     files.deleteOnExit(made)
-    _written.append(path)
+    _written.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spilled = path
     return out
@@ -77,18 +84,18 @@ def spill(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
 
 def mark() -> int:
     """A place among the tables written, for drop_since."""
-    return len(_written)
+    return len(_written.paths)
 
 
 def drop_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
     """Delete the tables written since `place` but `keep`, which spill returned. For callers whose
     later plans read nothing else."""
     held = {df._spilled for df in keep}
-    for path in _written[place:]:
+    for path in _written.paths[place:]:
         if path not in held:
             files, made = _files(spark, path)
             files.delete(made, True)
-            _written.remove(path)
+            _written.paths.remove(path)
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:

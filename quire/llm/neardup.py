@@ -9,8 +9,8 @@ bands are candidates (at the threshold 0.75, all bands differ for 5 pairs in a m
 Documents of equal sets are one class, and only its smallest id goes on. Of a band shared by few
 classes all pairs are candidates. Classes that share crowded bands form a cluster: each is first
 compared with the smallest class of its band, which joins most of a group of copies in linear
-work; what stays apart in a cluster is then compared in blocks, where a task holds two blocks of
-sets, counts all intersections at once and returns the links that join anything new. Pairs never
+work; what stays apart in a cluster is then compared in blocks of like size, where a task holds two
+blocks of sets, counts all intersections at once and returns the links that join anything new. Pairs never
 become rows there. Candidate pairs pass an estimate of their similarity from the registers,
 corrected for chance collisions, with a margin of six standard deviations, then the exact test
 on the full sets of the whole texts.
@@ -24,13 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spill, table
+from .common import by_bytes, few_files, small_batches, spill, table
 from .components import components
 
 WORDS = 5
 BINS, BANDS, MANTISSA = 128, 32, 10
 #: Classes in a band up to which all pairs are candidates as rows.
 FEW = 12
+#: Bytes of text whose sets a task makes at once.
+SLICE = 1 << 20
+#: Documents whose rows of small tables one task writes.
+EACH = 100_000
 #: Sets in a block of a cluster.
 BLOCK = 128
 #: Ids up to which a table of ids is broadcast (8 MB).
@@ -87,8 +91,8 @@ def registers(found: list[np.ndarray]) -> np.ndarray:
 
 def _sketches(batches, kind):
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for lo, hi in by_bytes(batch.column(1), SLICE):
+            part = batch.slice(lo, hi - lo)
             found = sets([t.as_py() for t in part.column(1)])
             full = [s for s in found if len(s)]
             packed = iter(())
@@ -123,16 +127,16 @@ def estimate(a, b, n_a, n_b):
     return (agree / F.lit(float(BINS)) - chance) / (1 - chance)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, files: int) -> DataFrame:
     """(doc_id, text) of the ids (column id): a broadcast of the ids if they are few, else a join."""
-    ids = spill(ids.select("id").distinct(), "nd-ids")
+    ids = spill(ids.select("id").distinct(), "nd-ids", files)
     few = ids.count() <= SMALL
     return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, percent: int, files: int) -> DataFrame:
     """Of pairs (a, b) those with percent * union <= 100 * intersection, on the full sets."""
-    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), files)
     kind = docs.schema["doc_id"].dataType.simpleString()
     left, right = (texts.select(F.col("doc_id").alias(f"i_{x}"), F.col("text").alias(f"t_{x}")) for x in "ab")
     both = pairs.join(right, F.col("b") == F.col("i_b")).join(left, F.col("a") == F.col("i_a")).select("a", "b", "t_a", "t_b")
@@ -187,9 +191,10 @@ def block_links(ids: list, found: list[np.ndarray], group: list, left: np.ndarra
     return out
 
 
-def _blocks(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links within clusters (cluster, id, component): members in blocks of like component, and
-    all pairs of blocks but those of one single component."""
+def _blocks(members: DataFrame, docs: DataFrame, percent: int, files: int) -> DataFrame:
+    """Links within clusters (cluster, id, component, n): members in blocks of like size (within a
+    power of 100 / percent) and component, and all pairs of blocks whose sizes allow a link, but
+    those of one single component."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     from pyspark.sql import Window
 
@@ -201,13 +206,14 @@ def _blocks(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     m = m.join(whole.select(F.col("cluster").alias("c1"), "all"), F.col("cluster") == F.col("c1")).drop("c1")
     pure = F.col("m") >= 2 * BLOCK
     slot = F.when(pure, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK))).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("all") / BLOCK)))
-    m = m.withColumn("block", F.concat_ws(":", F.when(pure, F.col("component").cast("string")).otherwise(F.lit("x")), slot.cast("string"))).withColumn("pure", F.when(pure, F.col("component")))
-    m = spill(m.select("cluster", "id", "component", "block", "pure"), "nd-members")
-    blocks = m.groupBy("cluster", "block").agg(F.first("pure").alias("pure"))
-    x, y = (blocks.select(F.col("cluster").alias(f"{k}c"), F.col("block").alias(f"{k}b"), F.col("pure").alias(f"{k}p")) for k in "xy")
-    tasks = x.join(y, (F.col("xc") == F.col("yc")) & (F.col("xb") <= F.col("yb")) & ~F.coalesce(F.col("xp") == F.col("yp"), F.lit(False)))
+    like = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+    m = m.withColumn("size", like).withColumn("block", F.concat_ws(":", F.col("size").cast("string"), F.when(pure, F.col("component").cast("string")).otherwise(F.lit("x")), slot.cast("string"))).withColumn("pure", F.when(pure, F.col("component")))
+    m = spill(m.select("cluster", "id", "component", "block", "pure", "size"), "nd-members", files)
+    blocks = m.groupBy("cluster", "block").agg(F.first("pure").alias("pure"), F.first("size").alias("size"))
+    x, y = (blocks.select(F.col("cluster").alias(f"{k}c"), F.col("block").alias(f"{k}b"), F.col("pure").alias(f"{k}p"), F.col("size").alias(f"{k}s")) for k in "xy")
+    tasks = x.join(y, (F.col("xc") == F.col("yc")) & (F.col("xb") <= F.col("yb")) & (F.abs(F.col("xs") - F.col("ys")) <= 1) & ~F.coalesce(F.col("xp") == F.col("yp"), F.lit(False)))
     tasks = tasks.select(F.col("xc").alias("tc"), F.concat_ws("/", "xb", "yb").alias("task"), F.explode(F.array_distinct(F.array("xb", "yb"))).alias("tb"), (F.col("xb")).alias("lb"))
-    texts = _texts(docs, m.select("id")).select(F.col("doc_id").alias("i"), "text")
+    texts = _texts(docs, m.select("id"), files).select(F.col("doc_id").alias("i"), "text")
     rows = m.join(texts, F.col("id") == F.col("i")).drop("i")
     rows = rows.join(tasks, (F.col("cluster") == F.col("tc")) & (F.col("block") == F.col("tb")))
     rows = rows.select("cluster", "task", "id", "component", "block", "lb", "text")
@@ -230,31 +236,34 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     least 75 (what the bands are made for); component_id is the smallest id reachable. Texts
     without words (nulls too) are linked with nothing. Rows of one id are one document, linked
     with what any of them is linked with. A null id is linked with nothing: component_id is null
-    and the row is kept.
+    and the row is kept. Nothing comes from an empty table. A pair at exactly 0.75 shares no band
+    with a chance of 5 in a million, and ever less above.
     """
     if percent < 75:
         raise ValueError("the bands find pairs from 0.75 on")
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     sketch = spill(sketches(d), "nd-sketches")
+    files = few_files(sketch.count(), EACH)
     whole = sketch.where("doc_id IS NOT NULL AND same IS NOT NULL")
     # min of the structs: the smallest id, whose bands are those of any row of its class.
     classes = whole.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("bands").alias("bands"))
-    classes = spill(classes, "nd-classes")
+    classes = spill(classes, "nd-classes", files)
     reps = classes.select("rep", "n", "bands")
     rows = reps.select("rep", F.posexplode("bands").alias("band", "value"))
     keys = rows.groupBy("band", "value").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).where("first <> last")
     keys = keys.select(F.col("band").alias("kb"), F.col("value").alias("kv"), "first", "m")
-    shared = spill(rows.join(keys, (F.col("band") == F.col("kb")) & (F.col("value") == F.col("kv"))).select("band", "value", "rep", "first", "m"), "nd-shared")
+    shared = spill(rows.join(keys, (F.col("band") == F.col("kb")) & (F.col("value") == F.col("kv"))).select("band", "value", "rep", "first", "m"), "nd-shared", files)
     few = shared.where(F.col("m") <= FEW)
     other = few.select(F.col("band").alias("ob"), F.col("value").alias("ov"), F.col("rep").alias("b"))
     near = few.join(other, (F.col("band") == F.col("ob")) & (F.col("value") == F.col("ov")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b")
-    star = spill(shared.where((F.col("m") > FEW) & (F.col("first") != F.col("rep"))).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "nd-stars")
+    star = spill(shared.where((F.col("m") > FEW) & (F.col("first") != F.col("rep"))).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "nd-stars", files)
     pairs = near.unionByName(star).distinct()
     side = lambda x: reps.select(F.col("rep").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"s_{x}"))
     pairs = pairs.join(side("a"), F.col("a") == F.col("r_a")).join(side("b"), F.col("b") == F.col("r_b"))
     likely = (estimate(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b")) >= percent / 100 - MARGIN) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = spill(pairs.where(likely).select("a", "b").distinct(), "nd-pairs")
-    links = spill(verify(pairs, d, percent), "nd-links")
+    pairs = spill(pairs.where(likely).select("a", "b").distinct(), "nd-pairs", files)
+    links = spill(verify(pairs, d, percent, files), "nd-links")
     found = components(links)
     if not star.isEmpty():
         # A class joins the smallest of its bands' first classes, and that joins the others: as
@@ -263,7 +272,8 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
         among = firsts.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
         clusters = components(firsts.select("a", "b").unionByName(among)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
         members = clusters.join(found, F.col("id") == F.col("node"), "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
-        more = spill(_blocks(spill(members, "nd-clusters"), d, percent), "nd-more")
+        members = members.join(reps.select(F.col("rep").alias("r"), "n"), F.col("id") == F.col("r")).drop("r")
+        more = spill(_blocks(spill(members, "nd-clusters", files), d, percent, files), "nd-more", files)
         if not more.isEmpty():
             found = components(links.unionByName(more))
     same = classes.where("copies > 1").select(F.col("same").alias("s"), F.col("rep"))
@@ -275,6 +285,7 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates among all documents; nulls and repeated rows as in link."""
     return link(table(spark, sf_dir, "documents"))
 
 

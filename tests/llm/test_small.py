@@ -130,6 +130,9 @@ def test_bpe_rows(spark, texts):
     P = pytest.importorskip("public_tokenizers")
     got = bpe.encode(docs(spark, texts), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in got) == sorted((i, t or "") for i, t in enumerate(texts))
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (1, None), (1, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in bpe.encode(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()) == [(0, b"a"), (0, b"a"), (1, b""), (1, b"")]
+    assert bpe.encode(odd.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
 
 
 # --- exact top-k
@@ -154,6 +157,25 @@ def test_top_k_by_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).collect() == []
 
 
+def test_top_k_drops_pairs_of_blocks(spark):
+    """Two far clusters: blocks of one never meet queries of the other, and answers stay exact."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * 0.1 + (30 if i % 2 else -30)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    m = np.floor(np.array([np.float32(v) for _, v in rows], np.float64) * 256)
+    pivots = m[topk.choose(m, 8)]
+    d = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    left = topk._pack(d.where("id % 50 < 2").coalesce(1), 8, 256.0, pivots, (m[:100], np.arange(100), 5))
+    right = topk._pack(d.coalesce(1), 50, 256.0, pivots).toDF(*(f"c_{c}" for c in topk._PACKED))
+    every, near = right.crossJoin(left).count(), right.crossJoin(left).where(topk.may_reach()).count()
+    assert every == 16 and near == 8
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("id") % 50 < 2, rows=50, query_rows=8, sample=100, pivots=8).collect()}
+    for q in range(400):
+        if q % 50 < 2:
+            best = sorted((-int(m[q] @ m[j]), j) for j in range(400) if j != q)[:5]
+            assert [got[q, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+
+
 # --- quality classifier
 
 
@@ -184,6 +206,29 @@ def test_quality_features_agree_with_scores():
         assert z == pytest.approx(float(model.gain[found] @ share) + 0.25, abs=1e-4)
 
 
+def test_quality_sample_is_bounded_and_counts_repeats(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(3, "text 3"), (3, "other"), (7, "x" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1), (50, 1)], "doc_id long, quality int")
+    every = quality.sample(df, labels, held_out=False)
+    assert Counter(every)["text 3", 1] == 4 and Counter(every)["other", 1] == 2 and len(every) == 26
+    assert len(quality.sample(df, labels, max_rows=5, held_out=False)) == 5
+    small = quality.sample(df, labels, max_bytes=1600, held_out=False)  # no text over 100 bytes, 1600 in all
+    assert ("x" * 5000, 1) not in small and sum(len(t) for t, _ in small) <= 1600
+    assert len(quality.sample(df, labels)) < len(every)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from quire.llm.common import shared_dir
+
+    at = lambda master, value: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: value), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: "set"))
+    assert shared_dir(at("spark://x:7077", "hdfs:///tmp/")) == "hdfs:///tmp" and shared_dir(at("local[4]", None)).endswith("quire-shared")
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(at(master, None))
+
+
 # --- near-duplicates
 
 
@@ -232,6 +277,44 @@ def test_crowded_bands_lose_no_link(spark, monkeypatch):
     assert got == links_by_hand(texts)
 
 
+def test_a_common_passage_links_nothing_and_hides_nothing(spark, monkeypatch):
+    """Texts that share half of their words, among them near copies."""
+    rng = random.Random(13)
+    passage = [f"p{k}" for k in range(40)]
+    own = [[f"o{rng.randrange(10**6)}" for _ in range(40)] for _ in range(40)]
+    texts = [" ".join(passage + w) for w in own]
+    for i in range(0, 40, 4):  # copies with the last words changed: 0.8 to 0.95
+        texts.append(" ".join(passage + own[i][: 39 - i % 8] + ["x"] * (1 + i % 8)))
+    monkeypatch.setattr(neardup, "FEW", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(docs(spark, texts)).collect()}
+    want = links_by_hand(texts)
+    assert got == want and len({c for _, c in want.values()}) < 50
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity of 0.75 to 0.78, each apart from all others: all are found."""
+    rng = random.Random(15)
+    texts, close = [], 0
+    for _ in range(150):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        cut = rng.choice([14, 15, 16])
+        texts += [" ".join(base), " ".join(base[: 120 - cut] + [f"n{rng.randrange(10**9)}" for _ in range(cut)])]
+    want = links_by_hand_pairs(texts)
+    assert len(want) > 100 and all(0.75 <= s <= 0.79 for s in want.values())
+    got = {r.doc_id: r.component_id for r in neardup.link(docs(spark, texts)).collect()}
+    assert all(got[i] == got[i + 1] for i in want)
+
+
+def links_by_hand_pairs(texts):
+    """Similarity of texts 2k and 2k + 1 where they are linked."""
+    out = {}
+    for i in range(0, len(texts), 2):
+        a, b = (shingles(texts[k].lower()) for k in (i, i + 1))
+        if 100 * len(a & b) >= 75 * len(a | b):
+            out[i] = len(a & b) / len(a | b)
+    return out
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert neardup.link(docs(spark, [])).collect() == []
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
@@ -379,6 +462,25 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert {r.payload for r in spark.read.format("warc").option("payload", "false").load(path).collect()} == {None}
 
 
+def test_warc_query_of_odd_pages(spark, tmp_path):
+    """Null ids and texts, repeated rows, an empty table; by hand."""
+    import base64
+
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, None, "a"), (3, "u", None), (4, "u", ""), (None, "u", "a"), (None, "u", "only"), (5, "u", "é" * 3000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, warc.op10_warc(spark, str(tmp_path)).collect()), key=repr)
+    first = {"a": 1, "": 3, "only": None, "é" * 3000: 5}
+    want = []
+    for i, _, t in rows:
+        raw = (t or "").encode()
+        again = first[t or ""] is not None and i != first[t or ""]
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", first[t or ""] if again else None))
+    assert got == sorted(want, key=repr)
+    df.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op10_warc(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_warc_readers_skip_and_take_other_archives():
     import gzip
     import io
