@@ -34,7 +34,7 @@ FEW = 12
 #: Bytes of text whose sets a task makes at once.
 SLICE = 1 << 20
 #: Documents whose rows of small tables one task writes.
-EACH = 100_000
+EACH = 10_000
 #: Sets in a block of a cluster.
 BLOCK = 128
 #: Ids up to which a table of ids is broadcast (8 MB).
