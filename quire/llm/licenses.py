@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph (a line of a text) is the set of its words and word pairs, hashed to sparse features;
+A paragraph is a line of a text, and a run of lines that were wrapped: those that go on over line
+ends without a mark that ends a sentence. It is the set of its words and word pairs, hashed to
+sparse features;
 multinomial logistic regression tells the licence families and the class `unknown` apart. It is
 trained on variants of the families' templates and, for `unknown`, on fixed sentences, on near
 licences (templates with another version or a restriction) and on a
@@ -9,7 +11,7 @@ calibrated by a temperature chosen on variants and paragraphs that training did
 paragraph whose best family stays under the threshold is unknown. What it identifies is compared
 with the family's templates: confirmed is what holds three quarters of the words and word pairs of
 one of them, all of those that tell it from its neighbours (other families, other versions), and
-no restriction that the template lacks.
+no restriction that the template lacks. What is not confirmed is a licence of an unknown family.
 
 Splitting, features, scores and comparison are DataFrame and SQL operations and Spark ML's
 transformers (on the JVM); no text leaves the executors.
@@ -229,10 +231,19 @@ def variants(seed: int, n: int) -> list[tuple[str, int]]:
     return out
 
 
+#: A line's end after which a wrapped paragraph goes on: no mark that ends a sentence before it, no blank line after.
+_WRAPPED = r"(?<![.!?:;)\]\"'\s*#$%&])[ \t]*\n(?=[ \t]*\S)"
+
+
 def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (from 0), text: the lines of a text that are not blank."""
-    lines = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("paragraph", "text"))
-    return lines.where(F.trim("text") != "")
+    """doc_id, paragraph, wrapped, text: the lines of a text that are not blank (paragraph: the line's
+    number from 0), and wrapped runs of several lines (the number of the run among all runs)."""
+    text = F.col(text_col).cast("string")
+    line = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("paragraph"), F.lit(False).alias("wrapped"), t.alias("text")))
+    runs = F.filter(F.transform(F.split(F.regexp_replace(text, _WRAPPED, "\u0001"), "\n"), lambda t, i: F.struct(i.alias("paragraph"), F.lit(True).alias("wrapped"), t.alias("text"))), lambda r: F.contains(r["text"], F.lit("\u0001")))
+    # Lists of one row are laid out one after the other: what a text holds is never grouped.
+    out = df.select(F.col(id_col).alias("doc_id"), line.alias("__l"), runs.alias("__r")).select("doc_id", F.inline(F.concat("__l", "__r")))
+    return out.withColumn("text", F.translate("text", "\u0001", " ")).where(F.trim("text") != "")
 
 
 @dataclass
@@ -249,7 +260,9 @@ def features(df: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, max_paragraphs: int = 2000, max_docs: int = 300, seed: int = 11) -> Scanner:
     """Fit on variants of the templates and at most max_paragraphs paragraphs of at most max_docs
-    documents (in order of a hash of the id) of which no template is half contained."""
+    documents (in order of a hash of the id) of which no template is half contained. Rows with a
+    null id are not sampled, those of one id are sampled together; of an empty table only the
+    templates and the fixed sentences are learned."""
     spark = docs.sparkSession
     templates = _template_literals(spark)
     some = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -283,13 +296,15 @@ def _softmax(raw: Column, temperature: float) -> Column:
 def scan(docs: DataFrame, scanner: Scanner, threshold: float = 0.5, confirm: float = 0.75) -> DataFrame:
     """The paragraphs of docs (doc_id, text) in which a licence family is identified.
 
-    Returns doc_id, paragraph, family, probability (calibrated), likeness (to the nearest template
-    of the family), confirmed. Null, empty and blank texts have no paragraphs; repeated rows and
-    null ids give rows like others. Paragraphs are scored one by one where they are read: no
-    shuffle, however rows or sources are spread.
+    Returns doc_id, paragraph, wrapped, family (unknown unless confirmed), predicted, probability
+    (calibrated), likeness (to the nearest template of the predicted family), confirmed. A wrapped
+    run comes out only if it is confirmed: a line of it may be identified by itself too. Null, empty
+    and blank texts have no paragraphs; repeated rows and null ids give rows like others; nothing
+    comes from an empty table. Paragraphs are scored one by one where they are read: no shuffle,
+    however rows or sources are spread.
     """
     scored = scanner.model.transform(features(with_grams(paragraphs(docs), "text")))
-    scored = only(scored.select("doc_id", "paragraph", "grams", "prediction", vector_to_array("rawPrediction").alias("raw")), F.col("prediction") != UNKNOWN)
+    scored = only(scored.select("doc_id", "paragraph", "wrapped", "grams", "prediction", vector_to_array("rawPrediction").alias("raw")), F.col("prediction") != UNKNOWN)
     k = F.col("prediction").cast("int")
     scored = only(scored.withColumn("probability", _softmax(F.col("raw"), scanner.temperature)[k]), F.col("probability") >= threshold)
     near, sure = F.lit(0.0), F.lit(False)
@@ -303,9 +318,12 @@ def scan(docs: DataFrame, scanner: Scanner, threshold: float = 0.5, confirm: flo
             any_of = any_of | ((likeness(found, [template]) >= confirm) & whole & ~F.arrays_overlap(found, F.array(*map(F.lit, barred))))
         sure = F.when(k == family, any_of).otherwise(sure)
     names = F.array(*map(F.lit, FAMILIES))
-    return scored.select("doc_id", "paragraph", names[k].alias("family"), "probability", near.alias("likeness"), sure.alias("confirmed"))
+    scored = scored.select("doc_id", "paragraph", "wrapped", names[k].alias("predicted"), "probability", near.alias("likeness"), sure.alias("confirmed"))
+    scored = only(scored, F.col("confirmed") | ~F.col("wrapped"))
+    return scored.select("doc_id", "paragraph", "wrapped", F.when(F.col("confirmed"), F.col("predicted")).otherwise(F.lit("unknown")).alias("family"), "predicted", "probability", "likeness", "confirmed")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences found in all documents; nulls and repeated rows as in scan."""
     docs = table(spark, sf_dir, "documents")
     return scan(docs, train(docs))
