@@ -87,12 +87,12 @@ def mark() -> int:
     return len(_written.paths)
 
 
-def drop_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
-    """Delete the tables written since `place` but `keep`, which spill returned. For callers whose
-    later plans read nothing else."""
-    held = {df._spilled for df in keep}
+def drop_since(spark: SparkSession, place: int, *kept: DataFrame, keep: str | None = None) -> None:
+    """Delete the tables written since `place` but `kept`, which spill returned, and those that were
+    written as `keep`. For callers whose later plans read nothing else."""
+    held = {df._spilled for df in kept}
     for path in _written.paths[place:]:
-        if path not in held:
+        if path not in held and not (keep and path.rpartition("/")[2].startswith(f"{keep}-")):
             files, made = _files(spark, path)
             files.delete(made, True)
             _written.paths.remove(path)
@@ -120,6 +120,19 @@ def by_bytes(texts, most: int):
         lo = hi
 
 
+#: DuckDB: crc_table.t[k + 1] is the k-th entry of the table of CRC-32, and checksum(key) of a text
+#: of ASCII characters, where crc_table is joined.
+CRC_TABLE = """table0 AS MATERIALIZED (
+    SELECT n, list_reduce([CAST(n AS BIGINT), 0, 1, 2, 3, 4, 5, 6, 7], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), x >> 1) ELSE x >> 1 END) AS v FROM (SELECT unnest(range(256)) AS n)
+), crc_table AS MATERIALIZED (SELECT list(v ORDER BY n) AS t FROM table0)"""
+
+
+def crc_sql(key: str) -> str:
+    """DuckDB: the CRC-32 of an expression's text, where crc_table is joined."""
+    codes = f"list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({key}, ''), lambda x: CAST(ascii(x) AS BIGINT)))"
+    return f"xor(list_reduce({codes}, lambda r, b: xor(r >> 8, t[xor(r & 255, b) + 1])), CAST(4294967295 AS BIGINT))"
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(n))

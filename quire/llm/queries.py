@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, licenses, mixing, neardup, ppm, quality, topk, warc
+from . import bpe, chat, exact, fingerprint, followups, licenses, mixing, neardup, ppm, quality, repair, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.op8_chat_format,
         "op9_fingerprints": fingerprint.op9_fingerprints,
         "op10_warc": warc.op10_warc,
+        "op11_missing_followups": followups.op11_missing_followups,
+        "op12_exact_dedup": exact.op12_exact_dedup,
+        "op13_conversation_repair": repair.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op5_top_k": topk.SQL, "op7_near_dedup": neardup.SQL, "op8_chat_format": chat.SQL, "op10_warc": warc.SQL}
+    own = {"op1_mixing": mixing, "op5_top_k": topk, "op7_near_dedup": neardup, "op8_chat_format": chat, "op10_warc": warc}
+    own |= {"op11_missing_followups": followups, "op12_exact_dedup": exact, "op13_conversation_repair": repair}
+    return {name: module.SQL for name, module in own.items()}
