@@ -181,7 +181,8 @@ def micros(at: Column, kind: str) -> Column:
 
 def _batch(arrived: Column, number: Column) -> Column:
     hours = F.floor((arrived - ORIGIN) / HOUR) + 80 * crc_mod(number, 4)
-    return F.least(F.lit(BATCHES - 1), F.greatest(F.lit(0), F.floor(hours * BATCHES / HOURS))).cast("int")
+    last = F.lit(BATCHES - 1)
+    return F.least(last, F.greatest(F.lit(0), F.coalesce(F.floor(hours * BATCHES / HOURS), last))).cast("int")
 
 
 def events(clicks: DataFrame, sales: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def op11_missing_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_batch(number: str) -> str:
     hours = f"(epoch_us(arrived_at) - {ORIGIN}) // {HOUR} + 80 * ({crc_sql(f'coalesce(CAST({number} AS VARCHAR), {chr(39) * 2})')} % 4)"
-    return f"CAST(least({BATCHES - 1}, greatest(0, ({hours}) * {BATCHES} // {HOURS})) AS INTEGER)"
+    return f"CAST(least({BATCHES - 1}, greatest(0, coalesce(({hours}) * {BATCHES} // {HOURS}, {BATCHES - 1}))) AS INTEGER)"
 
 
 SQL = f"""
