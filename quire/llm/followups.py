@@ -245,8 +245,10 @@ def _run(spark: SparkSession, source: str, out: str, kept: str, work: Followups,
     """One start of the query, for the files that source has and the checkpoint has not seen. clock_ms:
     the watermark of the next run."""
     own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # else each start leaves its stores open
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = own.readStream.schema("bucket int, client_id long, event long, batch int").parquet(source).drop("batch")
     timed = stream.withColumn("clock", F.timestamp_millis(F.lit(clock_ms))).withWatermark("clock", "0 seconds")
