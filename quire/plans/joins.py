@@ -23,7 +23,7 @@ def dense(spark, sf_dir):
     return boxes(spark, sf_dir).select(page.alias("page"), pos.alias("pos"), "category_id", "score", *P.FIELDS)
 
 
-DENSE = f"{BOXES}, dense AS (SELECT page // 20 AS page, CAST(row_number() OVER (PARTITION BY page // 20 ORDER BY page, pos) AS INTEGER) AS pos, category_id, score, x0, y0, x1, y1 FROM boxes)"
+DENSE = f"{BOXES}, dense AS MATERIALIZED (SELECT page // 20 AS page, CAST(row_number() OVER (PARTITION BY page // 20 ORDER BY page, pos) AS INTEGER) AS pos, category_id, score, x0, y0, x1, y1 FROM boxes)"
 
 
 def typed(spark, sf_dir):

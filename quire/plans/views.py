@@ -34,7 +34,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM quire_lineitem""")
 
 
-BOXES = """boxes AS (
+BOXES = """boxes AS MATERIALIZED (
     SELECT l_orderkey AS page,
            CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS pos,
            CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 5 END AS category_id,
