@@ -241,3 +241,68 @@ def order(blocks: DataFrame, levels: int = LEVELS) -> DataFrame:
     family = b.where("parent IS NOT NULL").join(heads, (F.col("page") == F.col("p2")) & (F.col("parent") == F.col("q2"))).select("page", "pos", "nth", "y0", "x0")
     done = whole.select("page", "pos", "nth", "y0", "x0").unionByName(family)
     return done.select("page", "pos", F.row_number().over(page.orderBy("nth", "y0", "x0", "pos")).alias("place"))
+
+
+# The least gap that parts a slide, the share of a slide's width below which a box is
+# narrow, and what counts as overlap with a box across columns.
+GAP, NARROW, OVERLAP, OVERLAPS = 5.0, 0.1, 0.1, 2
+
+
+def _gaps(lo: str, hi: str, *by: str) -> Column:
+    """The gap before a box along an axis and, negative, where it ends: the maximum is the largest
+    gap of a region, the first of equals."""
+    sorted_ = Window.partitionBy(*by).orderBy(lo, hi, "pos").rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col(lo) - F.max(hi).over(sorted_)
+    return F.when(gap > 0, F.struct(gap.alias("gap"), (-F.col(lo)).alias("at")))
+
+
+def slide_cuts(df: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """df with `path`: at each level every region of every page is parted in two at the larger of its
+    largest gaps between rows and between columns (rows must be larger), if that is GAP at least.
+    Where no gap between columns is, one between the boxes that are not narrow counts. A box is on
+    the side of its centre."""
+    df = df.withColumn("path", F.lit("")).repartition("page")
+    best = lambda c, w: F.max(c).over(w)
+    while True:
+        for _ in range(levels):
+            by = ("page", "path")
+            df = df.withColumn("wide", F.col("x1") - F.col("x0") >= NARROW * (F.max("x1").over(Window.partitionBy(*by)) - F.min("x0").over(Window.partitionBy(*by))))
+            for name, lo, hi, keys in (("_y", "y0", "y1", by), ("_x", "x0", "x1", by), ("_w", "x0", "x1", (*by, "wide"))):
+                df = df.withColumn(name, _gaps(lo, hi, *keys))
+            w = Window.partitionBy(*by)
+            wide = F.sum(F.col("wide").cast("int")).over(w)
+            some = (F.count(F.lit(1)).over(w) >= 3) & (wide >= 2) & (wide < F.count(F.lit(1)).over(w))
+            df = df.withColumns({"_y": best("_y", w), "_x": best("_x", w), "_w": F.when(some, best(F.when(F.col("wide"), F.col("_w")), w))})
+            gap = lambda c: F.coalesce(F.col(c)["gap"], F.lit(0.0))
+            df = df.withColumn("_x", F.when((gap("_x") < GAP) & (gap("_w") > gap("_x")), F.col("_w")).otherwise(F.col("_x")))
+            rows = (gap("_y") >= GAP) & ((gap("_x") < GAP) | (gap("_y") > gap("_x")))
+            middle = lambda c: -F.col(c)["at"] - F.col(c)["gap"] / 2
+            side = F.when(rows, (F.col("y0") + F.col("y1")) / 2 >= middle("_y")).when(gap("_x") >= GAP, (F.col("x0") + F.col("x1")) / 2 >= middle("_x"))
+            df = df.withColumn("_s", side).withColumn("path", F.concat("path", F.coalesce(F.col("_s").cast("int").cast("string"), F.lit("")))).withColumn("open", F.col("_s").isNotNull()).drop("_y", "_x", "_w", "_s", "wide")
+        df = cut_lineage(df)
+        if df.where("open").isEmpty():
+            return df.drop("open")
+
+
+def slide_order(boxes: DataFrame, beta: float = 2.0, levels: int = LEVELS) -> DataFrame:
+    """boxes: page, pos, x0, y0, x1, y1. page, pos, place (from 1): the order of a slide's shapes.
+
+    Boxes with a null or without an area take no part. Of three and more, those at least beta times
+    as wide as the widest (so none, unless beta is 1 or less) that share a tenth of the smaller width
+    with two others are set aside; the rest is cut level by level, regions without a gap go by top,
+    then left; a box set aside comes before the first box that does not begin above it.
+    """
+    page = Window.partitionBy("page")
+    b = boxes.select("page", "pos", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).where("x1 > x0 AND y1 > y0")
+    width = F.col("x1") - F.col("x0")
+    b = cut_lineage(b.withColumn("candidate", (F.count(F.lit(1)).over(page) >= 3) & (width >= beta * F.max(width).over(page))))
+    a, c = b.where("candidate").alias("a"), b.alias("c")
+    share = _meet("a", "c", "x") >= OVERLAP * F.least(F.expr("a.x1 - a.x0"), F.expr("c.x1 - c.x0"))
+    over = a.join(c, (F.col("a.page") == F.col("c.page")) & (F.col("a.pos") != F.col("c.pos")) & share).groupBy("a.page", "a.pos").count().where(F.col("count") >= OVERLAPS)
+    b = b.join(over.select(F.col("page").alias("p2"), F.col("pos").alias("q2")), (F.col("page") == F.col("p2")) & (F.col("pos") == F.col("q2")), "left")
+    b = b.withColumn("rest", F.col("q2").isNotNull()).drop("p2", "q2", "candidate")
+    b = b.withColumn("rest", F.col("rest") & (F.sum((~F.col("rest")).cast("int")).over(page) > 0))  # all of them: by top
+    main = slide_cuts(b.where("NOT rest"), levels).withColumn("nth", F.row_number().over(page.orderBy("path", "y0", "x0", "pos")))
+    aside = b.where("rest").alias("r").join(main.alias("m"), (F.col("r.page") == F.col("m.page")) & (F.col("m.y0") >= F.col("r.y0")), "left").groupBy("r.page", "r.pos", "r.y0", "r.x0").agg(F.min("m.nth").alias("nth"))
+    both = main.select("page", "pos", "y0", "x0", (2 * F.col("nth")).alias("key")).unionByName(aside.select("page", "pos", "y0", "x0", F.coalesce(2 * F.col("nth") - 1, F.lit(2**31)).cast("long").alias("key")))
+    return both.select("page", "pos", F.row_number().over(page.orderBy("key", "y0", "x0", "pos")).alias("place"))

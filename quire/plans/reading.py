@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from quire.operators import reading as R
 from quire.plans.views import table
 
@@ -131,7 +133,64 @@ _ORDER = f"""WITH RECURSIVE {_KIN}, b AS MATERIALIZED (
 SELECT page, pos, CAST(row_number() OVER (PARTITION BY page ORDER BY nth, y0, x0, pos) AS INTEGER) AS place FROM (
     SELECT * FROM whole UNION ALL SELECT b.page, b.pos, b.x0, b.y0, w.nth FROM b JOIN whole w ON b.page = w.page AND b.parent = w.pos)"""
 
+def slide_order(spark, sf_dir):
+    return R.slide_order(_slides(layout(spark, sf_dir)))
+
+
+def slide_order_wide(spark, sf_dir):
+    return R.slide_order(_slides(layout(spark, sf_dir)), beta=0.95)
+
+
+def _slides(boxes):
+    """Shapes of fewer pixels a row, so that rows part, and narrow ones between the columns."""
+    thin = F.col("pos") % 7 == 3
+    x1 = F.when(thin, F.col("x0") + 20).otherwise(F.col("x1"))
+    return boxes.select("page", "pos", F.when(thin, F.col("x0") + 190).otherwise(F.col("x0")).alias("x0"), "y0", F.when(thin, x1 + 190).otherwise(x1).alias("x1"), (F.col("y0") + 8 + F.col("pos") % 3).alias("y1"))
+
+
+#: Levels that the SQL of slides spells out: a page of n shapes needs n - 1 at most.
+_PARTS = 30
+
+
+def _gap_sql(lo: str, hi: str, by: str) -> str:
+    return f"{lo} - max({hi}) OVER (PARTITION BY {by} ORDER BY {lo}, {hi}, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _part(k: int) -> str:
+    """One level of a slide's cuts."""
+    w = "OVER (PARTITION BY page, path)"
+    big = lambda c, only="": f"max(CASE WHEN {c} > 0 {only} THEN {c} END) {w}"
+    first = lambda c, lo, of, only="": f"min(CASE WHEN {c} = {of} {only} THEN {lo} END) {w}"
+    return f"""s{k + 1} AS MATERIALIZED (
+    SELECT page, pos, x0, y0, x1, y1, path || CASE WHEN ygap >= {R.GAP} AND (xgap < {R.GAP} OR ygap > xgap) THEN CASE WHEN (y0 + y1) / 2 >= yat - ygap / 2 THEN '1' ELSE '0' END
+        WHEN xgap >= {R.GAP} THEN CASE WHEN (x0 + x1) / 2 >= xat - xgap / 2 THEN '1' ELSE '0' END ELSE '' END AS path
+    FROM (SELECT *, coalesce(CASE WHEN slim THEN g2 ELSE gx END, 0) AS xgap, CASE WHEN slim THEN at2 ELSE atx END AS xat, coalesce(gy, 0) AS ygap, aty AS yat
+        FROM (SELECT *, {first('dy', 'y0', 'gy')} AS aty, {first('dx', 'x0', 'gx')} AS atx, {first('dw', 'x0', 'g2', 'AND wide')} AS at2, coalesce(gx, 0) < {R.GAP} AND n >= 3 AND nw BETWEEN 2 AND n - 1 AND coalesce(g2, 0) > coalesce(gx, 0) AS slim
+            FROM (SELECT *, {big('dy')} AS gy, {big('dx')} AS gx, {big('dw', 'AND wide')} AS g2, count(*) {w} AS n, sum(CASE WHEN wide THEN 1 ELSE 0 END) {w} AS nw
+                FROM (SELECT *, {_gap_sql('y0', 'y1', 'page, path')} AS dy, {_gap_sql('x0', 'x1', 'page, path')} AS dx, {_gap_sql('x0', 'x1', 'page, path, wide')} AS dw
+                    FROM (SELECT *, x1 - x0 >= {R.NARROW}::DOUBLE * (max(x1) {w} - min(x0) {w}) AS wide FROM s{k}))))))"""
+
+
+def _slide_sql(beta: float) -> str:
+    return f"""WITH v AS MATERIALIZED (
+    SELECT page, pos, CAST(x0 + CASE WHEN pos % 7 = 3 THEN 190 ELSE 0 END AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(CASE WHEN pos % 7 = 3 THEN x0 + 210 ELSE x1 END AS DOUBLE) AS x1, CAST(y0 + 8 + pos % 3 AS DOUBLE) AS y1 FROM ({_layout("//")})
+), c AS (SELECT *, count(*) OVER (PARTITION BY page) >= 3 AND x1 - x0 >= {beta}::DOUBLE * max(x1 - x0) OVER (PARTITION BY page) AS candidate FROM v
+), o AS (
+    SELECT *, candidate AND (SELECT count(*) FROM v WHERE v.page = c.page AND v.pos <> c.pos AND least(v.x1, c.x1) - greatest(v.x0, c.x0) >= {R.OVERLAP}::DOUBLE * least(v.x1 - v.x0, c.x1 - c.x0)) >= {R.OVERLAPS} AS aside FROM c
+), p AS MATERIALIZED (SELECT *, aside AND bool_or(NOT aside) OVER (PARTITION BY page) AS rest FROM o
+), s0 AS MATERIALIZED (SELECT page, pos, x0, y0, x1, y1, '' AS path FROM p WHERE NOT rest
+), {", ".join(_part(k) for k in range(_PARTS))}, m AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY page ORDER BY path, y0, x0, pos) AS nth FROM s{_PARTS}
+), k AS (
+    SELECT page, pos, y0, x0, 2 * nth AS key FROM m
+    UNION ALL SELECT page, pos, y0, x0, coalesce(2 * (SELECT min(nth) FROM m WHERE m.page = p.page AND m.y0 >= p.y0) - 1, 2147483648) FROM p WHERE rest
+)
+SELECT page, pos, CAST(row_number() OVER (PARTITION BY page ORDER BY key, y0, x0, pos) AS INTEGER) AS place FROM k"""
+
+
 QUERIES = {
+    "slide_order": (slide_order, _slide_sql(2.0)),
+    "slide_order_wide": (slide_order_wide, _slide_sql(0.95)),
     "title_children": (title_children, _CHILDREN),
     "xycut_enhanced": (reading_order, _ORDER),
 }
