@@ -56,6 +56,51 @@ def words(chars: DataFrame, key: list[str], cjk: str = "[一-龥]") -> DataFrame
     return df.groupBy(*key, "w").agg(word.alias("word"), F.min("col").alias("first"), F.max("col").alias("last"), F.max("cjk").alias("cjk"))
 
 
+def perspective(lines: DataFrame) -> DataFrame:
+    """lines with the coefficients of the map from an upright rectangle (sides 1) to the quadrilateral
+    x0, y0 ... x3, y3 (from the top left, clockwise): x is (ma s + mb t + x0) / (mg s + mh t + 1) and y
+    is (mc s + md t + y0) over the same; null where the quadrilateral is degenerate."""
+    d = lambda a, i, j: F.col(f"{a}{i}") - F.col(f"{a}{j}")
+    cross = {a: F.col(f"{a}0") - F.col(f"{a}1") + F.col(f"{a}2") - F.col(f"{a}3") for a in "xy"}
+    turn = d("x", 1, 2) * d("y", 3, 2) - d("x", 3, 2) * d("y", 1, 2)
+    turn = F.when(turn != 0, turn)
+    df = lines.withColumns({"mg": (cross["x"] * d("y", 3, 2) - d("x", 3, 2) * cross["y"]) / turn, "mh": (d("x", 1, 2) * cross["y"] - cross["x"] * d("y", 1, 2)) / turn})
+    return df.withColumns({"ma": d("x", 1, 0) + F.col("mg") * F.col("x1"), "mb": d("x", 3, 0) + F.col("mh") * F.col("x3"), "mc": d("y", 1, 0) + F.col("mg") * F.col("y1"), "md": d("y", 3, 0) + F.col("mh") * F.col("y3")})
+
+
+def word_boxes(chars: DataFrame, lines: DataFrame, key: list[str], cjk: str = "[一-龥]") -> DataFrame:
+    """Boxes of recognised words in the image: key..., k, text, p0x, p0y ... p3x, p3y (longs).
+
+    chars: as for words(); k is the place of the first character. lines: key..., x0, y0 ... x3, y3
+    (corners of the detected line from the top left, clockwise), steps (columns that the line was
+    read in). A line without characters of `cjk` gives a box for each word, others one for each
+    character. A column spans a step's share of the line's upright width, cut to whole pixels; the
+    corners are mapped back into the quadrilateral and rounded. Lines with a null, without steps or
+    whose quadrilateral is degenerate give no rows.
+    """
+    found = words(chars, key, cjk)
+    latin = found.groupBy(*key).agg((~F.max("cjk")).alias("latin"))
+    c = chars.where(~F.col("ch").rlike(r"(?U)\s"))
+    by_word = found.join(c.select(*key, "k", F.col("col").alias("first")), [*key, "first"]).select(*key, "k", F.col("word").alias("text"), "first", "last")
+    both = by_word.join(latin.where("latin"), key).drop("latin").unionByName(c.join(latin.where("NOT latin"), key).select(*key, "k", F.col("ch").alias("text"), F.col("col").alias("first"), F.col("col").alias("last")))
+    names = [f"{a}{k}" for k in range(4) for a in "xy"]
+    q = lines.select(*key, *(F.col(c).cast("double").alias(c) for c in names), F.col("steps").cast("double").alias("steps")).where("steps > 0")
+    left, top = F.least(*(F.col(f"x{k}") for k in range(4))), F.least(*(F.col(f"y{k}") for k in range(4)))
+    side = lambda k: F.floor(F.sqrt((F.col(f"x{k}") - F.col("x0")) * (F.col(f"x{k}") - F.col("x0")) + (F.col(f"y{k}") - F.col("y0")) * (F.col(f"y{k}") - F.col("y0"))) + 0.5).cast("double")
+    q = q.withColumns({"left": left, "top": top, "width": side(1), "height": side(3)}).where("width > 0 AND height > 0").withColumn("step", F.col("width") / F.col("steps"))
+    q = perspective(q.withColumns({f"{a}{k}": F.col(f"{a}{k}") - F.col(o) for a, o in (("x", "left"), ("y", "top")) for k in range(4)}))
+    b = both.join(q.select(*key, *(f"m{c}" for c in "abcdgh"), "x0", "y0", "left", "top", "width", "step"), key)
+    middle = lambda c: (F.col(c) + 0.5) * F.col("step")
+    b = b.withColumns({"u0": F.greatest(F.floor(middle("first") - F.col("step") / 2), F.lit(0)).cast("double"), "u1": F.least(F.floor(middle("last") + F.col("step") / 2).cast("double"), F.col("width"))})
+    out = {}
+    for k, (right, low) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1))):
+        u, v = F.col(f"u{right}") / F.col("width"), F.lit(float(low))
+        far = F.col("mg") * u + F.col("mh") * v + 1
+        out[f"p{k}x"] = F.floor((F.col("ma") * u + F.col("mb") * v + F.col("x0")) / F.when(far != 0, far) + F.col("left") + 0.5).cast("long")
+        out[f"p{k}y"] = F.floor((F.col("mc") * u + F.col("md") * v + F.col("y0")) / F.when(far != 0, far) + F.col("top") + 0.5).cast("long")
+    return b.withColumns(out).select(*key, "k", "text", *out).dropna(subset=list(out))
+
+
 def inside(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """For each region (page, pos) the commonest angle of the lines whose centre lies in it, of
     equally common ones that of the first line; 0 and a count of 0 where there are none."""

@@ -353,6 +353,39 @@ def ctc_words(spark, sf_dir):
     return w.groupBy("doc_id", "item_pos").agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("cjk")).alias("cjk"), F.max(F.length("word")).alias("longest"), F.sum("first").cast("long").alias("firsts"))
 
 
+def word_boxes(spark, sf_dir):
+    """The lines of ctc_words on slanted quadrilaterals."""
+    d = items(spark, sf_dir).withColumn("text", F.when(F.col("item_pos") % 4 == 1, F.concat(F.lit("表格"), "text")).otherwise(F.col("text")))
+    c = d.select("doc_id", "item_pos", F.posexplode(F.split("text", "")).alias("k", "ch")).where("ch <> ''")
+    c = c.withColumn("col", F.col("k") * 2 + F.floor(F.col("k") / 13).cast("int") * 5)
+    lines = d.selectExpr("doc_id", "item_pos", "10 + item_pos % 50 AS x0", "20 + doc_id % 30 AS y0", "410 + item_pos % 59 AS x1", "20 + doc_id % 37 AS y1", "405 + item_pos % 50 AS x2", "50 + doc_id % 30 + item_pos % 5 AS y2", "10 + item_pos % 50 - doc_id % 4 AS x3", "48 + doc_id % 30 AS y3", "length(text) * 3 AS steps")
+    return D.word_boxes(c, lines, ["doc_id", "item_pos"])
+
+
+_QUAD = [("w.x1 - w.x0 + g * w.x1", "w.x3 - w.x0 + h * w.x3", "w.x0"), ("w.y1 - w.y0 + g * w.y1", "w.y3 - w.y0 + h * w.y3", "w.y0")]
+
+
+def _corner(u: str, v: str) -> list[str]:
+    s, t = f"({u} / width)", v
+    far = f"(g * {s} + h * {t} + 1)"
+    return [f"CAST(floor((({a}) * {s} + ({b}) * {t} + {c}) / {far} + {off} + 0.5::DOUBLE) AS BIGINT)" for (a, b, c), off in zip(_QUAD, ("lft", "tp"))]
+
+
+_BOXED = ", ".join(f"{e} AS p{k}{a}" for k, (u, v) in enumerate((("u0", "0::DOUBLE"), ("u1", "0::DOUBLE"), ("u1", "1::DOUBLE"), ("u0", "1::DOUBLE"))) for a, e in zip("xy", _corner(u, v)))
+_WORD_BOXES = f"""WITH {ITEMS}, d AS (SELECT doc_id, item_pos, CASE WHEN item_pos % 4 = 1 THEN '表格' || text ELSE text END AS text FROM items),
+c0 AS (SELECT doc_id, item_pos, text, CAST(unnest(range(0, length(text))) AS INTEGER) AS k FROM d), c AS (SELECT doc_id, item_pos, k, substr(text, k + 1, 1) AS ch, k * 2 + k // 13 * 5 AS col FROM c0),
+f AS (SELECT *, regexp_matches(ch, '\\s') AS space, regexp_matches(ch, '[\\x{{4e00}}-\\x{{9fa5}}]') AS cjk, col - lag(col) OVER o > 5 AS far, lag(regexp_matches(ch, '\\s')) OVER o AS sb, lag(regexp_matches(ch, '[\\x{{4e00}}-\\x{{9fa5}}]')) OVER o AS cb FROM c WINDOW o AS (PARTITION BY doc_id, item_pos ORDER BY k)),
+w AS (SELECT *, count(*) FILTER (sb IS NULL OR sb OR cb <> cjk OR far) OVER (PARTITION BY doc_id, item_pos ORDER BY k ROWS UNBOUNDED PRECEDING) AS w FROM f WHERE true),
+m AS (SELECT *, bool_or(cjk) OVER (PARTITION BY doc_id, item_pos) AS mixed FROM w WHERE NOT space),
+t AS (SELECT doc_id, item_pos, min(k) AS k, string_agg(ch, '' ORDER BY k) AS text, min(col) AS first, max(col) AS last FROM m GROUP BY doc_id, item_pos, w, CASE WHEN mixed THEN k ELSE -1 END),
+q0 AS (SELECT doc_id, item_pos, CAST(10 + item_pos % 50 AS DOUBLE) AS x0, CAST(20 + doc_id % 30 AS DOUBLE) AS y0, CAST(410 + item_pos % 59 AS DOUBLE) AS x1, CAST(20 + doc_id % 37 AS DOUBLE) AS y1, CAST(405 + item_pos % 50 AS DOUBLE) AS x2, CAST(50 + doc_id % 30 + item_pos % 5 AS DOUBLE) AS y2, CAST(10 + item_pos % 50 - doc_id % 4 AS DOUBLE) AS x3, CAST(48 + doc_id % 30 AS DOUBLE) AS y3, CAST(length(text) * 3 AS DOUBLE) AS steps FROM d),
+q1 AS (SELECT *, least(x0, x1, x2, x3) AS lft, least(y0, y1, y2, y3) AS tp, floor(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) + 0.5::DOUBLE) AS width, floor(sqrt((x3 - x0) * (x3 - x0) + (y3 - y0) * (y3 - y0)) + 0.5::DOUBLE) AS height FROM q0),
+q2 AS (SELECT doc_id, item_pos, {', '.join(f'{a}{k} - {off} AS {a}{k}' for a, off in (('x', 'lft'), ('y', 'tp')) for k in range(4))}, lft, tp, width, height, width / steps AS step FROM q1),
+w4 AS (SELECT *, ((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) AS g, ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) AS h FROM q2),
+b AS (SELECT t.k, t.text, w4.*, greatest(floor((first + 0.5::DOUBLE) * step - step / 2), 0) AS u0, least(floor((last + 0.5::DOUBLE) * step + step / 2), width) AS u1 FROM t JOIN w4 USING (doc_id, item_pos))
+SELECT doc_id, item_pos, k, text, {_BOXED} FROM b w"""
+
+
 _CTC = f"""WITH {ITEMS}, d AS (SELECT doc_id, item_pos, CASE WHEN item_pos % 4 = 1 THEN '表格' || text ELSE text END AS text FROM items),
 c0 AS (SELECT doc_id, item_pos, text, CAST(unnest(range(0, length(text))) AS INTEGER) AS k FROM d), c AS (SELECT doc_id, item_pos, k, substr(text, k + 1, 1) AS ch, k * 2 + k // 13 * 5 AS col FROM c0),
 f AS (SELECT *, regexp_matches(ch, '\\s') AS space, regexp_matches(ch, '[\\x{{4e00}}-\\x{{9fa5}}]') AS cjk, col - lag(col) OVER o > 5 AS far, lag(regexp_matches(ch, '\\s')) OVER o AS sb, lag(regexp_matches(ch, '[\\x{{4e00}}-\\x{{9fa5}}]')) OVER o AS cb FROM c WINDOW o AS (PARTITION BY doc_id, item_pos ORDER BY k)),
@@ -547,6 +580,7 @@ QUERIES = {
     "noop": (noop, "SELECT count(*) AS n FROM lineitem"),
     "argmax_decode": (argmax_decode, _ARGMAX),
     "ctc_words": (ctc_words, _CTC),
+    "word_boxes": (word_boxes, _WORD_BOXES),
     "contrast": (contrast, f"WITH {DENSE} SELECT page, CAST(floor(stddev_pop(CAST(y0 AS BIGINT) % 256) / (avg(CAST(y0 AS BIGINT) % 256) + CAST(1e-6 AS DOUBLE)) * 100 + 0.5) AS BIGINT) AS v FROM dense GROUP BY page"),
     "angle_mode": (angle_mode, _ANGLE),
     "text_fill": (text_fill, _FILL),
