@@ -151,6 +151,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted and read back. Null roles and texts count as
+    empty, a null conv_id is a conversation of its own, rows of one turn are ordered by role, then
+    text, repeated rows stay, other columns are not read; without rows conversation -1 is left."""
     said = "<|im_end|><|im_start|>assistant ok"
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"SELECT -1L AS conv_id, t AS turn, r AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
