@@ -11,12 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _ask(url: str, body: bytes | None, seconds: float, most: int) -> tuple[int | None, bytes | None, str | None]:
+def _ask(url: str, body: bytes | None, seconds: float, most: int, start: int = 0, length: int | None = None) -> tuple[int | None, bytes | None, str | None]:
+    """start, length: the part of the content that is wanted; a server that sends all of it is read
+    past what comes before, a piece at a time."""
     if not str(url).lower().startswith(("http://", "https://")):
         return None, None, "no http address"
+    part = start > 0 or length is not None
+    if length == 0:
+        return None, b"", None
+    headers = {"Range": f"bytes={start}-{'' if length is None else start + length - 1}"} if part else {}
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, data=body), timeout=seconds) as answer:
-            content = answer.read(most + 1)
+        with urllib.request.urlopen(urllib.request.Request(url, data=body, headers=headers), timeout=seconds) as answer:
+            skip = start if part and answer.status != 206 else 0
+            while skip and (passed := len(answer.read(min(skip, 1 << 20)))):
+                skip -= passed
+            content = answer.read(most + 1 if length is None else min(most + 1, length))
             return (answer.status, None, f"more than {most} bytes") if len(content) > most else (answer.status, content, None)
     except urllib.error.HTTPError as e:
         return e.code, None, str(e)
@@ -24,17 +33,27 @@ def _ask(url: str, body: bytes | None, seconds: float, most: int) -> tuple[int |
         return None, None, str(e)
 
 
-def get(addresses: DataFrame, url: str = "url", seconds: float = 30.0, most: int = 256 << 20) -> DataFrame:
+def get(addresses: DataFrame, url: str = "url", seconds: float = 30.0, most: int = 256 << 20, offset: str | None = None, limit: str | None = None) -> DataFrame:
     """url, status, content, error for each row; contents of at most `most` bytes. A null address has
-    an error; equal ones are asked for each. A part of a content cannot be asked for."""
+    an error; equal ones are asked for each.
+
+    offset, limit: columns of the first byte (from 0; null: 0) and the number of bytes (null or
+    negative: all that follow) that are wanted of each content. The server is asked for that part;
+    of one that sends everything the part is cut out. Nothing is asked for where limit is 0; a
+    negative offset has an error.
+    """
+    of = lambda c, other: F.coalesce(F.col(c).cast("long"), F.lit(other)) if c else F.lit(other)
 
     def run(batches):
         for pdf in batches:
-            for u in pdf["u"]:  # a row at a time: contents may be large
-                status, content, error = _ask(u, None, seconds, most) if u is not None else (None, None, "no address")
+            for u, start, n in zip(pdf["u"], pdf["start"], pdf["n"]):  # a row at a time: contents may be large
+                status, content, error = None, None, "no address" if u is None else "negative offset"
+                if u is not None and start >= 0:
+                    status, content, error = _ask(u, None, seconds, most, int(start), None if n < 0 else int(n))
                 yield pd.DataFrame({"url": [u], "status": pd.array([status], "Int32"), "content": [content], "error": [error]})
 
-    return addresses.select(F.col(url).cast("string").alias("u")).mapInPandas(run, "url string, status int, content binary, error string")
+    rows = addresses.select(F.col(url).cast("string").alias("u"), of(offset, 0).cast("long").alias("start"), of(limit, -1).cast("long").alias("n"))
+    return rows.mapInPandas(run, "url string, status int, content binary, error string")
 
 
 def post(rows: DataFrame, url: str = "url", content: str = "content", seconds: float = 30.0) -> DataFrame:

@@ -51,6 +51,14 @@ def test_addresses_are_asked_and_sent_to(spark, tmp_path):
 
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
+            part = self.headers.get("Range")
+            if part and "parts" in self.path:  # a server that knows ranges; others send everything
+                lo, hi = part.removeprefix("bytes=").split("-")
+                body = b"0123456789"[int(lo) : int(hi) + 1 if hi else None]
+                self.send_response(206 if body else 416)
+                self.end_headers()
+                self.wfile.write(body)
+                return
             self.send_response(404 if "gone" in self.path else 200)
             self.end_headers()
             self.wfile.write(b"x" * 50 if "long" in self.path else b"hello")
@@ -70,6 +78,10 @@ def test_addresses_are_asked_and_sent_to(spark, tmp_path):
         df = spark.createDataFrame([(f"{at}/a",), (f"{at}/gone",), (None,), ("file:///etc/hosts",), (f"{at}/long",)], "url string")
         got = {r.url: (r.status, None if r.content is None else bytes(r.content), r.error is None) for r in H.get(df, most=20).collect()}
         assert got == {f"{at}/a": (200, b"hello", True), f"{at}/gone": (404, None, False), None: (None, None, False), "file:///etc/hosts": (None, None, False), f"{at}/long": (200, None, False)}
+        wanted = [("parts", 2, 3, b"234"), ("parts", 4, None, b"456789"), ("parts", 8, 50, b"89"), ("parts", 50, 2, None), ("a", 1, 2, b"el"), ("a", 3, -1, b"lo"), ("a", 9, 4, b""), ("a", None, 0, b""), ("long", 1, 5, b"xxxxx"), ("a", -1, 1, None)]
+        df = spark.createDataFrame([(f"{at}/{path}?{k}", o, n) for k, (path, o, n, _) in enumerate(wanted)], "url string, o long, n int")
+        got = {int(r.url.rpartition("?")[2]): None if r.error else bytes(r.content) for r in H.get(df, most=20, offset="o", limit="n").collect()}
+        assert got == {k: w for k, (*_, w) in enumerate(wanted)}
         sent = H.post(spark.createDataFrame([(at, b"one"), (at, None), (None, b"x")], "url string, content binary")).collect()
         assert sorted(seen) == [b"", b"one"] and [r.status for r in sent if r.url] == [201, 201]
     finally:
