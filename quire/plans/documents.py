@@ -210,7 +210,6 @@ def md_to_html(spark, sf_dir):
     d = items(spark, sf_dir)
     md = F.when(F.col("item_pos") == 0, F.concat(F.lit("# "), _words())).when(F.col("item_pos") % 3 == 1, F.concat(F.lit("- "), _words())).otherwise(F.concat(F.lit("*a* <"), _words()))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_pos", md.alias("m")))), lambda s: s["m"]), "\n\n")
-    page = L.column(M.markdown_body, whole)
     return d.groupBy("doc_id").agg(whole.alias("md")).select("doc_id", F.sha2(L.column(M.markdown_body, F.col("md")), 256).alias("html"))
 
 
