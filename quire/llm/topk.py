@@ -10,24 +10,27 @@ from above. Within a block of candidates a query evaluates them in the order of
 stops, exactly, at the first whose bound is under the k-th best score found so far.
 
 Pivots, and the rows that give each query its first k-th best, are fitted on a bounded sample
-(`pivots`, `sample` rows); both are real candidates, so every answer stays exact. The stated query
-set meets all candidates in blocks of packed rows (query blocks x candidate blocks): a task holds
-one block of either and the best k of the queries it has met. Rows of a block are near one another
-(those of a batch in order of the pivots near them), and a block knows the least and the largest
-distance of its rows to each pivot: a pair of blocks whose bound lies under what k candidates of
-each of its queries are known to reach is dropped before it is formed.
+(`pivots`, `sample` rows); both are real candidates, so every answer stays exact. All rows are
+shuffled once into ranges of the pivots near them and packed into blocks, which are written with
+the least and the largest distance of their rows to each pivot. The stated query set meets all
+candidates block by block: first the summaries alone (a few hundred bytes a block), where a pair
+whose bound lies under what k candidates of each of its queries are known to reach is dropped; then
+the pairs that are left fetch the vectors. A task holds one block of either and the best k of the
+queries of up to 64 blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, spill, table
 
 EXACT = float(1 << 53)
+#: What is broadcast holds at most so many bytes; beyond, joins shuffle.
+BROADCAST = 32 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -91,34 +94,52 @@ def known_floor(q: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndar
     return out
 
 
-def by_cell(far: np.ndarray) -> np.ndarray:
-    """Rows in an order that keeps near ones together: by the nearest of the first two pivots, then
-    of the first four, and so on; the first of pivots far from one another are the coarsest cover."""
-    keys, n = [np.zeros(len(far), np.int64)], 2
-    while n < 2 * far.shape[1]:
-        keys.append(far[:, :n].argmin(1))
-        n *= 2
-    return np.lexsort(keys[::-1])
+def places(far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key by which near rows sort together (the nearest of the first two pivots, then of the first
+    four, and so on: the first of pivots far from one another are the coarsest cover) and the
+    distance to the nearest pivot of all. Keys hold up to 512 pivots."""
+    key, n, bits = np.zeros(len(far), np.int64), 2, 1
+    while n < 2 * far.shape[1] and bits < 10:
+        key = (key << bits) | far[:, :n].argmin(1)
+        n, bits = 2 * n, bits + 1
+    return key, far.min(1) if far.shape[1] else np.zeros(len(far))
 
 
-_PACKED = ["ids", "width", "vectors", "far", "floor", "lo", "hi", "norm", "least"]
+def _together(df: DataFrame, scale: float, pivots: np.ndarray, parts: int | None) -> DataFrame:
+    """Rows (id, v) of the whole table in ranges of their place: a range holds near rows, whatever
+    their order in the table, and many rows of one place are cut by distance and id."""
+
+    def run(batches):
+        for batch in batches:
+            m = _matrix(batch.column(1), scale)
+            key, near = places(distances(m, pivots) if len(pivots) else np.zeros((len(m), 0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key), pa.array(near)], ["id", "v", "place", "near"])
+
+    placed = df.select("id", "v").mapInArrow(run, f"id long, v {df.schema['v'].dataType.simpleString()}, place long, near double")
+    by = ("place", "near", "id")
+    placed = placed.repartitionByRange(*by) if parts is None else placed.repartitionByRange(parts, *by)
+    return placed.sortWithinPartitions(*by).select("id", "v")
+
+
+_SENT = ["ids", "width", "vectors", "far"]
+_HEAD = ["lo", "hi", "norm", "least"]
+_PACKED = [*_SENT, "floor", *_HEAD]
 
 
 def _pack(df: DataFrame, rows: int, scale: float, pivots: np.ndarray, floors: tuple | None = None) -> DataFrame:
-    """Blocks of up to `rows` vectors: ids, width, integers, distances to the pivots; the block's
-    least and largest ones (lo, hi), its largest norm and, with floors (vectors, ids, k), what each
-    query is known to reach and the least of that."""
+    """Blocks of up to `rows` vectors in the order of df: ids, width, integers, distances to the
+    pivots; the block's least and largest ones (lo, hi), its largest norm and, with floors (vectors,
+    ids, k), what each query is known to reach and the least of that."""
 
     def run(batches):
         for batch in batches:
             m = _matrix(batch.column(1), scale)
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             far = distances(m, pivots) if len(pivots) else np.zeros((len(m), 0))
-            order = by_cell(far)
             for lo in range(0, len(m), rows):
-                at = order[lo : lo + rows]
+                at = slice(lo, lo + rows)
                 x, f = m[at], far[at]
-                floor = known_floor(x, ids[at], *floors) if floors is not None else np.full(len(at), -np.inf)
+                floor = known_floor(x, ids[at], *floors) if floors is not None else np.full(len(x), -np.inf)
                 raw = [ids[at].tobytes(), x.shape[1], x.tobytes(), f.tobytes(), floor.tobytes(), f.min(0).tolist(), f.max(0).tolist(), float((x * x).sum(1).max(initial=0)), float(floor.min())]
                 kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(raw, kinds)], _PACKED)
@@ -126,6 +147,21 @@ def _pack(df: DataFrame, rows: int, scale: float, pivots: np.ndarray, floors: tu
     return df.mapInArrow(run, "ids binary, width int, vectors binary, far binary, floor binary, lo array<double>, hi array<double>, norm double, least double")
 
 
+def _blocks(df: DataFrame, rows: int, scale: float, pivots: np.ndarray, floors: tuple | None, parts: int | None, what: str) -> tuple[DataFrame, int]:
+    """Numbered blocks of near rows, written once, and how many there are."""
+    packed = _pack(_together(df, scale, pivots, parts), rows, scale, pivots, floors)
+    written = spill(packed.withColumn("block", F.monotonically_increasing_id()), what)
+    return written, written.count()
+
+
+def near_pairs(left: DataFrame, right: DataFrame, small: bool) -> DataFrame:
+    """(block, c_block) of blocks that may reach one another, by their summaries alone: no vectors
+    are read. small: whether left's summaries are known to fit a broadcast."""
+    heads = left.select("block", *_HEAD)
+    others = right.select(F.col("block").alias("c_block"), *(F.col(c).alias(f"c_{c}") for c in _HEAD))
+    return others.crossJoin(F.broadcast(heads) if small else heads).where(may_reach()).select("block", "c_block")
+
+
 def may_reach() -> Column:
     """Whether any query of a block can reach its floor with any candidate of another (c_...): the
     triangle inequality between the ranges of their distances to each pivot. Rounding is allowed for."""
@@ -190,8 +226,13 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_c
     chosen = floor_rows[choose(floor_rows, pivots)]
     n_pivots = len(chosen)
     asked = rowset.where(queries).groupBy("id").agg(F.min("v").alias("v"))
-    left = _pack(asked, query_rows, scale, chosen, (floor_rows, floor_ids, k))
-    right = _pack(rowset, rows, scale, chosen).toDF(*(f"c_{c}" for c in _PACKED))
+    small_batches(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, n_left = _blocks(asked, query_rows, scale, chosen, (floor_rows, floor_ids, k), None, "topk-queries")
+    right, _ = _blocks(rowset, rows, scale, chosen, None, parts, "topk-rows")
+    near = spill(near_pairs(left, right, n_left * 16 * (n_pivots + 4) <= BROADCAST), "topk-pairs", parts)
+    few = near.count() * 16 <= BROADCAST
+    held_bytes = left.agg(F.sum(sum(F.octet_length(c) for c in ("ids", "vectors", "far", "floor")))).first()[0] or 0
 
     def run(batches):
         held: dict[bytes, list] = {}
@@ -212,18 +253,18 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_c
                 width = max(q.shape[1], x.shape[1])
                 q, x = _wide(q, width), _wide(x, width)
                 if value[0] not in held:
-                    if len(held) >= 16:
+                    if len(held) >= 64:
                         yield emit()
                     held[value[0]] = (q_ids, [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q_ids])
                 search_block(q, q_far, q_ids, x, x_far, x_ids, held[value[0]][1], floor, k)
         if held:
             yield emit()
 
-    small_batches(df.sparkSession)
-    near = right.crossJoin(left).where(may_reach())  # blocks, and the stated queries on one side
-    found = near.select("ids", "width", "vectors", "far", "floor", "c_ids", "c_width", "c_vectors", "c_far").mapInArrow(run, "query_id long, vec_id long, score long")
-    from pyspark.sql import Window
-
+    asked_blocks = left.select("block", *(F.col(c) for c in _SENT), "floor")
+    rows_blocks = right.select(F.col("block").alias("c_block"), *(F.col(c).alias(f"c_{c}") for c in _SENT))
+    met = rows_blocks.join(F.broadcast(near) if few else near, "c_block")
+    met = met.join(F.broadcast(asked_blocks) if held_bytes <= BROADCAST else asked_blocks, "block")
+    found = met.select(*_SENT, "floor", *(f"c_{c}" for c in _SENT)).mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

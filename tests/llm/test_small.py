@@ -165,10 +165,10 @@ def test_top_k_drops_pairs_of_blocks(spark):
     m = np.floor(np.array([np.float32(v) for _, v in rows], np.float64) * 256)
     pivots = m[topk.choose(m, 8)]
     d = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    left = topk._pack(d.where("id % 50 < 2").coalesce(1), 8, 256.0, pivots, (m[:100], np.arange(100), 5))
-    right = topk._pack(d.coalesce(1), 50, 256.0, pivots).toDF(*(f"c_{c}" for c in topk._PACKED))
-    every, near = right.crossJoin(left).count(), right.crossJoin(left).where(topk.may_reach()).count()
-    assert every == 16 and near == 8
+    left, _ = topk._blocks(d.where("id % 50 < 2"), 8, 256.0, pivots, (m[:100], np.arange(100), 5), 2, "left")
+    right, _ = topk._blocks(d, 50, 256.0, pivots, None, 2, "right")
+    every, near = left.count() * right.count(), topk.near_pairs(left, right, True).count()
+    assert 0 < near <= every / 2
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("id") % 50 < 2, rows=50, query_rows=8, sample=100, pivots=8).collect()}
     for q in range(400):
         if q % 50 < 2:
@@ -176,6 +176,34 @@ def test_top_k_drops_pairs_of_blocks(spark):
             assert [got[q, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
 
 
+def test_top_k_of_shuffled_clusters(spark):
+    """Forty clusters in any order over many partitions: most pairs of blocks go by their summaries,
+    which are all that is compared, and answers stay exact, with and without broadcasts."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 12)) * 8
+    rows = [(i, [float(x) for x in centres[i * 7 % 40] + rng.normal(size=12) * 0.2]) for i in rng.permutation(6000).tolist()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    m = np.zeros((6000, 12))
+    for i, v in rows:
+        m[i] = np.floor(np.float64(np.float32(v)) * 256)
+    pivots, d = m[:400][topk.choose(m[:400], 48)], df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    left, _ = topk._blocks(d.where("id % 50 = 0"), 16, 256.0, pivots, (m[:400], np.arange(400), 5), 4, "left")
+    right, _ = topk._blocks(d, 64, 256.0, pivots, None, 4, "right")
+    near = topk.near_pairs(left, right, True)
+    assert near.count() <= 0.2 * left.count() * right.count()
+    assert "vectors" not in near._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for q in range(0, 6000, 50):
+        score = (m @ m[q]).astype(np.int64)
+        best = sorted((-int(score[j]), j) for j in range(6000) if j != q)[:5]
+        want |= {(q, k + 1): (j, -s) for k, (s, j) in enumerate(best)}
+    most = topk.BROADCAST
+    for topk.BROADCAST in (most, 0):
+        got = topk.top_k(df, F.col("id") % 50 == 0, rows=64, query_rows=16, sample=400, pivots=48)
+        assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()} == want
+    topk.BROADCAST = most
+
+
 # --- quality classifier
 
 
