@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that offer QUERIES: name -> (function of (spark, sf_dir), SQL or None).
-MODULES = ("quire.plans.geometry", "quire.plans.joins", "quire.plans.text", "quire.plans.stats", "quire.plans.assembly", "quire.plans.documents", "quire.plans.reading", "quire.plans.linking", "quire.plans.ruling", "quire.plans.detection", "quire.plans.textlines", "quire.plans.streams")
+MODULES = ("quire.plans.geometry", "quire.plans.joins", "quire.plans.text", "quire.plans.stats", "quire.plans.assembly", "quire.plans.documents", "quire.plans.reading", "quire.plans.linking", "quire.plans.ruling", "quire.plans.detection", "quire.plans.textlines", "quire.plans.grids", "quire.plans.streams")
 
 
 def _all() -> dict:
