@@ -93,3 +93,16 @@ def nest(items: DataFrame, levels: int = 9) -> DataFrame:
     depth = F.size("above")
     marker = F.concat(F.repeat(F.lit(" "), 4 * depth), F.when(F.col("ordered"), F.concat("said", F.lit("."))).otherwise("-"))
     return i.join(ups, ["doc_id", "pos"], "left").select("doc_id", "pos", depth.alias("depth"), "parent", "number", F.concat_ws(".", "up", "said").alias("path"), marker.alias("marker"))
+
+
+def keep_anchors(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """entries: doc_id, pos, anchor (of the lines of a table of contents). Returns them with the
+    anchor, without white space around it, where a block of the document's body has it (blocks:
+    doc_id, anchor), else null. Documents whose bodies have no anchors at all keep theirs as they
+    are. Blank anchors count as none; rows of equal positions each keep or lose their own."""
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    known = blocks.select(F.col("doc_id").alias("d"), bare(F.col("anchor")).alias("known")).where("known IS NOT NULL").distinct()
+    anchored = known.select(F.col("d").alias("d2")).distinct()
+    e = entries.select("doc_id", "pos", "anchor", bare(F.col("anchor")).alias("asked"))
+    e = e.join(known, (F.col("doc_id") == F.col("d")) & (F.col("asked") == F.col("known")), "left").join(anchored, F.col("doc_id") == F.col("d2"), "left")
+    return e.select("doc_id", "pos", F.when(F.col("d2").isNull(), F.col("anchor")).otherwise(F.col("known")).alias("anchor"))

@@ -145,3 +145,28 @@ def match_cells(texts: DataFrame, cells: DataFrame) -> DataFrame:
     a, b = G.Box.of(), G.Box.of("b_")
     gap = F.abs(a.x0 - b.x0) + F.abs(a.y0 - b.y0) + F.abs(a.x1 - b.x1) + F.abs(a.y1 - b.y1)
     return first_match(texts, cells, lambda a, b: G.iou(a, b) > 1e-8, [1 - G.iou(a, b), gap, F.col("b_pos")])
+
+
+def table_images(tables: DataFrame, images: DataFrame, layout: DataFrame, scale: float, most: float = 0.9) -> DataFrame:
+    """The pictures inside tables: page, table_pos, pos, source, the box in pixels (x0 to y1) and in the
+    table's own picture (tx0 to ty1).
+
+    tables: page, pos, box in pixels, dx, dy (what leads from the page's to the table picture's
+    pixels). images: page, pos, box in points, the pictures that the page itself holds: those that lie
+    in a table belong to it (`page`), unless one is the table (intersection over union of `most` or
+    more). layout: page, table_pos, pos, box in pixels, the pictures that layout detection found in a
+    table: they stand in (`layout`) for tables that got none of the page's. A picture in tables that
+    lie in each other belongs to each of them.
+    """
+    t = prefixed(tables, "t_")
+    box = G.Box.of()
+    points = t.select("*", *(((F.col(f"t_{c}") / scale).alias(f"p_{c}")) for c in FIELDS))
+    within = G.Box.of("p_")
+    own = images.join(points, (F.col("page") == F.col("t_page")) & G.inside(box, within) & (G.iou(box, within) < most))
+    out = ("page", F.col("t_pos").alias("table_pos"), "pos", "source", *FIELDS, "t_dx", "t_dy")
+    own = own.select(*(F.col(c) if c not in FIELDS else (F.col(c) * scale).alias(c) for c in ("page", "pos", *FIELDS)), "t_pos", "t_dx", "t_dy", F.lit("page").alias("source")).select(*out)
+    served = own.select(F.col("page").alias("s_page"), F.col("table_pos").alias("s_pos")).distinct()
+    rest = layout.join(served, (F.col("page") == F.col("s_page")) & (F.col("table_pos") == F.col("s_pos")), "left_anti")
+    rest = rest.join(t, (F.col("page") == F.col("t_page")) & (F.col("table_pos") == F.col("t_pos"))).withColumn("source", F.lit("layout")).select(*out)
+    moved = [(F.col(c) + F.col("t_dx" if c[0] == "x" else "t_dy")).alias(f"t{c}") for c in FIELDS]
+    return own.unionByName(rest).select("page", "table_pos", "pos", "source", *FIELDS, *moved)

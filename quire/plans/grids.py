@@ -1,11 +1,12 @@
-"""Queries on HTML tables: one table for each page of crowded boxes, five cells a row, spans that
-depend on the boxes."""
+"""Queries on HTML tables (one table for each page of crowded boxes, five cells a row, spans that
+depend on the boxes) and on pictures inside tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quire.operators import grids as G
+from quire.operators import pages as P
 from quire.plans.joins import DENSE, dense
 
 
@@ -77,7 +78,44 @@ _PIPES = f"""{_PLACED}, w AS (SELECT page, max(col) AS most FROM o GROUP BY page
 )
 SELECT page, string_agg(CASE WHEN row_no = 0 THEN line || chr(10) || '|' || repeat(' --- |', CAST(most + 1 AS INTEGER)) ELSE line END, chr(10) ORDER BY row_no) AS md FROM l GROUP BY page"""
 
+
+
+def table_images(spark, sf_dir):
+    """Boxes of one kind stretched to tables, those of the second as the page's pictures, those of the
+    third, where they lie in a table, as its detected ones; two pixels a point. Some tables are a
+    picture themselves."""
+    d = dense(spark, sf_dir)
+    x1, y1 = F.col("x1") + F.when(F.col("pos") % 4 == 0, 0).otherwise(60), F.col("y1") + F.when(F.col("pos") % 4 == 0, 0).otherwise(40)
+    px = [(c * 2).alias(n) for n, c in zip(P.FIELDS, (F.col("x0"), F.col("y0"), x1, y1))]
+    tables = d.where("category_id = 5").select("page", "pos", *px, (10 - 2 * F.col("x0")).alias("dx"), (20 - 2 * F.col("y0")).alias("dy"))
+    same = d.where("category_id = 5 AND pos % 8 = 0").select("page", (F.col("pos") + 1000).alias("pos"), *P.FIELDS)
+    images = d.where("category_id = 3").select("page", "pos", *P.FIELDS).unionByName(same)
+    one = d.where("category_id = 1").select("page", "pos", *((F.col(c) * 2).alias(c) for c in P.FIELDS))
+    layout = P.beside(one, tables, P.G.inside).select("page", F.col("b_pos").alias("table_pos"), "pos", *P.FIELDS)
+    return P.table_images(tables, images, layout, 2.0)
+
+
+_IMAGES = f"""WITH {DENSE}, t AS MATERIALIZED (
+    SELECT page, pos, x0, y0, x1 + CASE WHEN pos % 4 = 0 THEN 0 ELSE 60 END AS x1, y1 + CASE WHEN pos % 4 = 0 THEN 0 ELSE 40 END AS y1 FROM dense WHERE category_id = 5
+), i AS (
+    SELECT page, pos, x0, y0, x1, y1 FROM dense WHERE category_id = 3
+    UNION ALL SELECT page, pos + 1000, x0, y0, x1, y1 FROM dense WHERE category_id = 5 AND pos % 8 = 0
+), own AS MATERIALIZED (
+    SELECT t.page, t.pos AS table_pos, i.pos, 'page' AS source, i.x0, i.y0, i.x1, i.y1, t.x0 AS tx, t.y0 AS ty
+    FROM i JOIN t ON i.page = t.page AND i.x0 >= t.x0 AND i.y0 >= t.y0 AND i.x1 <= t.x1 AND i.y1 <= t.y1
+    WHERE (i.x1 - i.x0) * (i.y1 - i.y0) / ((t.x1 - t.x0) * (t.y1 - t.y0)) < 0.9
+), every AS (
+    SELECT * FROM own
+    UNION ALL
+    SELECT t.page, t.pos, d.pos, 'layout', d.x0, d.y0, d.x1, d.y1, t.x0, t.y0
+    FROM dense d JOIN t ON d.page = t.page AND d.x0 >= t.x0 AND d.y0 >= t.y0 AND d.x1 <= t.x1 AND d.y1 <= t.y1
+    WHERE d.category_id = 1 AND NOT EXISTS (SELECT 1 FROM own WHERE own.page = t.page AND own.table_pos = t.pos)
+)
+SELECT page, table_pos, pos, source, x0 * 2 AS x0, y0 * 2 AS y0, x1 * 2 AS x1, y1 * 2 AS y1,
+       (x0 - tx) * 2 + 10 AS tx0, (y0 - ty) * 2 + 20 AS ty0, (x1 - tx) * 2 + 10 AS tx1, (y1 - ty) * 2 + 20 AS ty1 FROM every"""
+
 QUERIES = {
+    "table_images": (table_images, _IMAGES),
     "table_cells": (table_cells, _CELLS),
     "table_segments": (table_segments, _SEGMENTS),
     "table_pipes": (table_pipes, _PIPES),

@@ -56,7 +56,25 @@ _NEST = f"""WITH RECURSIVE {ITEMS}, i AS MATERIALIZED (
 )
 SELECT doc_id, pos, depth, parent, number, path, repeat(' ', 4 * depth) || CASE WHEN ordered THEN number || '.' ELSE '-' END AS marker FROM t"""
 
+
+
+def toc_anchors(spark, sf_dir):
+    """Lines of contents lists and blocks of bodies, anchored by their first words."""
+    i, n = items(spark, sf_dir), F.length("text")
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    entries = i.where(n % 3 != 0).select("doc_id", F.col("item_pos").alias("pos"), F.when(n % 7 != 0, F.concat(F.lit(" "), word)).alias("anchor"))
+    blocks = i.where(n % 3 == 0).select("doc_id", F.when(n % 11 == 0, "  ").otherwise(F.concat(word, F.lit("  "))).alias("anchor"))
+    return L.keep_anchors(entries, blocks)
+
+
+_ANCHORS = f"""WITH {ITEMS}, w AS (SELECT doc_id, item_pos AS pos, length(text) AS n, split_part(text, ' ', 1) AS word FROM items
+), known AS (SELECT doc_id, trim(word) AS anchor FROM w WHERE n % 3 = 0 AND n % 11 <> 0 AND trim(word) <> ''
+), e AS (SELECT doc_id, pos, CASE WHEN n % 7 <> 0 THEN ' ' || word END AS anchor FROM w WHERE n % 3 <> 0)
+SELECT doc_id, pos, CASE WHEN doc_id NOT IN (SELECT doc_id FROM known) THEN anchor
+    WHEN (doc_id, trim(anchor)) IN (SELECT (doc_id, anchor) FROM known) THEN trim(anchor) END AS anchor FROM e"""
+
 QUERIES = {
+    "toc_anchors": (toc_anchors, _ANCHORS),
     "link_markdown": (link_markdown, _LINK),
     "nested_lists": (nested_lists, _NEST),
 }

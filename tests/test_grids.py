@@ -3,6 +3,7 @@
 import random
 
 from quire.operators import grids as G
+from quire.operators import pages as P
 
 
 def by_hand(rows):
@@ -75,3 +76,23 @@ def test_odd_tables(spark):
     assert sorted((r.id or 0, r.row_no, r.cell, r.header, r.rowspan, r.colspan, r.text) for r in rows) == [(0, 0, 0, True, 1, 1, "n"), (5, 0, 0, False, 1, 1, "a &lt;b"), (5, 0, 1, False, 1, 1000, "c")]
     empty = G.place(G.cells(df.limit(0), "id", "html"), "id")
     assert G.segments(empty, "id").count() == 0 and G.markdown(empty, "id").count() == 0
+
+
+def test_pictures_of_tables(spark):
+    rng = random.Random(9)
+    def box(least, most):
+        x, y = rng.randrange(0, 60), rng.randrange(0, 60)
+        return [float(v) for v in (x, y, x + rng.randrange(least, most), y + rng.randrange(least, most))]
+    tables = [(p, t, *[2 * v for v in box(20, 50)], float(t), -3.0) for p in range(40) for t in range(3)]
+    images = [(p, 10 + k, *box(0, 20)) for p in range(40) for k in range(6)]
+    images += [(p, 20 + t, *[v / 2 for v in b]) for p, t, *b, _, _ in tables if p % 3 == 0]
+    layout = [(p, t, 30 + k, *box(1, 9)) for p in range(40) for t in range(4) for k in range(2)]
+    want = []
+    for p, t, *b, dx, dy in tables:
+        x0, y0, x1, y1 = [v / 2 for v in b]
+        own = [i for i in images if i[0] == p and x0 <= i[2] and y0 <= i[3] and i[4] <= x1 and i[5] <= y1 and (i[4] - i[2]) * (i[5] - i[3]) / ((x1 - x0) * (y1 - y0)) < 0.9]
+        found = [("page", i[1], [2 * v for v in i[2:]]) for i in own] or [("layout", k[2], list(k[3:])) for k in layout if k[:2] == (p, t)]
+        want += [(p, t, pos, source, *c, c[0] + dx, c[1] + dy, c[2] + dx, c[3] + dy) for source, pos, c in found]
+    frame = lambda rows, keys, more="": spark.createDataFrame(rows, ", ".join([*(f"{k} int" for k in keys), *(f"{c} double" for c in P.FIELDS)]) + more)
+    got = P.table_images(frame(tables, ("page", "pos"), ", dx double, dy double"), frame(images, ("page", "pos")), frame(layout, ("page", "table_pos", "pos")), 2.0)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {r[3] for r in want} == {"page", "layout"}

@@ -101,3 +101,19 @@ def test_nesting_by_hand(spark):
         assert r.marker == "    " * r.depth + ("-" if r.number is None else f"{r.number}.")
     assert all(got[d] == nest_by_hand(rows) for d, rows in docs.items())
     assert L.nest(df.limit(0)).collect() == []
+
+
+def test_anchors_of_contents(spark):
+    rng = random.Random(3)
+    names = ["a", " a ", "b\t", "c", "", "  ", None, " d"]
+    entries = [(d, p, rng.choice(names)) for d in range(60) for p in range(rng.randrange(0, 6))]
+    blocks = [(d, rng.choice(names[4:7] if d % 5 == 0 else names)) for d in range(60) for _ in range(rng.randrange(0, 4))]
+    known = defaultdict(set)
+    for d, name in blocks:
+        if (name or "").strip():
+            known[d].add(name.strip())
+    want = [(d, p, name if not known[d] else name.strip() if name and name.strip() in known[d] else None) for d, p, name in entries]
+    e = spark.createDataFrame(entries, "doc_id int, pos int, anchor string")
+    got = L.keep_anchors(e, spark.createDataFrame(blocks, "doc_id int, anchor string"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert L.keep_anchors(e.limit(0), e.select("doc_id", "anchor")).count() == 0
