@@ -62,21 +62,32 @@ def normal_tail(z: Column) -> Column:
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
 
 
-def rank_correlation(pairs: DataFrame, by: list[str], a: str, b: str, order: str) -> DataFrame:
+def rank_correlation(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Kendall's tau (b) and Spearman's rho of paired columns within `by`; null for fewer than two
-    pairs or for a column without spread. Pairs of rows meet within a group only."""
-    ranked = average_ranks(average_ranks(pairs, by, a, "ra"), by, b, "rb")
-    rho = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("spearman_rho"))
-    other = ranked.select(*(F.col(c).alias(f"__{c}") for c in by), F.col(a).alias("a2"), F.col(b).alias("b2"), F.col(order).alias("o2"))
-    same = F.col(order) < F.col("o2")
-    for c in by:
-        same = same & (F.col(c) == F.col(f"__{c}"))
-    met = ranked.join(other, same)
-    da, db = F.signum(F.col(a) - F.col("a2")), F.signum(F.col(b) - F.col("b2"))
-    tau = met.groupBy(*by).agg(F.sum(da * db).alias("s"), F.sum(F.abs(da)).alias("ta"), F.sum(F.abs(db)).alias("tb"))
-    spread = F.sqrt(F.col("ta") * F.col("tb"))
-    out = rho.join(tau, by, "left")
-    return out.select(*by, "n", F.when(spread > 0, F.col("s") / F.when(spread > 0, spread)).alias("kendall_tau"), F.when(~F.isnan("spearman_rho"), F.col("spearman_rho")).alias("spearman_rho"))
+    pairs or for a column without spread. Rows with a null in either column take no part.
+
+    Discordant pairs are counted without forming pairs: rows in order of a, and for each binary digit
+    of b's rank those that agree in all higher digits; a row whose digit is 0 is passed by the rows
+    before it whose digit is 1. That is n log n rows for n, in place of n^2.
+    """
+    pairs = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    ranked = average_ranks(average_ranks(pairs, by, a, "ra"), by, b, "rb").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    rho = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("spearman_rho"))
+    digits = F.sequence(F.lit(0), F.length(F.bin(2 * F.col("rows"))) - 1)
+    d = ranked.select(*by, "ra", (2 * F.col("rb")).cast("long").alias("v"), F.explode(digits).alias("k"))
+    d = d.select(*by, "ra", "v", "k", F.expr("shiftright(v, k + 1)").alias("high"), F.expr("shiftright(v, k) & 1").alias("digit"))
+    before = Window.partitionBy(*by, "k", "high").orderBy("ra", "v").rowsBetween(Window.unboundedPreceding, -1)
+    passed = d.withColumn("ones", F.coalesce(F.sum("digit").over(before), F.lit(0))).groupBy(*by).agg(F.sum(F.when(F.col("digit") == 0, F.col("ones")).otherwise(0)).alias("apart"))
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    both = ranked.groupBy(*by, "ra", "rb").agg(F.count(F.lit(1)).alias("c"))
+    ties = both.groupBy(*by).agg(two("c").alias("tied"))
+    for rank, name in (("ra", "tied_a"), ("rb", "tied_b")):
+        ties = ties.join(both.groupBy(*by, rank).agg(F.sum("c").alias("c")).groupBy(*by).agg(two("c").alias(name)), by)
+    out = rho.join(passed, by, "left").join(ties, by, "left")
+    pairs_of = F.col("n") * (F.col("n") - 1) / 2
+    spread = F.sqrt((pairs_of - F.col("tied_a")) * (pairs_of - F.col("tied_b")))
+    s = pairs_of - F.col("tied_a") - F.col("tied_b") + F.col("tied") - 2 * F.col("apart")
+    return out.select(*by, "n", F.when(spread > 0, s / F.when(spread > 0, spread)).alias("kendall_tau"), "spearman_rho")
 
 
 def allocate(sizes: DataFrame, stratum: str, size: str, target: int, least: int) -> DataFrame:

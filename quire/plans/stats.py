@@ -176,7 +176,7 @@ CAST(floor(2 * exp(-z * z / 2) / sqrt(2 * pi()) * {_T} * (0.319381530::DOUBLE +
 
 def rank_corr(spark, sf_dir):
     r = runs(spark, sf_dir).withColumn("g", F.col("user_id") % 3)
-    c = S.rank_correlation(r, ["g"], "a", "b", "user_id")
+    c = S.rank_correlation(r, ["g"], "a", "b")
     return c.select("g", "n", micro(F.col("kendall_tau")).alias("tau"), F.floor(F.col("spearman_rho") * 1e5 + 0.5).cast("long").alias("rho"))
 
 

@@ -126,3 +126,28 @@ def test_files(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "csv"))
     files.write_discard(df)
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first().text == 'x"y'
+
+
+def test_rank_correlation_by_pairs(spark):
+    """Tau of groups with ties, without spread, of one row and with nulls, against all pairs of rows."""
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    rows = [(g, rng.randrange(0, 2 + 3 * g), rng.choice([None, *range(1 + g * 5)])) for g in range(9) for _ in range(1 + 17 * g)]
+    rows += [(20, 5, k) for k in range(4)] + [(21, k, -k) for k in range(33)] + [(22, k // 2, k // 3) for k in range(64)]
+    sign = lambda x: (x > 0) - (x < 0)
+    got = {r.g: r for r in S.rank_correlation(spark.createDataFrame(rows, "g int, a int, b int").repartition(5), ["g"], "a", "b").collect()}
+    for g in {r[0] for r in rows}:
+        some = [(a, b) for k, a, b in rows if k == g and b is not None]
+        met = [(sign(x[0] - y[0]), sign(x[1] - y[1])) for i, x in enumerate(some) for y in some[:i]]
+        s, ta, tb = sum(x * y for x, y in met), sum(x * x for x, _ in met), sum(y * y for _, y in met)
+        if some:
+            assert got[g].n == len(some)
+            assert got[g].kendall_tau == (pytest.approx(s / (ta * tb) ** 0.5) if ta * tb else None)
+            assert (got[g].spearman_rho is None) == (ta * tb == 0)
+            if ta * tb:
+                ranks = [[sum((y[c] < x[c]) + (y[c] == x[c]) / 2 for y in some) for x in some] for c in (0, 1)]
+                assert got[g].spearman_rho == pytest.approx(statistics.correlation(*ranks))
+        else:
+            assert g not in got
