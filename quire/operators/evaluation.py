@@ -103,37 +103,73 @@ def tokens_rate(a: Column, b: Column) -> Column:
     return _over(_token_edits(a, b), F.greatest(F.size(a), F.size(b)))
 
 
+#: Texts of more characters are compared by their ends and lengths.
+LONG = 320
+
+
 def normal(text: str | None) -> str:
     """NFC, white space squeezed."""
     return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text or "")).strip()
 
 
+def prepared(items: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Items (type, text) with texts as they are compared: normal, but for tables."""
+    return [(kind, text if kind == "table" else normal(text)) for kind, text in items]
+
+
 def cost(a: tuple[str, str], b: tuple[str, str]) -> float:
-    """Cost of matching two items (type, text) of one type: long texts by their ends and lengths."""
+    """Cost of matching two prepared items of one type: long texts by their ends and lengths."""
     if a[0] == "table":
         return 1.0 - teds(a[1], b[1])
     if a[0] not in ("text", "equation"):
         return 0.0
-    x, y = normal(a[1]), normal(b[1])
+    x, y = a[1], b[1]
     n = max(len(x), len(y))
-    if a[0] == "text" and n > 320:
+    if a[0] == "text" and n > LONG:
         ends = lambda s: f"{s[:160]}\n{s[-160:]}"
         return min(1.0, 0.8 * rate(ends(x), ends(y)) + 0.2 * abs(len(x) - len(y)) / n)
     return rate(x, y)
 
 
+def least_costs(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> np.ndarray:
+    """What each pair of prepared items costs at least; infinite for unequal types. Two texts differ by
+    as many edits, or more, as one has characters that the other lacks (counted by 64 classes)."""
+    def counts(items):
+        out = np.zeros((len(items), 64))
+        for k, (kind, text) in enumerate(items):
+            if kind in ("text", "equation") and text:
+                out[k] = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+        return out
+
+    x, y = counts(a), counts(b)
+    kinds_a, kinds_b = (np.array([kind for kind, _ in items], object) for items in (a, b))
+    out = np.zeros((len(a), len(b)))
+    for i in range(len(a)):
+        more, less = np.maximum(x[i] - y, 0).sum(1), np.maximum(y - x[i], 0).sum(1)
+        n = np.maximum(x[i].sum(), y.sum(1))
+        ends = (kinds_a[i] == "text") & (n > LONG)
+        bound = np.where(ends, 0.2 * np.abs(x[i].sum() - y.sum(1)), np.maximum(more, less))
+        # texts by their ends: rounding must not lift the bound over the cost
+        out[i] = np.where(kinds_b == kinds_a[i], np.divide(bound, n, out=np.zeros(len(b)), where=n > 0) * np.where(ends, 1 - 1e-12, 1.0), np.inf)
+    return out
+
+
 def align(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tuple[int | None, int | None]]:
     """Cheapest alignment in order: only items of one type match, what is left out costs 1; on
-    ties a match goes before leaving out of a, that before leaving out of b."""
+    ties a match goes before leaving out of a, that before leaving out of b. A pair whose least cost
+    is already dearer than leaving out is not compared."""
+    a, b = prepared(a), prepared(b)
     m, n = len(a), len(b)
+    least = least_costs(a, b)
     best = np.zeros((m + 1, n + 1))
     best[:, 0], best[0, :] = np.arange(m + 1), np.arange(n + 1)
     move = np.full((m + 1, n + 1), 2, np.int8)
     move[1:, 0] = 1
     for i in range(1, m + 1):
         for j in range(1, n + 1):
-            match = best[i - 1, j - 1] + cost(a[i - 1], b[j - 1]) if a[i - 1][0] == b[j - 1][0] else np.inf
-            ways = (match, best[i - 1, j] + 1, best[i, j - 1] + 1)
+            out_a, out_b = best[i - 1, j] + 1, best[i, j - 1] + 1
+            far = best[i - 1, j - 1] + least[i - 1, j - 1] > min(out_a, out_b)
+            ways = (np.inf if far else best[i - 1, j - 1] + cost(a[i - 1], b[j - 1]), out_a, out_b)
             move[i, j] = int(np.argmin(ways))
             best[i, j] = ways[move[i, j]]
     out, i, j = [], m, n
@@ -164,18 +200,30 @@ def align_pages(a: DataFrame, b: DataFrame) -> DataFrame:
     return kept(a).cogroup(kept(b)).applyInPandas(run, "doc_id long, page_idx int, pos_a long, pos_b long")
 
 
+def cheapest(x: list[tuple[str, str]], y: list[tuple[str, str]], most: float) -> list[tuple[int, int]]:
+    """Each prepared item of x in turn with the cheapest open one of y of its type, at most `most`, the
+    first of equals. Pairs are tried in order of their least cost, until that is over the best."""
+    least, used, out = least_costs(x, y), set(), []
+    for i, item in enumerate(x):
+        best = (most, len(y))
+        for j in np.argsort(least[i], kind="stable").tolist():
+            if least[i, j] > best[0]:
+                break
+            if j not in used:
+                best = min(best, (cost(item, y[j]), j))
+        if best[1] < len(y):
+            used.add(best[1])
+            out.append((i, best[1]))
+    return out
+
+
 def match_orders(a: DataFrame, b: DataFrame, most: float = 0.6) -> DataFrame:
     """Items matched by content alone: each of a in turn takes the cheapest open one of b of its
     type (at most `most`). doc_id, page_idx, rank_a, rank_b: what rank correlation compares."""
     def run(key, left, right):
         left, right = left.sort_values("item_pos"), right.sort_values("item_pos")
-        x, y = list(zip(left["type"], left["text"])), list(zip(right["type"], right["text"]))
-        used, rows = set(), []
-        for i, item in enumerate(x):
-            found = min(((cost(item, other), j) for j, other in enumerate(y) if j not in used and other[0] == item[0]), default=None)
-            if found and found[0] <= most:
-                used.add(found[1])
-                rows.append((key[0], key[1], i, found[1]))
+        x, y = prepared(list(zip(left["type"], left["text"]))), prepared(list(zip(right["type"], right["text"])))
+        rows = [(key[0], key[1], i, j) for i, j in cheapest(x, y, most)]
         return pd.DataFrame(rows, columns=["doc_id", "page_idx", "rank_a", "rank_b"])
     keys = ["doc_id", "page_idx"]
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, "doc_id long, page_idx int, rank_a long, rank_b long")

@@ -151,3 +151,30 @@ def test_rank_correlation_by_pairs(spark):
                 assert got[g].spearman_rho == pytest.approx(statistics.correlation(*ranks))
         else:
             assert g not in got
+
+
+def test_bounds_change_no_alignment(monkeypatch):
+    """Alignments and matches with least costs are those without any, and fewer pairs are compared."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(12)
+    words = ["größe", "table", "of", "many", "plain", "words", "x", "𝛼𝛽", ""]
+    def items():
+        long = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 8, 90])))
+        return [(rng.choice(["text", "text", "equation", "image", None, ""]), rng.choice([None, long(), long(), long()])) for _ in range(rng.randrange(0, 12))]
+    def copy(a):
+        return [(k, t if rng.random() < 0.5 else (t or "").replace("o", "a")) for k, t in a if rng.random() < 0.8] + items()[:2]
+    pages = [(a, copy(a)) for a in (items() for _ in range(150))]
+    bounds, tried, price = E.least_costs, [0], E.cost
+    monkeypatch.setattr(E, "cost", lambda x, y: (tried.__setitem__(0, tried[0] + 1), price(x, y))[1])
+    run = lambda: [(E.align(a, b), E.cheapest(E.prepared(a), E.prepared(b), 0.6)) for a, b in pages]
+    for a, b in pages:
+        a, b = E.prepared(a), E.prepared(b)
+        low = bounds(a, b)
+        assert all(low[i, j] <= price(x, y) if x[0] == y[0] else low[i, j] == np.inf for i, x in enumerate(a) for j, y in enumerate(b))
+    got, few = run(), tried[0]
+    tried[0] = 0
+    monkeypatch.setattr(E, "least_costs", lambda a, b: np.array([[0.0 if x[0] == y[0] else np.inf for y in b] for x in a]).reshape(len(a), len(b)))
+    assert run() == got and few < 0.75 * tried[0]
