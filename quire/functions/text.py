@@ -136,20 +136,22 @@ def store_path(path: Column) -> dict[str, Column]:
     }
 
 
-def column_name(index: Column, letters: int = 4) -> Column:
-    """0 to A, 25 to Z, 26 to AA; of at most `letters` letters."""
-    abc = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    out, rest = F.lit(""), index.cast("long") + 1
-    for _ in range(letters):
-        at = F.when(rest > 0, (rest - 1) % 26)
-        out = F.concat(F.coalesce(F.substring(abc, (at + 1).cast("int"), F.lit(1)), F.lit("")), out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
-    return out
+def column_name(index: Column) -> Column:
+    """0 to A, 25 to Z, 26 to AA, however many letters it takes; below 0 none."""
+    abc, n = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), index.cast("long") + 1
+
+    def letter(k: int) -> Column:
+        # A name has a k-th letter from the right on from 1 + 26 + ... + 26^k; fourteen hold any long.
+        least = (26 ** (k + 1) - 1) // 25
+        at = F.call_function("div", n - least, F.lit(26**k)) % 26
+        return F.when(n >= least, F.substring(abc, (at + 1).cast("int"), F.lit(1))).otherwise(F.lit(""))
+
+    return F.concat(*(letter(k) for k in reversed(range(14))))
 
 
-def letter_number(value: Column, letters: int = 4) -> Column:
+def letter_number(value: Column) -> Column:
     """1 to a, 26 to z, 27 to aa; below 1 counts as 1."""
-    return F.lower(column_name(F.greatest(value, F.lit(1)) - 1, letters))
+    return F.lower(column_name(F.greatest(value, F.lit(1)) - 1))
 
 
 def roman_number(value: Column) -> Column:
