@@ -164,14 +164,16 @@ def roman_number(value: Column) -> Column:
 
 
 def excel_date(serial: Column, from_1904: bool = False) -> Column:
-    """Serial day number to ISO date, or date and time if it has a part of a day."""
+    """Serial day number to ISO date, or date and time if it has a part of a day. Years of more than
+    four digits have no sign."""
     # The 1900 calendar counts a 29 February 1900 that never was.
     whole = F.floor(serial).cast("int")
     days = whole if from_1904 else F.when(whole < 60, whole + 1).otherwise(whole)
     day = F.date_add(F.lit("1904-01-01" if from_1904 else "1899-12-30").cast("date"), days)
     seconds = F.floor((serial - F.floor(serial)) * 86400 + 0.5).cast("long")
     clock = F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600).cast("int"), (F.floor(seconds / 60) % 60).cast("int"), (seconds % 60).cast("int"))
-    return F.when(seconds == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), clock))
+    date = F.ltrim(F.date_format(day, "yyyy-MM-dd"), F.lit("+"))
+    return F.when(seconds == 0, date).otherwise(F.concat(date, F.lit(" "), clock))
 
 
 def edit_rate(a: Column, b: Column) -> Column:
