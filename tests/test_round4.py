@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import greedy as Y
 from quire.plans import documents
 
 
@@ -42,3 +43,18 @@ def test_dates_after_the_year_9999(spark):
     got = one(spark, F.array(T.excel_date(F.lit(2958465.0)), T.excel_date(F.lit(2958466.0)), T.excel_date(F.lit(10256460.25))))
     assert got[:2] == ["9999-12-31", "10000-01-01"]
     assert got[2].endswith(" 06:00:00") and not got[2].startswith("+")
+
+
+def test_pages_pass_many_in_a_batch(spark):
+    """Pages cut by the ends of batches, one longer than any, one without a number."""
+    rows = [(page, pos, float(pos % 3), 0.0, 10.0 + pos % 3, 10.0) for page, n in ((1, 2), (2, 11), (3, 1), (None, 4), (5, 3), (6, 3)) for pos in range(n)]
+    df = spark.createDataFrame(rows, "page long, pos int, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = Y.row_order(df)
+        got = sorted((r.page or 0, r.order, r.pos) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted((page, k, pos) for page, n in ((1, 2), (2, 11), (3, 1), (0, 4), (5, 3), (6, 3)) for k, pos in enumerate(sorted(range(n), key=lambda p: p % 3)))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # no DataFrame for each page
