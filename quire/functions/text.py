@@ -182,7 +182,7 @@ def edit_rate(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / F.when(n > 0, n))
 
 
-def _given(body, **columns: Column) -> Column:
+def given(body, **columns: Column) -> Column:
     """body of a struct of the columns, each worked out once and not again for each element of an array."""
     return F.transform(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))), body)[0]
 
@@ -193,7 +193,7 @@ def token_coverage(target: Column, candidate: Column) -> Column:
     def share(s):
         hits = F.size(F.filter(s["t"], lambda x: F.array_contains(s["c"], x)))
         return F.when((F.size(s["t"]) == 0) | (F.size(s["c"]) == 0), F.lit(0.0)).otherwise(hits / F.when(F.size(s["t"]) > 0, F.size(s["t"])))
-    return _given(share, t=tokens(target), c=tokens(candidate))
+    return given(share, t=tokens(target), c=tokens(candidate))
 
 
 def comparable(s: Column) -> Column:
@@ -210,7 +210,7 @@ def ordered_coverage(target: Column, candidate: Column) -> Column:
             found = F.array_position(F.slice(t, state["at"] + 1, F.greatest(F.size(t) - state["at"], F.lit(0))), token).cast("int")
             return F.when(found > 0, F.struct((state["hits"] + 1).alias("hits"), (state["at"] + found).alias("at"))).otherwise(state)
         return F.aggregate(both["c"], start, step, lambda s: s["hits"]) / F.size(t)
-    shared = _given(share, t=F.split(comparable(target), " "), c=F.split(comparable(candidate), " "))
+    shared = given(share, t=F.split(comparable(target), " "), c=F.split(comparable(candidate), " "))
     return F.when((comparable(target) == "") | (comparable(candidate) == ""), F.lit(0.0)).otherwise(shared)
 
 

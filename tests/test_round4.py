@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import decoding as D
 from quire.operators import greedy as Y
-from quire.plans import documents
+from quire.plans import documents, text
 
 
 def one(spark, column):
@@ -58,3 +59,20 @@ def test_pages_pass_many_in_a_batch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == sorted((page, k, pos) for page, n in ((1, 2), (2, 11), (3, 1), (0, 4), (5, 3), (6, 3)) for k, pos in enumerate(sorted(range(n), key=lambda p: p % 3)))
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # no DataFrame for each page
+
+
+def test_characters_stay_in_their_line(spark):
+    """No row for each character is sorted or shuffled: words, cells and spans are parts of arrays."""
+    for query in (text.chars_to_text, documents.ctc_words, documents.word_boxes, documents.page_tree):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if ("Sort [" in line or "Window [" in line) and " k#" in line], query
+
+
+def test_words_of_rows_and_of_arrays(spark):
+    rows = [(1, k, c, 2 * k + (9 if k > 6 else 0)) for k, c in enumerate(" ab  c表格de ")] + [(2, 0, " ", 0), (3, 4, "x", 1)]
+    df = spark.createDataFrame(rows, "line long, k int, ch string, col int")
+    got = sorted((r.line, r.k, r.word, r.first, r.last, r.cjk) for r in D.words(df.repartition(3), ["line"]).collect())
+    assert got == [(1, 1, "ab", 2, 4, False), (1, 5, "c", 10, 10, False), (1, 6, "表", 12, 12, True), (1, 7, "格", 23, 23, True), (1, 8, "de", 25, 27, False), (3, 4, "x", 1, 1, False)]
+    pages = spark.createDataFrame([(1, line, k, c, "d" if c.isdigit() else "l", line == 2) for line, t in enumerate(["a1b", "22", "c"]) for k, c in enumerate(t)], "page long, line int, k int, ch string, font string, gap boolean")
+    tree = D.tree(pages.repartition(3), ["page"], "line").first().blocks
+    assert [[[(s.font, s.text) for s in one.spans] for one in b.lines] for b in tree] == [[[("l", "a"), ("d", "1"), ("l", "b")], [("d", "22")]], [[("l", "c")]]]
