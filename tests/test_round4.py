@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import decoding as D
+from quire.operators import evaluation as E
 from quire.operators import greedy as Y
 from quire.plans import documents, text
 
@@ -76,3 +77,10 @@ def test_words_of_rows_and_of_arrays(spark):
     pages = spark.createDataFrame([(1, line, k, c, "d" if c.isdigit() else "l", line == 2) for line, t in enumerate(["a1b", "22", "c"]) for k, c in enumerate(t)], "page long, line int, k int, ch string, font string, gap boolean")
     tree = D.tree(pages.repartition(3), ["page"], "line").first().blocks
     assert [[[(s.font, s.text) for s in one.spans] for one in b.lines] for b in tree] == [[[("l", "a"), ("d", "1"), ("l", "b")], [("d", "22")]], [[("l", "c")]]]
+
+
+def test_both_likenesses_of_tables_at_once(spark):
+    cell = lambda n, tag="td": "<table>" + "".join(f"<tr><{tag}>{k}</{tag}><td>x</td></tr>" for k in range(n)) + "</table>"
+    pairs = [(cell(n), cell(m, tag)) for n in range(4) for m in range(4) for tag in ("td", "th")] + [(None, ""), (None, "x"), (cell(2), None), (cell(2).replace("x", "y"), cell(2))]
+    got = spark.createDataFrame(pairs, "a string, b string").coalesce(1).select("a", "b", E.teds_columns(F.col("a"), F.col("b")).alias("v")).select("a", "b", "v.*").collect()
+    assert [tuple(r) for r in got] == [(a, b, E.teds(a, b), E.teds(a, b, False)) for a, b in pairs]
