@@ -110,6 +110,25 @@ def test_every_page_of_every_document_is_aligned(spark, tmp_path, name):
         assert sum(r.pos_a is not None for r in rows) == 3 * 70
 
 
+@pytest.mark.parametrize("name", ["align_page", "align_docs", "order_corr"])
+def test_many_pages_pass_in_a_call(spark, name):
+    """Pages go to Python many in a batch: no group of rows is handed over on its own."""
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan and "ArrowEvalPython" in plan
+
+
+def test_alignment_compares_few_texts(monkeypatch):
+    """Of 30 texts with 30 like them only those are compared that a cheapest alignment may hold."""
+    from quire.operators import evaluation as E
+
+    tried, price = [], E.cost
+    monkeypatch.setattr(E, "cost", lambda x, y: (tried.append(1), price(x, y))[1])
+    a = [("text", f"{k} " + f"words of line {k * k} and more {k % 7} " * 6) for k in range(30)]
+    b = [(t, x.replace("e", "a") if k % 5 == 0 else x) for k, (t, x) in enumerate(a) if k % 7 != 6]
+    left = [k for k in range(30) if k % 7 != 6]
+    assert [p for p in E.align(a, b) if None not in p] == [(k, j) for j, k in enumerate(left)] and len(tried) < 3 * len(b)
+
+
 @pytest.mark.parametrize("name", ["teds", "header_prefix", "table_grid"])
 def test_tables_of_far_orders(spark, far, name):
     df = catalog.queries()[name](spark, far)
