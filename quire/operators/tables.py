@@ -11,6 +11,7 @@ import html as _html
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,7 +28,7 @@ HEADING, WIDTH = 5, 0.1
 _SHOWN = {"img", "svg", "math", "eq", "table", "figure", "object", "embed", "canvas"}
 
 
-@dataclass
+@dataclass(slots=True)
 class Cell:
     tag: str
     attrs: list[tuple[str, str | None]]
@@ -36,6 +37,8 @@ class Cell:
     shown: bool = False  # holds something to see that is no text
 
     def span(self, name: str) -> int:
+        if not self.attrs:
+            return 1
         value = dict(self.attrs).get(name) or "1"
         return int(value) if value.strip().isdigit() else 1
 
@@ -54,6 +57,8 @@ class Cell:
     @property
     def plain(self) -> str:
         """Text to compare: half-width, without white space."""
+        if self.text.isascii():
+            return "".join(self.text.split())
         return "".join(self.text.translate(_TO_HALF).split())
 
     @property
@@ -123,11 +128,46 @@ class _Reader(HTMLParser):
         self._keep(f"&#{name};", _html.unescape(f"&#{name};"))
 
 
+#: Tables whose rows and cells are closed and hold text and plain tags of one word: a pattern reads
+#: them as the parser does. Names are in lower case, values in double quotes, without entities.
+_PIECE = re.compile(
+    r'(<(t[dh])((?: [a-z]+="[^"&]*")*)>([^<&]*(?:</?(?:b|i|u|em|strong|sub|sup|p|span)>[^<&]*)*)</\2>'
+    r"|<tr>|</tr>|</?t(?:head|body|foot)>)"
+)
+_ATTRIBUTE = re.compile(r' ([a-z]+)="([^"]*)"')
+_TAG = re.compile("<[^>]*>")
+
+
+def _plain_rows(html: str) -> list[list[Cell]] | None:
+    """Rows of a table without anything but closed rows and cells; None for what only a parser can read."""
+    if not (html.startswith("<table>") and html.endswith("</table>")):
+        return None
+    rows, row, left = [], None, len(html) - 15
+    for piece, tag, attrs, inner in _PIECE.findall(html, 7, len(html) - 8):
+        left -= len(piece)
+        if tag:
+            if row is None:
+                return None
+            row.append(Cell(tag, _ATTRIBUTE.findall(attrs) if attrs else [], inner, _TAG.sub("", inner) if "<" in inner else inner))
+        elif piece == "</tr>" and row is not None:
+            row = None
+        elif row is not None or piece == "</tr>":
+            return None
+        elif piece == "<tr>":
+            rows.append(row := [])
+    return rows if not left and row is None else None  # nothing lies between pieces
+
+
 def read_rows(html: str | None) -> list[list[Cell]]:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    return reader.rows
+    """Rows of the outermost table."""
+    html = html or ""
+    rows = _plain_rows(html)
+    if rows is None:
+        reader = _Reader()
+        reader.feed(html)
+        reader.close()
+        rows = reader.rows
+    return rows
 
 
 def write_rows(rows: list[list[Cell]]) -> str:
@@ -142,7 +182,7 @@ class Grid:
     begins: list[list[int]]
     beyond: int  # rightmost place that spans reach below the last row
 
-    @property
+    @cached_property
     def reach(self) -> list[int]:
         return [max(c, default=-1) + 1 for c in self.covers]
 
@@ -153,7 +193,7 @@ class Grid:
     def parts(self, r: int) -> int:
         """Cells that show in a row, with those that hang in from above."""
         row = self.covers[r]
-        return sum(c in row and row.get(c - 1) != row[c] for c in range(max(row, default=-1) + 1))
+        return sum(row.get(c - 1) != owner for c, owner in row.items())
 
 
 def lay(rows: list[list[Cell]]) -> Grid:
@@ -165,9 +205,14 @@ def lay(rows: list[list[Cell]]) -> Grid:
             while at in held[r]:
                 at += 1
             here.append(at)
+            if not cell.attrs:
+                held[r][at] = r, k
+                at += 1
+                continue
+            cols = cell.cols
             for below in range(r, r + cell.rows):
-                held[below].update(dict.fromkeys(range(at, at + cell.cols), (r, k)))
-            at += cell.cols
+                held[below].update(dict.fromkeys(range(at, at + cols), (r, k)))
+            at += cols
         begins.append(here)
     beyond = max((max(c, default=-1) + 1 for r, c in held.items() if r >= len(rows)), default=0)
     return Grid([held[r] for r in range(len(rows))], begins, beyond)
@@ -195,8 +240,8 @@ def shared_heading(a: Table, b: Table) -> int:
         n = 0
         while n < most:
             x, y = a.rows[n], b.rows[n]
-            alike = [c.plain for c in x] == [c.plain for c in y] and a.grid.reach[n] == b.grid.reach[n]
-            if not alike or strict and spans(x) != spans(y):
+            alike = a.grid.reach[n] == b.grid.reach[n] and ([c.text for c in x] == [c.text for c in y] or [c.plain for c in x] == [c.plain for c in y])
+            if not alike or strict and [c.attrs for c in x] != [c.attrs for c in y] and spans(x) != spans(y):
                 break
             n += 1
         if n:

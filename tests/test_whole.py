@@ -191,3 +191,26 @@ def test_text_functions_reach_the_end(spark, tmp_path):
     assert t("full_to_half") == end and t("cell_text") == end.replace(" ", "")
     assert t("md_escape").endswith("\\*a\\* <b> & aC0,") and t("html_escape").endswith(" *a* &lt;b&gt; &amp; aC0,")
     assert t("ligatures").endswith(end) and t("md_style") == f"***{end}***" and t("md_plain").endswith("x a & aC0")
+
+
+def test_plain_tables_need_no_parser(monkeypatch):
+    """Closed rows and cells of text are read by a pattern, with the rows that the parser gives; what
+    is not plain goes to the parser."""
+    from quire.operators import tables as H
+
+    def parsed(html):
+        reader = H._Reader()
+        reader.feed(html)
+        reader.close()
+        return reader.rows
+
+    row = '<tr><th rowspan="2">k</th><td colspan="2" class="a b">1 <b>of</b> 2 > 1</td></tr>'
+    plain = ["<table></table>", f"<table>{row}<tr></tr></table>", f"<table><thead>{row}</thead><tbody>{row}</tbody></table>"]
+    other = ["", "<table><tr><td>a<tr><td>b</table>", "<table><tr><td>a&amp;b</td></tr></table>", "<table>x<tr><td>a</td></tr></table>", "<table><tr><td>a</tr></td></table>",
+             "<table><tr><td><table><tr><td>a</td></tr></table></td></tr></table>", "<table><tr><TD>a</TD></tr></table>", "<table><td>a</td></table>", "<table><tr><tr><td>a</td></tr></table>", '<table><tr><td><img src="a"></td></tr></table>']
+    for html in plain + other:
+        assert H.read_rows(html) == parsed(html), html
+    expected = [parsed(h) for h in plain]
+    monkeypatch.setattr(H, "_Reader", None)
+    assert [H.read_rows(h) for h in plain] == expected
+    assert H.shared_heading(*(H.Table(H.read_rows(plain[2])) for _ in range(2))) == 2
