@@ -2,17 +2,20 @@
 
 A map is given as runs (page, y, x0, x1, score): the pixels x0 to x1 of row y have that score; what no
 run names has none. Runs of a page do not overlap. Pixels are joined to components, each component
-has a least rectangle, and rectangles are scored, grown and scaled. Everything is joins, windows and
-expressions; no page is collected, and work follows runs, not pixels.
+has a least rectangle, and rectangles are scored, grown and scaled. Components take one pass over the
+runs of a page, many pages in a batch; the rest is joins, windows and expressions, and work follows
+runs, not pixels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.greedy import by_page
 from quire.operators.reading import cut_lineage
 
 #: A pixel counts above THRESH, a box from SCORE on; GROW scales the distance by which
@@ -38,22 +41,33 @@ def mask(runs: DataFrame, shapes: DataFrame, thresh: float = THRESH, dilate: boo
 
 def components(runs: DataFrame) -> DataFrame:
     """Adds `component`, the least id of the runs that a run is joined to by runs that touch in rows
-    next to each other, at corners too. Rounds: each run takes the least label near it, then the
-    label of its label; labels stand still after a few."""
-    runs = cut_lineage(runs)
-    a = runs.select("page", "y", F.col("id").alias("u"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = runs.select("page", (F.col("y") - 1).alias("y"), F.col("id").alias("v"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    links = a.join(b, ["page", "y"]).where("a0 <= b1 + 1 AND b0 <= a1 + 1").select("page", "u", "v")
-    links = cut_lineage(links.unionByName(links.select("page", F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = runs.withColumn("label", F.col("id"))
-    while True:
-        near = links.join(labels.select("page", F.col("id").alias("v"), "label"), ["page", "v"]).groupBy("page", F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        now = labels.join(near, ["page", "id"], "left").withColumn("now", F.least("label", "near"))
-        far = now.select("page", F.col("id").alias("now"), F.col("now").alias("far"))
-        now = cut_lineage(now.join(far, ["page", "now"]).select("page", "id", "y", "x0", "x1", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")))
-        still, labels = now.where("moved").isEmpty(), now.drop("moved")
-        if still:
-            return labels.withColumnRenamed("label", "component")
+    next to each other, at corners too. One pass over the runs of a page from top to bottom, in the
+    order of id: each run is united with those of the row above that it touches."""
+    def run(page):
+        y, x0, x1 = (page[c].tolist() for c in ("y", "x0", "x1"))
+        up = list(range(len(y)))
+
+        def top(k):
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        above, end, start = 0, 0, 0  # the row above is above..end, this row begins at start
+        for i in range(len(y)):
+            if i and y[i] != y[i - 1]:
+                above, end, start = (start, i, i) if y[i] == y[i - 1] + 1 else (i, i, i)
+            while above < end and x1[above] + 1 < x0[i]:
+                above += 1
+            k = above
+            while k < end and x0[k] <= x1[i] + 1:
+                a, b = top(k), top(i)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                k += 1
+        return np.arange(len(y)), {"component": page["pos"][[top(k) for k in range(len(y))]]}
+
+    columns = ", ".join(f"{name} {kind}" for name, kind in runs.dtypes)
+    return by_page(runs.withColumn("pos", F.col("id")), run, ["pos", "y", "x0", "x1"], f"{columns}, component {dict(runs.dtypes)['id']}")
 
 
 def _chain(points: Column) -> Column:

@@ -120,3 +120,11 @@ def test_long_chains_and_empty_maps(spark):
     per = D.components(D.mask(spark.createDataFrame(wall + comb, RUNS), shapes)).select("page", "component").distinct().groupBy("page").count().collect()
     assert {tuple(r) for r in per} == {(1, 1), (2, 1)}
     assert D.text_boxes(spark.createDataFrame([], RUNS), shapes).collect() == []
+
+
+def test_components_take_no_rounds(spark):
+    """A snake of 300 rows is one component, found in one pass: no job runs before the result is read."""
+    runs = [(1, y * (1 << 32) + x, y, x, x) for y in range(300) for x in [y % 2]] + [(1, 900 * (1 << 32), 900, 0, 5)]
+    plan = D.components(spark.createDataFrame(runs, "page long, id long, y long, x0 long, x1 long"))
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r.component: r["count"] for r in plan.groupBy("component").count().collect()} == {0: 300, 900 * (1 << 32): 1}
