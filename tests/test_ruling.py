@@ -1,11 +1,16 @@
 """Cells from ruling lines: random tables with joined cells are drawn, broken and shaken, and come back."""
 
+import os
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from quire.operators import ruling as G
+from quire.plans import ruling as R
+
+SF = "/root/testdata/sf0.001"
 
 
 def random_table(rng):
@@ -83,3 +88,21 @@ def test_open_faces_are_no_cells(spark):
     assert cells(box[:3]) == []
     assert sorted(cells([*box, (50, 0, 50, 50)])) == [(0, 0, 1, 1), (0, 1, 1, 1)]
     assert cells([*box, (50, 0, 50, 20)]) == [(0, 0, 1, 1)]  # a stroke from the edge
+
+
+def test_pages_pass_in_slices(monkeypatch):
+    rng = random.Random(4)
+    tables = [t for t in (random_table(rng) for _ in range(40)) if whole(*t)]
+    rows = [(page, *map(float, s)) for page, t in enumerate(tables) for s in draw(rng, *t)]
+    batch = pa.RecordBatch.from_pydict({"segments": [[dict(zip(("x0", "y0", "x1", "y1"), r[1:])) for r in rows if r[0] == page] + [None, {"x0": 1.0, "y0": None, "x1": 3.0, "y1": 1.0}] for page in range(len(tables))] + [None, []]})
+    found = lambda: sorted(r for s in G.listed(batch) for r in zip(*(v.tolist() for v in G._cells(*s, near=G.NEAR, join=G.JOIN, reach=G.REACH))))
+    at_once = found()
+    assert [(r[0], *r[1:5]) for r in at_once] == sorted((page, *c) for page, (cells, *_) in enumerate(tables) for c in cells)
+    monkeypatch.setattr(G, "_AT_ONCE", 7)  # a page at a time, a piece at a time
+    assert found() == at_once
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_only_boxes_are_shuffled(spark):
+    plan = R.ruling_cells(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ExistingRDD" not in plan
