@@ -1,34 +1,85 @@
 """HTML tables as rows of cells: where each cell lies among spans, what holds each place, segments of
 rows as they are drawn, pipe tables.
 
-Tables never meet. A cell's column depends on all cells before it in its table: one fold over the
-spans of a table in the JVM (three numbers a cell); everything else is joins and windows.
+Tables never meet. The cells of a table are an array, read by patterns; its columns, where a cell
+depends on all before it, and its pipes are one pass over that array, many tables in a batch. Places
+and segments are windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed values of the format: the most columns and rows that one cell may span.
 MOST_COLS, MOST_ROWS = 1000, 65534
+#: Characters of pipe tables that leave Python together (or one table).
+_TEXT = 8 << 20
 
-_ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|</table\s*>|$)"
-_CELL = r"(?is)<(t[dh])\b([^>]*)>(.*?)(?=<t[dhr]\b|</t[dhr]\s*>|</table\s*>|$)"
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+# White space is that of HTML. What follows a tag is text, or a tag that ends nothing, and is not
+# looked at twice.
+_S = r"[ \t\n\v\f\r]*"
+_ROW = re.compile(rf"(?i)<tr\b[^>]*>((?:[^<]++|<(?!tr\b|/tr{_S}>|/table{_S}>))*+)")
+_CELL = re.compile(rf"(?i)<(t[dh])\b([^>]*)>((?:[^<]++|<(?!t[dhr]\b|/t[dhr]{_S}>|/table{_S}>))*+)")
+_DOWN, _ACROSS = (re.compile(rf"\b(?i:{side})[sS](?i:pan){_S}={_S}[\"']?{_S}([0-9]+)") for side in ("row", "col"))
+_TAG, _SPACE = re.compile("<[^>]*>"), re.compile("[ \t\n\v\f\r\u00a0]+")
+Step = tuple[int, int, bool, int, int, str]
 
 
-def _span(attributes: Column, name: str, most: int) -> Column:
-    found = F.regexp_extract(attributes, rf"(?i)\b{name}\s*=\s*[\"']?\s*(\d+)", 1)
-    return F.least(F.greatest(F.coalesce(found.try_cast("int"), F.lit(1)), F.lit(1)), F.lit(most))
+def _span(found: re.Match | None, most: int) -> int:
+    digits = found[1].lstrip("0") if found else ""
+    n = int(digits) if 0 < len(digits) < 11 else 1
+    return min(n, most) if n < 1 << 31 else 1  # more is no number of 32 bits
 
 
-def plain(body: Column) -> Column:
+def plain(body: str) -> str:
     """A cell's text: no tags, the common entities decoded, white space as single spaces."""
-    out = F.regexp_replace(body, "<[^>]*>", "")
-    for name, sign in _ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
+    out = _TAG.sub("", body) if "<" in body else body
+    if "&" in out:
+        for name, sign in _ENTITIES:
+            out = out.replace(name, sign)
+    return _SPACE.sub(" ", out).strip(" ")
+
+
+def cells_of(html: str) -> list[Step]:
+    """row_no, cell, header, rowspan, colspan, text of a table's cells in their order."""
+    out = []
+    for row_no, row in enumerate(_ROW.finditer(html)):
+        for n, (tag, attributes, body) in enumerate(_CELL.findall(row[1])):
+            out.append((row_no, n, tag[1] in "hH", _span(_DOWN.search(attributes), MOST_ROWS), _span(_ACROSS.search(attributes), MOST_COLS), plain(body)))
+    return out
+
+
+def _packed(tables: DataFrame, key: str, html: str, placed: bool) -> DataFrame:
+    """key, steps: cells of each table as one array, in their order; placed: with `col`."""
+    kinds = [("row_no", pa.int32()), ("cell", pa.int32()), ("header", pa.bool_()), ("rowspan", pa.int32()), ("colspan", pa.int32()), ("text", pa.string()), ("col", pa.int32())][: 7 if placed else 6]
+
+    @F.arrow_udf("array<struct<row_no:int,cell:int,header:boolean,rowspan:int,colspan:int,text:string" + (",col:int>>" if placed else ">>"))
+    def steps(html: pa.Array) -> pa.Array:
+        ends, found = [0], [[] for _ in kinds]
+        for text in html.to_pylist():
+            fields = list(zip(*cells_of(text))) if text else []
+            if fields and placed:
+                fields.append(columns_of(zip(fields[0], fields[3], fields[4])))
+            for values, more in zip(found, fields):
+                values.extend(more)
+            ends.append(len(found[0]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(found, kinds)], [n for n, _ in kinds]))
+
+    return tables.select(key, steps(F.col(html)).alias("steps"))
+
+
+def _rows(packed: DataFrame, key: str) -> DataFrame:
+    # outer, as the array would else be looked at by a filter for empty ones too
+    return packed.select(key, F.inline_outer("steps")).where("row_no IS NOT NULL")
 
 
 def cells(tables: DataFrame, key: str, html: str) -> DataFrame:
@@ -40,37 +91,79 @@ def cells(tables: DataFrame, key: str, html: str) -> DataFrame:
     each of their own only if the key tells them apart: keys must be unique, and for what follows not null
     (cells without a key are left out there).
     """
-    r = tables.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_ROW), 1)).alias("row_no", "body"))
-    c = r.select(key, "row_no", F.posexplode(F.regexp_extract_all("body", F.lit(_CELL), 0)).alias("cell", "raw"))
-    part = lambda n: F.regexp_extract("raw", _CELL, n)
-    return c.select(key, "row_no", "cell", (F.lower(part(1)) == "th").alias("header"), _span(part(2), "rowspan", MOST_ROWS).alias("rowspan"), _span(part(2), "colspan", MOST_COLS).alias("colspan"), plain(part(3)).alias("text"))
+    return _rows(_packed(tables, key, html, False), key)
+
+
+def _collected(cells: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in cells.columns if c not in (key, "row_no", "cell")]
+    return cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_no", "cell", *rest))).alias("steps"))
+
+
+def columns_of(steps: Iterable[tuple[int, int, int]]) -> list[int]:
+    """The columns of cells (row, rowspan, colspan) in their order; busy holds the last row that the
+    cells so far reach down to, by column."""
+    busy: list[int] = []
+    out, row, at = [], -1, 0
+    for row_no, down, across in steps:
+        if row_no != row:
+            row, at = row_no, 0
+        while at < len(busy) and busy[at] >= row:
+            at += 1
+        out.append(at)
+        end, last = at + across, row + down - 1
+        busy += [-1] * (end - len(busy))
+        busy[at:end] = [max(b, last) for b in busy[at:end]]
+        at = end
+    return out
+
+
+def pipe_table(steps: list[tuple[int, int, int, int, str | None]]) -> str:
+    """Cells (row, rowspan, colspan, column, text) in their order, one at least, as a pipe table. A
+    cell's first place is always its own: later cells of its row begin after it."""
+    width, last = max(s[3] + s[2] for s in steps), steps[-1][0]
+    lines: dict[int, list[str]] = {}
+    before, reach = steps[0][0], -1
+    for row, down, _, at, text in steps:
+        if row not in lines:
+            for between in range(before + 1, min(reach, row - 1) + 1):
+                lines[between] = [""] * width
+            before = row
+            lines[row] = [""] * width
+        lines[row][at] = (text or "").replace("|", "\\|")
+        reach = max(reach, min(row + down - 1, last))
+    first, *more = ("| " + " | ".join(line) + " |" for line in lines.values())
+    return "\n".join([first, "| " + " | ".join(["---"] * width) + " |", *more])
+
+
+def _fields(steps: pa.Array, *names: str) -> Iterator[list[tuple]]:
+    """Fields of the structs in each array."""
+    inner = steps.flatten()
+    values = inner.flatten()
+    each = zip(*(values[inner.type.get_field_index(n)].to_pylist() for n in names))
+    for n in pc.fill_null(pc.list_value_length(steps), 0).to_pylist():
+        yield list(islice(each, n))
+
+
+def _placed(packed: DataFrame, key: str) -> DataFrame:
+    @F.arrow_udf("array<int>")
+    def columns(steps: pa.Array) -> pa.Array:
+        return pa.array([columns_of(s) for s in _fields(steps, "row_no", "rowspan", "colspan")], pa.list_(pa.int32()))
+
+    names = packed.schema["steps"].dataType.elementType.names
+    z = packed.withColumn("cols", columns("steps")).select(key, F.explode_outer(F.arrays_zip("steps", "cols")).alias("z")).where("z.cols IS NOT NULL")
+    return z.select(key, *(F.col(f"z.steps.{c}").alias(c) for c in names), F.col("z.cols").alias("col"))
 
 
 def place(cells: DataFrame, key: str) -> DataFrame:
     """cells with `col`, the column at which each begins: the first one, after the cell before it in
     its row, that no cell of an earlier row reaches down to. A cell that spans columns covers them
     even where an earlier one reaches into them."""
-    rest = [c for c in cells.columns if c not in (key, "row_no", "cell")]
-    t = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_no", "cell", *rest))).alias("steps"))
-
-    def step(acc, s):
-        now = F.when(acc["row"] == s["row_no"], acc["next"]).otherwise(0)
-        free = F.filter(F.sequence(now, F.greatest(F.size(acc["busy"]), now)), lambda c: F.coalesce(F.get(acc["busy"], c), F.lit(-1)) < s["row_no"])
-        held = lambda c: F.coalesce(F.get(acc["busy"], c), F.lit(-1))
-
-        def put(at):
-            after = at + s["colspan"]
-            covered = lambda c: F.when((c >= at) & (c < after), F.greatest(held(c), s["row_no"] + s["rowspan"] - 1)).otherwise(held(c))
-            busy = F.transform(F.sequence(F.lit(0), F.greatest(F.size(acc["busy"]), after) - 1), covered)
-            return F.struct(s["row_no"].alias("row"), after.alias("next"), busy.alias("busy"), F.concat(acc["cols"], F.array(at)).alias("cols"))
+    return _placed(_collected(cells, key), key)
 
-        return F.get(F.transform(F.array(F.array_min(free)), put), F.lit(0))  # the place is worked out once
 
-    none = F.array().cast("array<int>")
-    begin = F.struct(F.lit(-1).alias("row"), F.lit(0).alias("next"), none.alias("busy"), none.alias("cols"))
-    cols = F.aggregate("steps", begin, step, lambda acc: acc["cols"])
-    z = t.select(key, F.explode(F.arrays_zip("steps", cols.alias("cols"))).alias("z"))
-    return z.select(key, *(F.col(f"z.steps.{c}").alias(c) for c in ("row_no", "cell", *rest)), F.col("z.cols").alias("col"))
+def place_tables(tables: DataFrame, key: str, html: str) -> DataFrame:
+    """place(cells(tables)) in one pass over a table."""
+    return _rows(_packed(tables, key, html, True), key)
 
 
 def owners(placed: DataFrame, key: str) -> DataFrame:
@@ -96,17 +189,40 @@ def segments(placed: DataFrame, key: str) -> DataFrame:
     return n.select(key, "row_no", "segments", F.max("reach").over(upto).alias("width"))
 
 
+def _piped(tables: DataFrame, key: str, read: Callable[[pa.Array], Iterable[list[tuple]]]) -> DataFrame:
+    """key, md of tables of two columns; read takes each table's cells, as pipe_table wants them, from
+    the second."""
+    out = tables.select(key, F.lit("").alias("md")).schema
+
+    def piped(batches):
+        arrow = to_arrow_schema(out)
+        for batch in batches:
+            taken, made, long = [], [], 0
+            for k, steps in enumerate(read(batch[1]), 1):
+                if steps:
+                    taken.append(k - 1)
+                    made.append(pipe_table(steps))
+                    long += len(made[-1])
+                if made and (long > _TEXT or k == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(taken)).cast(arrow[0].type), pa.array(made, arrow[1].type)], schema=arrow)
+                    taken, made, long = [], [], 0
+
+    return tables.where(F.col(key).isNotNull()).mapInArrow(piped, out)
+
+
 def markdown(placed: DataFrame, key: str) -> DataFrame:
     """key, md: the pipe table. Each text stands at its cell's first place, the other places of a span
     are empty, all rows have the table's width, and the first row that has cells is the heading."""
-    o = owners(placed, key)
-    texts = placed.select(key, F.col("row_no").alias("own_row"), F.col("cell").alias("own_cell"), F.col("row_no").alias("top"), F.col("col").alias("left"), F.replace("text", F.lit("|"), F.lit("\\|")).alias("text"))
-    g = o.join(texts, [key, "own_row", "own_cell"])
-    g = g.withColumn("text", F.when((F.col("row_no") == F.col("top")) & (F.col("col") == F.col("left")), F.col("text")).otherwise(""))
-    g = g.groupBy(key, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("at"), F.max("col").alias("most"))
-    g = g.withColumn("most", F.max("most").over(Window.partitionBy(key)))
-    line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), "most"), lambda c: F.coalesce(F.try_element_at("at", c), F.lit(""))), " | "), F.lit(" |"))
-    g = g.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_no", line.alias("line")))).alias("lines"), F.max("most").alias("most"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("most") + 1), " | "), F.lit(" |"))
-    lines = F.transform("lines", lambda s: s["line"])
-    return g.select(key, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n").alias("md"))
+    fields = ("row_no", "rowspan", "colspan", "col", "text")
+    return _piped(_collected(placed.select(key, "cell", *fields), key), key, lambda steps: _fields(steps, *fields))
+
+
+def markdown_tables(tables: DataFrame, key: str, html: str) -> DataFrame:
+    """markdown(place(cells(tables))) in one pass over a table."""
+    def read(column):
+        for text in column.to_pylist():
+            found = cells_of(text) if text else []
+            cols = columns_of((s[0], s[3], s[4]) for s in found)
+            yield [(row, down, across, col, body) for (row, _, _, down, across, body), col in zip(found, cols)]
+
+    return _piped(tables.select(key, html), key, read)

@@ -27,7 +27,7 @@ def tables(spark, sf_dir):
 
 
 def _placed(spark, sf_dir):
-    return G.place(G.cells(tables(spark, sf_dir), "page", "html"), "page")
+    return G.place_tables(tables(spark, sf_dir), "page", "html")
 
 
 def table_cells(spark, sf_dir):
@@ -39,7 +39,7 @@ def table_segments(spark, sf_dir):
 
 
 def table_pipes(spark, sf_dir):
-    return G.markdown(_placed(spark, sf_dir), "page")
+    return G.markdown_tables(tables(spark, sf_dir), "page", "html")
 
 
 _PLACED = f"""WITH RECURSIVE {DENSE}, c AS MATERIALIZED (

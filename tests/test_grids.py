@@ -78,6 +78,24 @@ def test_odd_tables(spark):
     assert G.segments(empty, "id").count() == 0 and G.markdown(empty, "id").count() == 0
 
 
+def test_one_pass_over_a_table(spark):
+    rng = random.Random(8)
+    made = [(k, html_of(random_rows(rng), rng) if k % 9 else rng.choice([None, "", "none"])) for k in range(200)]
+    made += [(300, "<tr>" * 3000 + "<td colspan=1000>q" * 2 + "<td>z&nbsp;<tr"), (301, "<tr><td rowspan=99999999999 colspan=00003>a<tré>b"), (302, "<tr><td>x\u2028"), (None, "<tr><td>n")]
+    df = spark.createDataFrame(made, "id int, html string").repartition(3)
+    rows = lambda found: sorted(map(repr, (tuple(r) for r in found.collect())))
+    placed = G.place(G.cells(df, "id", "html"), "id")
+    assert rows(G.place_tables(df, "id", "html")) == rows(placed) and G.place_tables(df, "id", "html").dtypes == placed.dtypes
+    pipes = rows(G.markdown(placed, "id"))
+    assert rows(G.markdown_tables(df, "id", "html")) == pipes
+    assert {r.id: r.text for r in placed.where("id > 300").collect()} == {301: "ab", 302: "x\u2028"}
+
+
+def test_cells_of_a_table_are_not_shuffled(spark):
+    df = spark.range(3).selectExpr("id", "'<tr><td>a' AS html")
+    assert "Exchange" not in G.markdown_tables(df, "id", "html")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pictures_of_tables(spark):
     rng = random.Random(9)
     def box(least, most):
