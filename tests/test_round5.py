@@ -80,3 +80,28 @@ def test_white_space_is_that_of_the_jvm(spark):
     codes = [c for c in range(1, 0x3100)] + [0xFEFF, 0x1D6FC]
     seen = {r.c for r in spark.createDataFrame([(c, chr(c)) for c in codes], "c int, ch string").where(F.col("ch").rlike(r"(?U)\s")).collect()}
     assert seen == {c for c in codes if pc.match_substring_regex(pa.array([chr(c)]), decoding.SPACE)[0].as_py()}
+
+
+def test_tables_are_compared_where_they_differ(monkeypatch):
+    """Rows that both tables begin or end with need no tree distance, and likenesses are those of whole trees."""
+    row = lambda k: f"<tr><td>{k}</td><th> x  {k % 3} </th></tr>"
+    table = lambda ks: "<table>" + "".join(map(row, ks)) + "</table>"
+    sizes, whole = [], E.tree_distance
+    monkeypatch.setattr(E, "tree_distance", lambda x, y, texts=True: (sizes.append(E._count(x[2]) + E._count(y[2])), whole(x, y, texts))[1])
+    assert E.teds(table(range(400)), table([*range(200), *range(203, 400)])) == 1 - 9 / 1202 and not sizes
+    rng = random.Random(7)
+    for _ in range(300):
+        a = [rng.randrange(4) for _ in range(rng.randrange(7))]
+        b = [k for k in a if rng.random() < 0.8] + [9] * rng.randrange(2)
+        tables = [table(a), table(b).replace("<td>1</td>", rng.choice(["<td>1</td>", "<td>1<table><tr><td>&amp;</td></tr></table></td>", "<td>12</td>"]))]
+        trees = []
+        for html in tables:
+            parser = E._Tree()
+            parser.feed(html)
+            trees.append(parser.root)
+            assert E._tree(html) == parser.root
+        for texts in (True, False):
+            size = 1 + max(E._count(t[2]) for t in trees)
+            assert abs(E.teds(*tables, texts) - max(0.0, 1 - whole(*trees, texts) / size)) < 1e-12
+    assert sizes
+    assert E._left_out(table([1, 2, 3]), table([1])) == E.teds(table([1, 2, 3]), table([1])) and E._left_out(table([1, 2]), table([2, 1])) is None
