@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -229,7 +231,7 @@ LATEX_SAME = {
 def latex_tokens(s: Column) -> Column:
     """Commands, braces and single symbols of a formula, in canonical form."""
     bare = F.coalesce(s, F.lit(""))
-    for mark in ("$$", "$", "\\(", "\\)", "\\[", "\\]"):
+    for mark in _LATEX_MARK:
         bare = F.replace(bare, F.lit(mark), F.lit(""))
     tokens = F.regexp_extract_all(bare, F.lit(r"(\\[a-zA-Z]+|\\.|[^\s])"))
     kept = F.filter(tokens, lambda t: ~t.isin(LATEX_DROP))
@@ -237,6 +239,26 @@ def latex_tokens(s: Column) -> Column:
     return F.transform(kept, lambda t: F.coalesce(same[t], t))
 
 
+#: Commands, as in the JVM's pattern: a dot is no end of a line. All else but ASCII white space is single.
+_LATEX_COMMAND = re.compile(r"(\\[a-zA-Z]+|\\[^\n\r\x85\u2028\u2029])")
+_LATEX_SPACE = str.maketrans("", "", " \t\n\x0b\f\r")
+_LATEX_DROPPED = frozenset(LATEX_DROP)
+_LATEX_MARK = ("$$", "$", "\\(", "\\)", "\\[", "\\]")
+
+
+def latex_words(s: str) -> list[str]:
+    """latex_tokens of one string, in Python."""
+    for mark in _LATEX_MARK:
+        s = s.replace(mark, "")
+    tokens = []
+    for k, part in enumerate(_LATEX_COMMAND.split(s)):
+        if k % 2 == 0:
+            tokens.extend(part.translate(_LATEX_SPACE))
+        elif part not in _LATEX_DROPPED:
+            tokens.append(LATEX_SAME.get(part, part))
+    return tokens
+
+
 def normal_latex(s: Column) -> Column:
     return F.array_join(latex_tokens(s), "")
 

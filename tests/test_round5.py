@@ -8,10 +8,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import decoding
 from quire.operators import detection as D
 from quire.operators import evaluation as E
-from quire.plans import detection, documents
+from quire.plans import detection, documents, text
 
 
 def test_long_texts_are_aligned_by_all_that_they_say(spark):
@@ -105,3 +106,16 @@ def test_tables_are_compared_where_they_differ(monkeypatch):
             assert abs(E.teds(*tables, texts) - max(0.0, 1 - whole(*trees, texts) / size)) < 1e-12
     assert sizes
     assert E._left_out(table([1, 2, 3]), table([1])) == E.teds(table([1, 2, 3]), table([1])) and E._left_out(table([1, 2]), table([2, 1])) is None
+
+
+def test_formulas_are_compared_as_strings(spark):
+    """Tokens in Python are those of the JVM, and arrays of tokens never leave it."""
+    rng = random.Random(3)
+    pieces = ["\\", "$", "$$", "\\(", "\\]", "\\dfrac", "\\left", "\\,", "\\\\", "a", "é", "𝛼", " ", "　", "\x1c", "\n", " ", "\x85", "\r", "\\le", "{", "}", "\\\n", "\\ x"]
+    rows = [tuple("".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(2)) for _ in range(400)] + [(None, "x"), (None, None), ("", None)]
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame(rows, "a string, b string")
+    found = df.select("a", T.latex_tokens(a).alias("tokens"), E.tokens_rate(T.latex_tokens(a), T.latex_tokens(b)).alias("old"), E.latex_rate(a, b).alias("new")).collect()
+    assert all(r.tokens == T.latex_words(r.a or "") and r.old == r.new for r in found)
+    plan = text.QUERIES["latex_ned"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
