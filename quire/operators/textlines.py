@@ -1,16 +1,22 @@
 """Text lines of layout regions, in either direction of writing.
 
 spans: page, region, pos, label (text or formula), text, x0, y0, x1, y1. Regions never meet. Which
-line a span is in depends on the spans before it: one fold over a region's spans in the JVM. All
-else is windows and joins.
+line a span is in depends on the spans before it. A region is a row with its spans as an array, so
+that they are shuffled once; regions pass many in a batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import math
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
-from quire.operators.reading import cut_lineage
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The share of the lesser height from which a span is in a line; how much wider than
 #: high text may be to run down; a line of a region that runs down is kept up to KEEP times the
@@ -20,64 +26,89 @@ RATIO, LEAN, KEEP, MOST = 0.6, 1.5, 1.1, 0.4
 GOES_ON = [",", "，", "、", ";", "；", ":", "：", "-", "'", '"', "“"]
 
 
-def lines(spans: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """spans with `flat` (whether the region runs across), `line` (from 1), and their place along
-    (a0, a1) and across (c0, c1) the lines.
+#: A letter at the end, or before the end of the last line.
+_LETTER = re.compile(r"[A-Za-z](?:\r\n|[\n\r\x85\u2028\u2029])?\Z")
+_WORD = re.compile("[A-Za-z0-9]")
+#: A span: pos, label, text, and its place along (a0, a1) and across (c0, c1) the lines; a piece of one:
+#: the same with the number of the piece after pos.
+Span = tuple[int, str, str, float, float, float, float]
+Piece = tuple[int, int, str, str, float, float, float, float]
+
+
+def lines(spans: list[tuple], ratio: float = RATIO) -> tuple[bool, list[tuple[int, list[Span]]]]:
+    """Whether the region of the spans (pos, label, text, x0, y0, x1, y1) runs across, and its lines by
+    number (from 1).
 
     A region runs across if at least half of its text spans do. Spans from the top (from the right,
     where it runs down), ties by pos; a span stays in the line if it shares at least ratio of the
     lesser height with the line so far. Where it runs down, lines much wider than most drop (see
-    KEEP). Spans with a null in a corner take no part; without text spans a region runs across.
+    KEEP). Without text spans a region runs across.
     """
-    of = Window.partitionBy("page", "region")
-    s = spans.dropna(subset=["x0", "y0", "x1", "y1"]).select("page", "region", "pos", "label", "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    is_text = F.coalesce(F.col("label") == "text", F.lit(False))
-    across = F.sum((is_text & ((F.col("x1") - F.col("x0")) * LEAN >= F.col("y1") - F.col("y0"))).cast("int")).over(of)
-    s = s.withColumn("flat", across >= F.sum(is_text.cast("int")).over(of) * 0.5)
-    pick = lambda a, b: F.when(F.col("flat"), F.col(a)).otherwise(F.col(b))
-    s = s.withColumns({"a0": pick("x0", "y0"), "a1": pick("x1", "y1"), "c0": pick("y0", "x0"), "c1": pick("y1", "x1")})
-    order = F.when(F.col("flat"), F.col("c0")).otherwise(-F.col("c0"))
-    rows = s.groupBy("page", "region").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "pos", "c0", "c1"))).alias("rows"))
-    rows = rows.select("page", "region", F.transform("rows", lambda r: F.struct(r["pos"].cast("long").alias("pos"), r["c0"].alias("c0"), r["c1"].alias("c1"))).alias("rows"))
-
-    def step(acc, r):
-        shared = F.least(acc["hi"], r["c1"]) - F.greatest(acc["lo"], r["c0"])
-        least = F.least(acc["hi"] - acc["lo"], r["c1"] - r["c0"])
-        same = (acc["line"] > 0) & F.coalesce((shared > 0) & (shared / F.when(least > 0, least) >= ratio), F.lit(False))
-        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        lo, hi = F.when(same, F.least(acc["lo"], r["c0"])).otherwise(r["c0"]), F.when(same, F.greatest(acc["hi"], r["c1"])).otherwise(r["c1"])
-        return F.struct(lo.alias("lo"), hi.alias("hi"), line.alias("line"), F.concat(acc["out"], F.array(F.struct(r["pos"].alias("pos"), line.alias("line")))).alias("out"))
-
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("lo"), none.alias("hi"), F.lit(0).alias("line"), F.expr("CAST(array() AS array<struct<pos:bigint,line:int>>)").alias("out"))
-    of_line = rows.select("page", "region", F.inline(F.aggregate("rows", start, step, lambda acc: acc["out"])))
-    s = s.withColumn("pos", F.col("pos").cast("long")).join(of_line, ["page", "region", "pos"])
-    line = Window.partitionBy("page", "region", "line")
-    s = s.withColumn("height", F.max("c1").over(line) - F.min("c0").over(line)).withColumn("first", (F.row_number().over(line.orderBy("pos")) == 1).cast("int"))
-    thin = F.min("height").over(of)
-    few = F.sum(F.col("first") * (F.col("height") < thin * KEEP).cast("int")).over(of) < F.sum("first").over(of) * MOST
-    s = s.withColumn("drop", ~F.col("flat") & (F.max("height").over(of) > thin * 2) & few & (F.col("height") > thin * KEEP))
-    return s.where(~F.col("drop")).drop("drop", "first", "height")
-
-
-def pieces(lined: DataFrame) -> DataFrame:
-    """page, region, flat, line, pos, piece, label, text, a0, a1, c0, c1: text spans cut around the
-    formulas of their line that lie within them along the line. Parts of a cut span no wider than a
-    pixel drop; the others have no text (null), as it must be read anew. An interval join within
-    the line, then gaps by a running maximum."""
-    keys = ["page", "region", "line"]
-    f = lined.where("label = 'formula'").select(*keys, F.col("a0").alias("f0"), F.col("a1").alias("f1"))
-    hit = lined.where("label = 'text'").join(f, keys).where("a0 <= f0 AND f1 <= a1")
-    w = Window.partitionBy("page", "region", "line", "pos").orderBy("f0", "f1")
-    reach = F.coalesce(F.max("f1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("a0"))
-    gaps = hit.withColumn("from", reach).withColumn("last", F.lead("f0").over(w).isNull()).withColumn("end", F.max("f1").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = gaps.select("page", "region", "flat", "line", "pos", "label", "c0", "c1", F.col("from").alias("a0"), F.col("f0").alias("a1"))
-    tail = gaps.where("last").select("page", "region", "flat", "line", "pos", "label", "c0", "c1", F.col("end").alias("a0"), "a1")
-    parts = inner.unionByName(tail).where("a1 - a0 > 1")
-    parts = parts.withColumn("piece", F.row_number().over(Window.partitionBy("page", "region", "line", "pos").orderBy("a0"))).withColumn("text", F.lit(None).cast("string"))
-    whole = lined.join(hit.select("page", "region", "line", "pos").distinct(), ["page", "region", "line", "pos"], "left_anti").withColumn("piece", F.lit(0))
-    columns = ["page", "region", "flat", "line", "pos", "piece", "label", "text", "a0", "a1", "c0", "c1"]
-    return whole.select(columns).unionByName(parts.select(columns))
+    text = [s for s in spans if s[1] == "text"]
+    flat = sum((s[5] - s[3]) * LEAN >= s[6] - s[4] for s in text) >= len(text) * 0.5
+    turned = [(p, label, said, x0, x1, y0, y1) if flat else (p, label, said, y0, y1, x0, x1) for p, label, said, x0, y0, x1, y1 in spans if p is not None]
+    turned.sort(key=lambda s: (s[5] if flat else -s[5], s[0], s[5], s[6]))
+    out: list[list[Span]] = []
+    reach: list[tuple[float, float]] = []  # from where to where each line goes
+    for s in turned:
+        lo, hi = s[5:]
+        if out:
+            low, high = reach[-1]
+            shared, least = min(high, hi) - max(low, lo), min(high - low, hi - lo)
+            if shared > 0 and least > 0 and shared / least >= ratio:
+                out[-1].append(s)
+                reach[-1] = min(low, lo), max(high, hi)
+                continue
+        out.append([s])
+        reach.append((lo, hi))
+    found = list(enumerate(out, 1))
+    if not flat and found:
+        heights = [hi - lo for lo, hi in reach]
+        thin = min(heights)
+        if max(heights) > thin * 2 and sum(h < thin * KEEP for h in heights) < len(heights) * MOST:
+            found = [line for line, h in zip(found, heights) if h <= thin * KEEP]
+    return flat, found
+
+
+def pieces(line: list[Span]) -> list[Piece]:
+    """The spans of a line, text spans cut around the formulas that lie within them along the line. Parts
+    of a cut span no wider than a pixel drop; the others have no text (None), as it must be read anew."""
+    formulas = sorted((s[3], s[4]) for s in line if s[1] == "formula")
+    starts, out = [f[0] for f in formulas], []
+    for pos, label, text, a0, a1, c0, c1 in line:
+        inside = [f for f in formulas[bisect_left(starts, a0) : bisect_right(starts, a1)] if f[1] <= a1] if label == "text" and formulas else []
+        if not inside:
+            out.append((pos, 0, label, text, a0, a1, c0, c1))
+            continue
+        at, parts = a0, []
+        for f0, f1 in inside:
+            parts.append((at, f0))
+            at = max(at, f1)
+        kept = sorted(part for part in (*parts, (at, a1)) if part[1] - part[0] > 1)
+        out += [(pos, k, label, None, *part, c0, c1) for k, part in enumerate(kept, 1)]
+    return out
+
+
+def _said(label: str, text: str) -> str:
+    if label == "formula":
+        return f"${text}$ " if not text.startswith("$") and not text.endswith("$") else f"{text} "
+    return f"{text} " if _LETTER.search(text) else text
+
+
+def region(spans: list[tuple], ratio: float = RATIO) -> Iterator[tuple]:
+    """line to y1 of text_lines() of one region's spans (see lines())."""
+    flat, found = lines(spans, ratio)
+    cut = [(number, sorted(pieces(line), key=lambda p: (math.floor(p[4] / 2), p[6], p[0], p[1]))) for number, line in found]
+    cut = [(number, line) for number, line in cut if line]
+    low, high = (min(p[4] for _, line in cut for p in line), max(p[5] for _, line in cut for p in line)) if cut else (0.0, 0.0)
+    for number, line in cut:
+        text = "".join(_said(p[2], p[3] or "") for p in line).rstrip(" ")
+        a0, a1, c0, c1 = min(p[4] for p in line), max(p[5] for p in line), min(p[6] for p in line), max(p[7] for p in line)
+        last, room, free = text[-1:], (c1 - c0) * 1.5, high - line[-1][5]
+        mark = not _WORD.match(last) and last not in GOES_ON
+        ends = text != "" and (mark or free > (high - low) * 0.3) and (free > room or (not flat and line[0][4] - low > room))
+        place = (a0, c0, a1, c1) if flat else (c0, a0, c1, a1)
+        yield number, flat, len(line), sum(p[3] is None for p in line), text.removesuffix("-"), ends, *place
 
 
 def text_lines(spans: DataFrame, ratio: float = RATIO) -> DataFrame:
@@ -89,21 +120,26 @@ def text_lines(spans: DataFrame, ratio: float = RATIO) -> DataFrame:
     and pieces that end in a letter A-Z; a hyphen at the end of the line is taken away. A line ends
     if it leaves more than three tenths of the region's length free behind it, or more than one and
     a half of its height after a mark other than those of GOES_ON; where the region runs down, room
-    of that much height before the first piece counts too. A line that was wholly cut has an empty text.
+    of that much height before the first piece counts too. Spans with a null in page, region or a
+    corner take no part.
     """
-    p = pieces(cut_lineage(lines(spans, ratio)))  # read four times
-    of = Window.partitionBy("page", "region")
-    p = p.withColumns({"from": F.min("a0").over(of), "to": F.max("a1").over(of)})
-    text = F.coalesce("text", F.lit(""))
-    said = F.when((F.col("label") == "formula") & ~text.startswith("$") & ~text.endswith("$"), F.concat(F.lit("$"), text, F.lit("$"))).otherwise(text)
-    said = F.when((F.col("label") == "formula") | said.rlike("[A-Za-z]$"), F.concat(said, F.lit(" "))).otherwise(said)
-    one = F.struct(F.floor(F.col("a0") / 2).alias("k"), "c0", "pos", "piece", said.alias("said"), "a0", "a1")
-    p = p.groupBy("page", "region", "line", "flat").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").isNull().cast("int")).alias("unread"), F.array_sort(F.collect_list(one)).alias("all"), F.first("from").alias("from"), F.first("to").alias("to"), F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
-    p = p.withColumn("text", F.rtrim(F.array_join(F.transform("all", lambda x: x["said"]), "")))
-    last, room = F.right("text", F.lit(1)), (F.col("c1") - F.col("c0")) * 1.5
-    free = F.col("to") - F.get("all", F.size("all") - 1)["a1"]
-    mark = ~last.rlike("[A-Za-z0-9]") & ~last.isin(GOES_ON)
-    ends = (F.col("text") != "") & (mark | (free > (F.col("to") - F.col("from")) * 0.3)) & ((free > room) | (~F.col("flat") & (F.get("all", F.lit(0))["a0"] - F.col("from") > room)))
-    pick = lambda a, b: F.when(F.col("flat"), F.col(a)).otherwise(F.col(b))
-    shown = F.when(F.col("text").endswith("-"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
-    return p.select("page", "region", "line", "flat", "n", "unread", shown.alias("text"), ends.alias("ends"), pick("a0", "c0").alias("x0"), pick("c0", "a0").alias("y0"), pick("a1", "c1").alias("x1"), pick("c1", "a1").alias("y1"))
+    corners, keys = ("x0", "y0", "x1", "y1"), ("page", "region")
+    s = spans.dropna(subset=[*keys, *corners])
+    one = F.struct(F.col("pos").cast("long").alias("pos"), "label", "text", *(F.col(c).cast("double").alias(c) for c in corners))
+    regions = s.groupBy(*keys).agg(F.collect_list(one).alias("spans"))
+    out = spans.sparkSession.createDataFrame([], ", ".join([*(f"{c} {dict(spans.dtypes)[c]}" for c in keys), "line int, flat boolean, n long, unread long, text string, ends boolean, x0 double, y0 double, x1 double, y1 double"])).schema
+
+    def found(batches):
+        arrow = to_arrow_schema(out)
+        for batch in batches:
+            of, ends = batch["spans"], [0, *pc.cumulative_sum(pc.list_value_length(batch["spans"])).to_pylist()]
+            every = list(zip(*(v.to_pylist() for v in of.flatten().flatten())))
+            at, rows = [], []
+            for k in range(len(of)):
+                for row in region(every[ends[k] : ends[k + 1]], ratio):
+                    at.append(k)
+                    rows.append(row)
+            columns = [*(batch[c].take(pa.array(at, pa.int64())) for c in keys), *(pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * (len(arrow) - 2), list(arrow)[2:]))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return regions.mapInArrow(found, out)

@@ -12,7 +12,8 @@ from quire.functions import text as T
 from quire.operators import decoding
 from quire.operators import detection as D
 from quire.operators import evaluation as E
-from quire.plans import detection, documents, text
+from quire.operators import textlines as L
+from quire.plans import detection, documents, text, textlines
 
 
 def test_long_texts_are_aligned_by_all_that_they_say(spark):
@@ -119,3 +120,17 @@ def test_formulas_are_compared_as_strings(spark):
     assert all(r.tokens == T.latex_words(r.a or "") and r.old == r.new for r in found)
     plan = text.QUERIES["latex_ned"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_spans_of_a_region_are_shuffled_once(spark):
+    """What two numbering windows and the grouping of regions need, and no checkpoint or join after it."""
+    plan = textlines.region_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan and "ExistingRDD" not in plan
+
+
+def test_cuts_and_marks_of_lines():
+    """Formulas that overlap, reach out of their text or touch its ends; letters before the end of a line."""
+    line = [(0, "text", "abc", 0.0, 100.0, 0.0, 10.0), (1, "formula", "x", 0.0, 20.0, 0.0, 9.0), (2, "formula", "y", 10.0, 40.0, 0.0, 9.0), (3, "formula", "z", 90.0, 110.0, 0.0, 9.0)]
+    assert [p[:2] + p[3:6] for p in L.pieces(line)] == [(0, 1, None, 40.0, 100.0), (1, 0, "x", 0.0, 20.0), (2, 0, "y", 10.0, 40.0), (3, 0, "z", 90.0, 110.0)]
+    spans = [(0, "text", "a\n", 0.0, 0.0, 50.0, 10.0), (1, "text", "b-", 60.0, 0.0, 70.0, 10.0), (None, "text", "lost", 0.0, 0.0, 9.0, 9.0), (2, None, None, 0.0, 30.0, 100.0, 40.0)]
+    assert [r[:6] for r in L.region(spans)] == [(1, True, 2, 0, "a\n b", False), (2, True, 1, 1, "", False)]
